@@ -8,8 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, packing, quality, simhash
-from quire.llm.shared import documents
+from quire.llm import bpe, chat, fingerprint, html, packing, quality, simhash, warc
+from quire.llm.shared import documents, table
+
+
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir)).drop("next_fingerprint")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +25,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", "'</s>[INST] ok [/INST]' as text")
+    return chat.read_back(chat.format_chats(turns.unionByName(extra)))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
@@ -31,11 +41,50 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprint": op1_fingerprint,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_chat": op4_chat,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op9_html": op9_html,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP4_SQL = """
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized as (
+    select *, length(regexp_replace(text, '([\\[<])(\\\\*)(/?INST\\]|/?s>)', '\\1\\\\\\2\\3', 'g')) as escaped from turns
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(case when role = 'assistant' then 9 else 15 end + length(role) + escaped)::bigint as formatted_chars
+from sized group by conv_id
+"""
+
+_OP10_SQL = """
+with sized as (
+    select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), firsts as (
+    select payload_digest, min(page_id) as first_id from sized where payload_bytes >= 100 group by 1
+)
+select page_id, payload_bytes, s.payload_digest,
+    case when first_id is not null and first_id <> page_id then 'revisit' else 'response' end as record_type,
+    case when first_id <> page_id then first_id end as refers_to
+from sized s left join firsts f on s.payload_digest = f.payload_digest
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_chat": _OP4_SQL, "op10_warc": _OP10_SQL}

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.ship import ship
 
@@ -135,3 +136,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
+
+
+#: Most ranges of range_bounds; more rows than these hold make the ranges longer.
+MOST_RANGES = 1 << 13
+
+
+def range_bounds(df: DataFrame, key: str, rows: int) -> list[int]:
+    """Ascending values of a long column that start ranges of about `rows` rows each; nulls count as the least long."""
+    value = F.coalesce(F.col(key), F.lit(-(1 << 63)))
+    count, low = df.agg(F.count("*"), F.min(value)).first()
+    n = max(1, min(MOST_RANGES, -(-count // rows)))
+    if n == 1:
+        return [low if low is not None else 0]
+    found = df.agg(F.percentile_approx(value, [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0]
+    return sorted({low, *found})
+
+
+def range_number(key: str, bounds: list[int]) -> F.Column:
+    """The number of the range of a long column by binary search; values below the first bound are in range 0."""
+    size = len(bounds)
+    steps = [1 << k for k in range((size - 1).bit_length() - 1, -1, -1)] if size > 1 else []
+    value = F.coalesce(F.col(key), F.lit(-(1 << 63)))
+    if not steps:
+        return F.lit(0)
+    marks = F.lit(bounds) if size < 2 else F.array(*(F.lit(b) for b in bounds))
+    found = lambda lo, step: F.when((lo + step < size) & (F.element_at(marks, F.least(lo + step, F.lit(size - 1)) + 1) <= value), lo + step).otherwise(lo)
+    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), found)
