@@ -69,7 +69,7 @@ class _Shard:
     def write(self, record: bytes) -> Iterator[tuple]:
         if self.stream is None:
             self.name = f"shard-{self.shard:06d}-{self.number:04d}.warc.gz"
-            self.stream = self.fs.open_output_stream(f"{self.root}/.{self.name}.{self.attempt}.tmp")
+            self.stream = self.fs.open_output_stream(f"{self.root}/.{self.name}.{self.attempt}.tmp", compression=None)
             self.records = self.size = 0
             self.digest = hashlib.sha256()
         packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -180,7 +180,7 @@ def read(manifest: DataFrame, uri: str) -> DataFrame:
         names = [c.split()[0] for c in RECORDS.split(", ")]
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                with fs.open_input_stream(f"{root}/{name}") as stream:
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     rows: list[tuple] = []
                     for member in _members(stream):
                         rows.append(_parse(member))
