@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, fingerprint, html, packing, quality, simhash, substring, warc
+from quire.llm import bpe, chat, fingerprint, html, packing, quality, simhash, substring, toxicity, warc
 from quire.llm.shared import documents, table
 
 
@@ -41,6 +41,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", (toxicity.remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_substring": op8_substring,
     "op9_html": op9_html,
     "op10_warc": op10_warc,

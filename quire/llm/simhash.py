@@ -223,5 +223,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its near-duplicate group, all columns as they were.
+
+    Rows of one doc_id count as one document, of which the row whose text sorts first stays. A null doc_id never stays.
+    """
+    names = docs.columns
+    at = names.index("doc_id")
+    flat = docs.toDF(*(f"x{k}" for k in range(len(names))))
+    key, text = F.col(f"x{at}"), F.col(f"x{names.index('text')}")
+    first = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(text))
+    return flat.join(first, key == F.col("_id"), "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank").toDF(*names)
+
+
 def fingerprint_hex(column: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))

@@ -303,9 +303,10 @@ def _kept(text: bytes, spans: list[dict] | None, width: int) -> tuple[int, int,
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, untouched: bool = False) -> DataFrame:
     """All columns of docs (doc_id, text and any others), text replaced by the kept words, and _n_words, _n_removed.
 
+    The kept words are joined by one space; with `untouched`, texts that lose nothing stay as they are.
     A word goes if a window of `width` words over it also starts earlier: at a smaller doc_id, or earlier in the text.
     Null and short texts lose nothing (null becomes ''). A null doc_id comes first. Rows of one doc_id and text are one
     document; of one doc_id and other texts they are ordered by a hash of the text. An empty table gives no rows.
@@ -327,7 +328,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 raw, cuts = data.tobytes(), offsets.tolist()
                 done = [_kept(raw[a:b], s, width) for a, b, s in zip(cuts, cuts[1:], part.column(len(names)).to_pylist())]
                 columns = part.columns[: len(names)]
-                columns[at] = pa.array([t.decode() for _, _, t in done], pa.string())
+                texts = [raw[a:b] if untouched and not g else t for (_, g, t), a, b in zip(done, cuts, cuts[1:])]
+                columns[at] = pa.array([t.decode() for t in texts], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _, _ in done], pa.int64()), pa.array([g for _, g, _ in done], pa.int64())], [*plain, "_n_words", "_n_removed"])
 
     schema = flat.schema.add("_n_words", "long").add("_n_removed", "long")
