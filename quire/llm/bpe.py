@@ -12,7 +12,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ NONE = np.int64(1 << 40)
 #: Words of more parts than this go through the heap.
 WIDE = 64
 #: Distinct chunks that a worker keeps; beyond this it starts afresh.
-KEEP = 400_000
+KEEP = 800_000
 
 
 def byte_chars() -> list[str]:
@@ -67,9 +67,9 @@ class Merges:
         hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.ranks[at], NONE), self.made[at]
 
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
         low = 0
@@ -82,7 +82,7 @@ class Merges:
             out[k] = self._heap(words[k])
         return out
 
-    def _rows(self, words: list[bytes], which: np.ndarray, sizes: np.ndarray, width: int, out: list[np.ndarray]) -> None:
+    def _rows(self, words: list[bytes], which: np.ndarray, sizes: np.ndarray, width: int, out: list[bytes]) -> None:
         n = sizes[which]
         flat = np.frombuffer(b"".join(words[k] for k in which.tolist()), np.uint8)
         lane = np.arange(width)
@@ -98,8 +98,9 @@ class Merges:
             row = np.arange(len(which))
             going = ranks[row, best] < NONE
             if not going.all():
-                for k, ids, size in zip(which[~going].tolist(), parts[~going], n[~going].tolist()):
-                    out[k] = ids[:size]
+                raw = parts[~going].astype("<u4").tobytes()
+                for k, at, size in zip(which[~going].tolist(), range(0, len(raw), 4 * width), n[~going].tolist()):
+                    out[k] = raw[at : at + 4 * size]
                 which, parts, ranks, made, n, best = (x[going] for x in (which, parts, ranks, made, n, best))
                 row = np.arange(len(which))
                 if not len(which):
@@ -113,7 +114,7 @@ class Merges:
                 r, at = row[ok], left[ok]
                 ranks[r, at], made[r, at] = self.look(parts[r, at], parts[r, at + 1])
 
-    def _heap(self, word: bytes) -> np.ndarray:
+    def _heap(self, word: bytes) -> bytes:
         flat = np.frombuffer(word, np.uint8)
         ids = self.inner[flat]
         ids[-1] = self.final[flat[-1]]
@@ -136,7 +137,7 @@ class Merges:
                     rank, to = self.look(np.array([x]), np.array([y]))
                     if rank[0] < NONE:
                         heapq.heappush(queue, (int(rank[0]), left, x, y, int(to[0])))
-        return np.array([x for x in part if x >= 0], np.int64)
+        return np.array([x for x in part if x >= 0], "<u4").tobytes()
 
 
 class Encoder:
@@ -157,69 +158,88 @@ class Encoder:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.blob = np.frombuffer(b"".join(self.merges.bytes), np.uint8)
 
-    # Pieces of one chunk: bytes are words for the merges, ints are ids.
+    # Keys of chunks. Byte-level vocabularies: a key is a chunk without the space before it, or with the line break before
+    # it; a chunk that follows neither has EDGE before it. Others: the bytes of a chunk between white space.
 
-    _LEAD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*#$%&]*)")
-    _SUFFIX = re.compile("[a-zß-öø-ÿ]+")
-    _TAIL = re.compile(".,!?;:|*#$%&".join(("([", "]*)")))
+    EDGE = "\n\n"
+    _WIDE = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000) if c != 10]
+    _PAIRS = ("  ", "\n\n", " \n", "\n ")
+    #: Most chunks: letters of Latin-1, then punctuation of ASCII. The lines of a text are the chunks.
+    _LEAD = re.compile("^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*#$%&]*)$|^.*$", re.M)
+    _SUFFIX = re.compile("^([a-zß-öø-ÿ]+)([.,!?;:|*#$%&]*)$|^.*$", re.M)
     _BACK = {c: b for b, c in enumerate(byte_chars())}
 
+    def _keys(self, text: str) -> list:
+        if not self.lead:
+            return text.encode().split()
+        if not text:
+            return []
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self._PAIRS) or any(x in text for x in self._WIDE):
+            # white space runs: cut before the last space of a run that a word follows
+            parts = re.split(r"(?<=\S)(?=\s)|(?<=\s)(?= \S)", text) if not re.search(r"\s\Z|\A\s", text) else [text]
+            return [self.EDGE + c for c in parts if c]
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = self.EDGE + keys[0]
+        return keys
+
     def _pieces(self, chunk: str) -> list:
-        if self.special is not None and "|>" in chunk and self.special.search(chunk):
-            out: list = []
-            at = 0
-            for m in self.special.finditer(chunk):
-                out += self._plain(chunk[at : m.start()]) if m.start() > at else []
-                out.append(self.merges.added[m[0]])
-                at = m.end()
-            return out + (self._plain(chunk[at:]) if at < len(chunk) else [])
-        return self._plain(chunk)
+        """Words (bytes) and ids (ints) of a chunk, by the library's own normaliser and splitter."""
+        out: list = []
+        at = 0
+        for m in self.special.finditer(chunk) if self.special is not None and "|>" in chunk else ():
+            out += self._plain(chunk[at : m.start()]) if m.start() > at else []
+            out.append(self.merges.added[m[0]])
+            at = m.end()
+        return out + (self._plain(chunk[at:]) if at < len(chunk) else [])
 
     def _plain(self, chunk: str) -> list:
-        if self.lead:
-            if m := self._LEAD.fullmatch(chunk):
-                return [m[1].encode()] + ([m[2].encode()] if m[2] else [])
-        else:
-            if "İ" not in chunk and (m := self._SUFFIX.match(low := chunk.lower())) and m.end() + len(tail := self._TAIL.match(low, m.end())[1]) == len(low):
-                return [m[0].encode()] + ([tail.encode()] if tail else [])
+        if not self.lead:
             chunk = self.library.normalizer.normalize_str(chunk)
         back = self._BACK
         return [bytes(back[c] for c in piece) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk) if piece]
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encode chunks that are not known yet: kept[chunk] is the ids as little-endian unsigned 32-bit integers."""
+    def _split(self, keys: list) -> list[list]:
+        """The pieces of each chunk."""
+        if self.lead:
+            chunks = [k if k[:1] == "\n" else " " + k for k in keys]
+            lines = [k if "\n" not in k else "" for k in keys]
+            found, space = self._LEAD.findall("\n".join(lines)), " "
+        else:
+            joined = b"\n".join(keys).decode()
+            chunks, space = joined.split("\n"), ""
+            # only characters whose lower case is one character of Latin-1 match
+            low = joined.lower() if "İ" not in joined else joined
+            found = self._SUFFIX.findall(low)
+        out = []
+        for chunk, (word, tail) in zip(chunks, found):
+            if word:
+                out.append([(space + word).encode(), tail.encode()] if tail else [(space + word).encode()])
+            else:
+                out.append(self._pieces(chunk.removeprefix(self.EDGE)))
+        return out
+
+    def learn(self, keys: set) -> None:
+        """Encode the chunks that are not known yet: kept[key] is the ids as little-endian unsigned 32-bit integers."""
         if len(self.kept) > KEEP:
             self.kept = {}
-        new = [c for c in chunks if c not in self.kept]
+        new = list(keys - self.kept.keys())
         if not new:
             return
-        pieces = [self._pieces(c) for c in new]
-        words = list(dict.fromkeys(p for ps in pieces for p in ps if type(p) is bytes))
-        ids = dict(zip(words, (x.astype("<u4").tobytes() for x in self.merges.words(words))))
-        for chunk, ps in zip(new, pieces):
-            self.kept[chunk] = b"".join(ids[p] if type(p) is bytes else p.to_bytes(4, "little") for p in ps)
-
-    _LOOSE = re.compile(r" (?=\s)| \Z")
-
-    def _chunks(self, text: str) -> list[str]:
-        if not self.lead:
-            return [c.decode() for c in text.encode().split()]
-        if not text:
-            return []
-        if self._LOOSE.search(text):
-            # runs of white space: cut before the last space of a run that a word follows
-            return [c for c in re.split(r"(?<=\S)(?=\s)|(?<=\s)(?= \S)", text) if c] if not re.search(r"\s\Z|\A\s", text) else [text]
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + c for c in rest]
+        pieces = self._split(new)
+        words = list({p for ps in pieces for p in ps if type(p) is bytes})
+        ids = dict(zip(words, self.merges.words(words)))
+        for key, ps in zip(new, pieces):
+            if len(ps) == 1 and type(ps[0]) is bytes:
+                self.kept[key] = ids[ps[0]]
+            else:
+                self.kept[key] = b"".join([ids[p] if type(p) is bytes else p.to_bytes(4, "little") for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = [self._chunks(t) for t in texts]
-        known: set[str] = set()
-        known.update(*chunks)
-        self.learn(known)
+        keys = [self._keys(t) for t in texts]
+        self.learn(set().union(*keys))
         get = self.kept.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        return [b"".join(map(get, k)) for k in keys]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, one after the other."""
