@@ -92,13 +92,15 @@ def features(tables: tuple[np.ndarray, np.ndarray], word: np.ndarray, gram: np.n
     return out / 2
 
 
-def _odds(slot: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Shrunken log odds of each slot against the base rate; each document counts once."""
+def _tally(slot: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic documents and documents that have each slot."""
     pairs = np.unique(doc.astype(np.int64) << SLOTS | slot)
     slot, doc = pairs & (1 << SLOTS) - 1, pairs >> SLOTS
-    hits = np.bincount(slot, label[doc], 1 << SLOTS)
-    seen = np.bincount(slot, minlength=1 << SLOTS)
-    base = np.clip(label[np.unique(doc)].mean() if len(doc) else 0.5, 1e-3, 1 - 1e-3)
+    return np.bincount(slot, label[doc], 1 << SLOTS), np.bincount(slot, minlength=1 << SLOTS)
+
+
+def _odds(hits: np.ndarray, seen: np.ndarray, base: float) -> np.ndarray:
+    """Shrunken log odds of each slot against the base rate."""
     rate = (hits + SHRINK * base) / (seen + SHRINK)
     return (np.log(rate / (1 - rate)) - np.log(base / (1 - base))).astype(np.float32)
 
@@ -238,16 +240,25 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     half = np.array([zlib.crc32(t[:64].encode()) for t in texts]) % 2
     edge = np.searchsorted(owner, np.arange(len(word) + 1))
 
-    def tables(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pair = np.unique(doc[rows].astype(np.int64) * len(word) + which[rows])
-        d, k = pair // len(word), pair % len(word)
-        n = edge[k + 1] - edge[k]
-        ends = np.cumsum(n)
-        spread = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - edge[k], n)
-        return _odds(word[k], d, y), _odds(gram[spread], np.repeat(d, n), y)
+    counts = np.zeros((2, 2, 2, 1 << SLOTS))  # half, words or n-grams, toxic or all
+    for at in range(0, len(texts), 100):
+        for f in (0, 1):
+            rows = np.arange(words.bounds[at], words.bounds[min(at + 100, len(texts))])
+            rows = rows[half[doc[rows]] == f]
+            pair = np.unique(doc[rows].astype(np.int64) * len(word) + which[rows])
+            d, k = pair // len(word), pair % len(word)
+            n = edge[k + 1] - edge[k]
+            ends = np.cumsum(n)
+            spread = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - edge[k], n)
+            counts[f, 0] += _tally(word[k], d, y)
+            counts[f, 1] += _tally(gram[spread], np.repeat(d, n), y)
+    base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+
+    def tables(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _odds(*c[0], base), _odds(*c[1], base)
 
     side = half[doc]
-    inputs = [features(tables(side != f), word, gram, owner) for f in (0, 1)]
+    inputs = [features(tables(counts[1 - f]), word, gram, owner) for f in (0, 1)]
     x = np.where(side[:, None] == 0, inputs[0][which], inputs[1][which])
     x = np.concatenate([x, np.zeros((1, INPUTS), np.float32)])  # row -1
     at, of = windows_of(words.bounds)
@@ -276,7 +287,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
             a = a / max(1.0, norm)
             m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.999 * v[k] + 0.001 * a * a
             net[k] = net[k] - (RATE * (1 - 0.9 * step / STEPS) * (m[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(v[k] / (1 - 0.999 ** (step + 1))) + 1e-8)).astype(np.float32)
-    return Model(float(y.mean()), tables(np.arange(len(doc))), net)
+    return Model(float(y.mean()), tables(counts.sum(axis=0)), net)
 
 
 def _logits(model: Model, x: np.ndarray, at: np.ndarray) -> np.ndarray:
