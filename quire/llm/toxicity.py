@@ -23,10 +23,10 @@ from quire.llm.shared import Words, _mix, buffer_of, slices, windows_hash
 WINDOW, STRIDE = 48, 36
 HIDDEN, INPUTS, PROJECTED = 6, 4, 8
 SLOTS = 18
-GRAMS = (3, 4, 5, 6, 7)
+GRAMS = (4, 5, 6, 7)
 #: The bounded sample that the model is fitted on: so many documents of each label, in the order of a hash of doc_id,
 #: among those of at most TRAIN_BYTES bytes.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1500, 3500, 1 << 15
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1000, 2500, 1 << 15
 STEPS, BATCH, RATE = 260, 64, 0.02
 #: Weight of the base rate in the log odds of a word or n-gram, in documents.
 SHRINK = 4.0
@@ -234,19 +234,20 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         return Model(float(y.mean()) if len(y) else 0.0)
     column = pa.array(texts, pa.string())
     words = Words(*buffer_of(column))
-    keys, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    word, gram, owner = slots_of(words, first)
+    parts = slices(pa.RecordBatch.from_arrays([column], ["text"]))
+    hashes = np.concatenate([Words(*buffer_of(p.column(0))).hashes() for p in parts])
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     doc = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
     half = np.array([zlib.crc32(t[:64].encode()) for t in texts]) % 2
-    edge = np.searchsorted(owner, np.arange(len(word) + 1))
-
     counts = np.zeros((2, 2, 2, 1 << SLOTS))  # half, words or n-grams, toxic or all
     for at in range(0, len(texts), 100):
         for f in (0, 1):
             rows = np.arange(words.bounds[at], words.bounds[min(at + 100, len(texts))])
             rows = rows[half[doc[rows]] == f]
-            pair = np.unique(doc[rows].astype(np.int64) * len(word) + which[rows])
-            d, k = pair // len(word), pair % len(word)
+            pair = np.unique(doc[rows].astype(np.int64) * len(first) + which[rows])
+            d, (own, k) = pair // len(first), np.unique(pair % len(first), return_inverse=True)
+            word, gram, owner = slots_of(words, first[own])
+            edge = np.searchsorted(owner, np.arange(len(own) + 1))
             n = edge[k + 1] - edge[k]
             ends = np.cumsum(n)
             spread = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - edge[k], n)
@@ -257,8 +258,13 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     def tables(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _odds(*c[0], base), _odds(*c[1], base)
 
-    side = half[doc]
-    inputs = [features(tables(counts[1 - f]), word, gram, owner) for f in (0, 1)]
+    odds = [tables(counts[1 - f]) for f in (0, 1)]
+    side, parts = half[doc], [[], []]
+    for at in range(0, len(first), 20_000):
+        slots = slots_of(words, first[at : at + 20_000])
+        for f in (0, 1):
+            parts[f].append(features(odds[f], *slots))
+    inputs = [np.concatenate(p) for p in parts]
     x = np.where(side[:, None] == 0, inputs[0][which], inputs[1][which])
     x = np.concatenate([x, np.zeros((1, INPUTS), np.float32)])  # row -1
     at, of = windows_of(words.bounds)
