@@ -15,11 +15,12 @@ ROWS_PER_RANGE = 2_000
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, case folded (upper, then lower: one form for sharp s and final sigma), white space runs one space, trimmed. Null: ''."""
+    """NFKC, lower case (sharp s as ss, final sigma as sigma), white space runs one space, trimmed. Null: ''."""
     text = F.coalesce(text, F.lit(""))
     # plain ASCII is its own normal form
     normal = F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)))
-    return F.trim(F.regexp_replace(F.lower(F.upper(normal)), r"(?U)\s+", " "))
+    folded = F.translate(F.replace(F.lower(normal), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
 def wide_hash(form: Column) -> Column:

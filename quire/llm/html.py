@@ -21,7 +21,7 @@ from quire.llm.shared import cut, slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select button audio video".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-HOLDS = frozenset("article body div main section td".split())
+HOLDS = frozenset("article body div html main section td".split())
 BOILER = frozenset("aside dialog footer form head menu nav".split())
 #: Words of classes, ids and roles that mark what is not the article.
 NOISE = frozenset(

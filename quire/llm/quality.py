@@ -341,7 +341,7 @@ def bands(scored: DataFrame) -> DataFrame:
 
 
 def _root() -> F.Column:
-    return F.sqrt(F.least(F.col("n_words"), F.lit(FULL_LENGTH)).cast("double"))
+    return F.sqrt(F.greatest(F.lit(1), F.least(F.col("n_words"), F.lit(FULL_LENGTH))).cast("double"))
 
 
 def judge(scored: DataFrame, limits: DataFrame) -> DataFrame:
