@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,8 +126,10 @@ def release(spark: SparkSession) -> None:
     """Let the JVM drop shuffle files of DataFrames that are out of reach, ahead of its periodic collection."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # what one collection frees holds what the next one can
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)  # the cleaner works in a thread of its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

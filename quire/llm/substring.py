@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Words, _mix, buffer_of, cut, powers, release, slices, windows_hash
+from quire.folders import new_folder
+from quire.llm.shared import Words, _mix, buffer_of, powers, release, slices, windows_hash
 
 WIDTH = 20
 #: Words of a gram; a window of WIDTH words has WIDTH - GRAM + 1 of them.
 GRAM = 6
-#: Distinct stretches that one index holds on average.
-STRETCHES_PER_SHARD = 40_000
+#: Stretches with words that one shard is dealt on average.
+STRETCHES_PER_SHARD = 60_000
+#: Stretches that a task remembers.
+GIVEN = 1_000_000
 _STEP = 0x5851F42D4C957F2D
 _BACK = pow(_STEP, -1, 1 << 64)
 
@@ -207,11 +210,16 @@ def _anchors(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _stretches(texts: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
-    """(anchor, stretch, id, tie, start, n, words): the stretches around repeated anchors; words as unsigned 32-bit hashes."""
-    lists = repeated.groupBy("id", "tie").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("runs"))
-    joined = texts.join(lists, ["id", "tie"])
+    """(anchor, stretch, id, tie, start, n, words): the stretches around repeated anchors; words as unsigned 32-bit hashes.
+
+    A task gives the words with the first copy of a stretch that it meets (and again after it has met very many).
+    """
+    lists = repeated.groupBy("id", "tie").agg(F.array_sort(F.collect_set(F.struct("start", "n", "anchor"))).alias("runs"))
+    # in order, so that the first copy that a task meets is its least
+    joined = texts.join(lists, ["id", "tie"]).sortWithinPartitions("id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
             for part in slices(batch):
                 words = Words(*buffer_of(part.column(2)))
@@ -222,26 +230,36 @@ def _stretches(texts: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
                 start, n, anchor = (flat.field(k).to_numpy() for k in range(3))
                 at, size = words.bounds[doc] + start, n.astype(np.int64) + width - 1
                 short = (hashes >> np.uint64(32)).astype("<u4").tobytes()
-                body = [short[4 * a : 4 * (a + s)] for a, s in zip(at.tolist(), size.tolist())]
+                stretch = stretch_hashes(hashes, at, size).view(np.int64)
+                given = set() if len(given) > GIVEN else given
+                body = []
+                for key, a, s in zip(stretch.tolist(), at.tolist(), size.tolist()):
+                    body.append(None if key in given else short[4 * a : 4 * (a + s)])
+                    given.add(key)
                 take = pa.array(doc)
-                columns = [pa.array(anchor), pa.array(stretch_hashes(hashes, at, size).view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start), pa.array(n), pa.array(body, pa.binary())]
+                columns = [pa.array(anchor), pa.array(stretch), part.column(0).take(take), part.column(1).take(take), pa.array(start), pa.array(n), pa.array(body, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "stretch", "id", "tie", "start", "n", "words"])
 
     return joined.select("id", "tie", "text", "runs").mapInArrow(run, "anchor long, stretch long, id long, tie int, start int, n short, words binary")
 
 
-def _search(kinds: DataFrame, width: int) -> DataFrame:
-    """Distinct stretches with their first copy -> (anchor, stretch, mask), shard by shard."""
+def _search(copies: DataFrame, width: int) -> DataFrame:
+    """(shard, anchor, stretch, id, tie, start, n, words), sorted by shard -> (anchor, stretch, mask): each distinct stretch once.
+
+    A stretch comes once from each task that met it at most, so a shard stays small however often a text is copied.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def solve() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
-            column = lambda k: rows.column(k).to_numpy()
-            words = [np.frombuffer(w, "<u4") for w in rows.column(7).to_pylist()]
-            masks = earlier(words, column(6).astype(np.int64), column(3), column(4), column(5).astype(np.int64), width)
-            return pa.RecordBatch.from_arrays([rows.column(1).combine_chunks(), rows.column(2).combine_chunks(), pa.array(masks)], ["anchor", "stretch", "mask"])
+            anchor, stretch, ids, ties, starts, n = (rows.column(k).to_numpy() for k in range(1, 7))
+            order = np.lexsort((starts, ties, ids, stretch, anchor))
+            first = order[np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (stretch[order][1:] != stretch[order][:-1])]]
+            words = [np.frombuffer(w, "<u4") for w in rows.column(7).take(pa.array(first)).to_pylist()]
+            masks = earlier(words, n[first].astype(np.int64), ids[first], ties[first], starts[first].astype(np.int64), width)
+            return pa.RecordBatch.from_arrays([pa.array(anchor[first]), pa.array(stretch[first]), pa.array(masks)], ["anchor", "stretch", "mask"])
 
         shard = None
         for batch in batches:
@@ -258,31 +276,39 @@ def _search(kinds: DataFrame, width: int) -> DataFrame:
         if held:
             yield solve()
 
-    return kinds.mapInArrow(run, "anchor long, stretch long, mask long")
+    return copies.mapInArrow(run, "anchor long, stretch long, mask long")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df through a table in the shared folder; what made it can go."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    release(spark)
+    return spark.read.parquet(path)
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs (doc_id, text) -> (id, tie, spans): for each text with repeated windows the runs (start, mask) of windows to remove."""
-    spark = docs.sparkSession
+    """docs (doc_id, text) -> (id, tie, spans): for each text with repeated windows the runs (start, mask) of windows to remove.
+
+    The stretches and the spans are written to the shared folder, and the shuffle files behind them released, so that
+    the texts' shuffles do not lie on disk together.
+    """
     texts = _texts(docs)
     anchors = _anchors(texts, width)
     often = anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    repeated = anchors.join(often, "anchor", "left_semi")
-    found = cut(_stretches(texts, repeated, width))
-    del anchors, often, repeated
-    release(spark)
+    found = _written(_stretches(texts, anchors.join(often, "anchor", "left_semi"), width), "stretches")
+    copies = found.where("words is not null")
+    shards = max(1, -(-copies.count() // STRETCHES_PER_SHARD))
+    copies = copies.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "*")
+    masks = _search(copies.repartition("shard").sortWithinPartitions("shard"), width)
     place = F.struct("id", "tie", "start")
-    kinds = found.groupBy("anchor", "stretch").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.min("words").alias("words"))
-    shards = max(1, -(-found.count() // STRETCHES_PER_SHARD))
-    # a shard is chosen by the anchor's high bits mixed again, so that shards are even
-    kinds = kinds.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "anchor", "stretch", "first.id", "first.tie", "first.start", "n", "words")
-    kinds = cut(kinds.select(F.struct("id", "tie", "start").alias("first"), "*"))
-    masks = _search(kinds.drop("first").repartition("shard").sortWithinPartitions("shard"), width)
-    masks = kinds.select("anchor", "stretch", "first").join(masks, ["anchor", "stretch"])
+    first = found.groupBy("anchor", "stretch").agg(F.min(place).alias("first")).join(masks, ["anchor", "stretch"])
     full = F.expr("shiftleft(1L, cast(n as int)) - 1")
-    spans = found.select("anchor", "stretch", "id", "tie", "start", "n").join(masks, ["anchor", "stretch"])
+    spans = found.select("anchor", "stretch", "id", "tie", "start", "n").join(first, ["anchor", "stretch"])
     spans = spans.withColumn("mask", F.when(place == F.col("first"), F.col("mask")).otherwise(full)).where("mask <> 0")
-    return cut(spans.groupBy("id", "tie").agg(F.collect_set(F.struct("start", "mask")).alias("spans")))
+    return _written(spans.groupBy("id", "tie").agg(F.collect_set(F.struct("start", "mask")).alias("spans")), "spans")
 
 
 def _kept(text: bytes, spans: list[dict] | None, width: int) -> tuple[int, int, bytes]:
