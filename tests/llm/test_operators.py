@@ -70,6 +70,18 @@ def test_fingerprint_collisions_are_told_apart(spark):
     assert sorted(r.fingerprint for r in fingerprint.resolve(keys).collect()) == ["k", "k-q", "m"]
 
 
+def test_fingerprints_without_a_hash(docs, texts, monkeypatch):
+    """With all texts in one bucket, the comparison of bytes alone tells them apart."""
+    monkeypatch.setattr(fingerprint, "wide_hash", lambda form: F.when(F.length(form) % 2 == 0, "even").otherwise("odd"))
+    got = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(docs).collect()}
+    form = lambda t: " ".join(unicodedata.normalize("NFKC", t or "").lower().replace("ß", "ss").replace("ς", "σ").split())
+    groups: dict[str, set] = {}
+    for k, t in texts:
+        groups.setdefault(form(t), set()).add(got[k])
+    assert all(len(g) == 1 for g in groups.values())
+    assert len({f for g in groups.values() for f in g}) == len(groups)
+
+
 def test_ranges_find_neighbours_over_gaps(spark):
     ids = [None, -5, 0, 7, 7, 7, 1000, 10**12]
     rows = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(4)
