@@ -87,6 +87,25 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
+_OP8_SQL = """
+with texts as (
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents
+), windows as (
+    select doc_id, i, array_to_string(ws[i:i + 19], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from texts where len(ws) >= 20)
+), later as (
+    select doc_id, i from windows qualify row_number() over (partition by k order by doc_id, i) > 1
+), gone as (
+    select distinct doc_id, unnest(range(i, i + 20)) as p from later
+), words as (
+    select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from texts
+), kept as (
+    select w.doc_id, count(*) as n_words, count(g.p) as n_removed, string_agg(word, ' ' order by w.p) filter (g.p is null) as text
+    from words w left join gone g on g.doc_id = w.doc_id and g.p = w.p group by 1
+)
+select t.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from texts t left join kept k on k.doc_id = t.doc_id
+"""
+
 _OP10_SQL = """
 with sized as (
     select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
@@ -99,4 +118,4 @@ select page_id, payload_bytes, s.payload_digest,
 from sized s left join firsts f on s.payload_digest = f.payload_digest
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": _OP4_SQL, "op10_warc": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat": _OP4_SQL, "op8_substring": _OP8_SQL, "op10_warc": _OP10_SQL}
