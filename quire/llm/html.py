@@ -25,13 +25,18 @@ HOLDS = frozenset("article body div html main section td".split())
 BOILER = frozenset("aside dialog footer form head menu nav".split())
 #: Words of classes, ids and roles that mark what is not the article.
 NOISE = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies disclaimer discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup popular promo promoted promotion promotions recommended related replies reply respond responses search share sharing shares sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar widget widgets".split()
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disclaimer discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup popular promo promoted promotion promotions recommended related replies reply respond responses search share sharing shares sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar widget widgets".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A header of these belongs to the article.
+OWN = frozenset("article content entry post story".split())
+# A tag ends at its `>`; where a `<` comes first it is text, so no start is searched twice.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 #: A container gives way to the one around it while that holds at most this much more text.
 GROWTH = 1.3
+#: Steps of a path, counted from its container outwards.
+STEPS = 8
 #: The least share of a host's votes that makes a path a winner.
 SHARE = 0.05
 
@@ -57,8 +62,15 @@ def _is_noise(tag: str, attrs: dict[str, str], parent: Node | None) -> bool:
         return True
     if tag in ("body", "html", "article", "main") and "comment" not in attrs.get("class", ""):
         return False
-    names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()
-    return bool(names.strip()) and not NOISE.isdisjoint(_WORD.findall(names))
+    return any(_names_noise(name) for k in ("class", "id", "role") for name in attrs.get(k, "").lower().split())
+
+
+def _names_noise(name: str) -> bool:
+    """A name whose first or last word marks noise: site-header, comments2; not has-comments, not entry-header."""
+    words = _WORD.findall(name)
+    if not words or words[0] in ("has", "is", "no", "not", "with") or words[-1] == "header" and words[0] in OWN:
+        return False
+    return words[0] in NOISE or words[-1] in NOISE
 
 
 def _inside(node: Node | None, tags: tuple) -> bool:
@@ -128,7 +140,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             attrs = _attributes(rest)
             if tag in ("html", "body") and any(n.tag == tag for n in stack[1:]):
                 continue
-            node = Node(tag, f"{stack[-1].path}>{_step(tag, attrs)}", stack[-1], stack[-1].noise or _is_noise(tag, attrs, stack[-1]))
+            path = ">".join([*stack[-1].path.split(">")[1 - STEPS :], _step(tag, attrs)])
+            node = Node(tag, path, stack[-1], stack[-1].noise or _is_noise(tag, attrs, stack[-1]))
             nodes.append(node)
             if not rest.rstrip().endswith("/"):
                 stack.append(node)
@@ -156,7 +169,7 @@ def best(nodes: list[Node]) -> Node | None:
             node.parent.total += node.total
     for node in nodes:
         holder, share = node, 1.0
-        while holder is not None and node.chars:
+        while holder is not None and node.chars and share > 1e-6:
             if holder.tag in HOLDS:
                 score[id(holder)] = score.get(id(holder), 0.0) + node.chars * share
                 share /= 2
@@ -170,14 +183,13 @@ def best(nodes: list[Node]) -> Node | None:
     return chosen
 
 
-def text_under(node: Node, blocks: list[tuple[Node, str]]) -> str:
-    out = []
-    for owner, text in blocks:
-        while owner is not None and owner is not node:
-            owner = owner.parent
-        if owner is node:
-            out.append(text)
-    return "\n\n".join(out)
+def text_under(node: Node, nodes: list[Node], blocks: list[tuple[Node, str]]) -> str:
+    """The blocks inside a container; nodes in page order, so a parent comes before its children."""
+    inside = {id(node)}
+    for n in nodes:
+        if id(n.parent) in inside:
+            inside.add(id(n))
+    return "\n\n".join(text for owner, text in blocks if id(owner) in inside)
 
 
 def best_path(page: str) -> str | None:
@@ -191,8 +203,8 @@ def extract(page: str, winners: list[str]) -> str:
     own = best(nodes)
     for path in winners:
         if found := max((n for n in nodes if n.path == path and n.total and not n.noise), key=lambda n: n.total, default=None):
-            return text_under(found, blocks)
-    return text_under(own, blocks) if own else ""
+            return text_under(found, nodes, blocks)
+    return text_under(own, nodes, blocks) if own else ""
 
 
 def host_of(column: F.Column) -> F.Column:
