@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.folders import new_folder
+from quire.folders import new_folder, remove_folder
 from quire.llm.shared import Words, _mix, buffer_of, powers, release, slices, windows_hash
 
 WIDTH = 20
@@ -279,14 +279,11 @@ def _search(copies: DataFrame, width: int) -> DataFrame:
     return copies.mapInArrow(run, "anchor long, stretch long, mask long")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def _written(df: DataFrame, path: str) -> DataFrame:
     """df through a table in the shared folder; what made it can go."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    del df
-    release(spark)
-    return spark.read.parquet(path)
+    release(df.sparkSession)
+    return df.sparkSession.read.parquet(path)
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -295,10 +292,12 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     The stretches and the spans are written to the shared folder, and the shuffle files behind them released, so that
     the texts' shuffles do not lie on disk together.
     """
+    spark = docs.sparkSession
+    folder = new_folder(spark, "stretches")
     texts = _texts(docs)
     anchors = _anchors(texts, width)
     often = anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    found = _written(_stretches(texts, anchors.join(often, "anchor", "left_semi"), width), "stretches")
+    found = _written(_stretches(texts, anchors.join(often, "anchor", "left_semi"), width), folder)
     copies = found.where("words is not null")
     shards = max(1, -(-copies.count() // STRETCHES_PER_SHARD))
     copies = copies.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "*")
@@ -308,7 +307,9 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     full = F.expr("shiftleft(1L, cast(n as int)) - 1")
     spans = found.select("anchor", "stretch", "id", "tie", "start", "n").join(first, ["anchor", "stretch"])
     spans = spans.withColumn("mask", F.when(place == F.col("first"), F.col("mask")).otherwise(full)).where("mask <> 0")
-    return _written(spans.groupBy("id", "tie").agg(F.collect_set(F.struct("start", "mask")).alias("spans")), "spans")
+    spans = _written(spans.groupBy("id", "tie").agg(F.collect_set(F.struct("start", "mask")).alias("spans")), new_folder(spark, "spans"))
+    remove_folder(spark, folder)
+    return spans
 
 
 def _kept(text: bytes, spans: list[dict] | None, width: int) -> tuple[int, int, bytes]:
