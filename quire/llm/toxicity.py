@@ -327,10 +327,10 @@ class Scorer:
         at, doc = windows_of(words.bounds)
         empty = float(model.windows(gates[-1:], np.zeros((1, 1), np.int64))[0])
         best = np.full(len(texts), -np.inf)
-        for a in range(0, len(at), 8192):
-            part = at[a : a + 8192]
+        for a in range(0, len(at), 4096):
+            part = at[a : a + 4096]
             logit = model.windows(gates, np.where(part >= 0, which[part], -1))
-            np.maximum.at(best, doc[a : a + 8192], logit)
+            np.maximum.at(best, doc[a : a + 4096], logit)
         return _sigmoid(np.where(np.isneginf(best), empty, best)).astype(np.float64)
 
 
