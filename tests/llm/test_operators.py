@@ -112,6 +112,14 @@ def test_quality_counts(docs, texts, empty):
     assert quality.keep_good(empty).count() == 0
 
 
+def test_quality_band_is_three_deviations(spark):
+    limits = spark.createDataFrame([("en", 1.6, 2.0)], "tongue string, middle double, spread double")
+    away = (-6.5, -4.0, -3.5, -2.5, 0.0, 2.5, 3.5, 4.0, 6.5)
+    rows = [(k, "en", 400, 0, 1.6 + d * 2.0 / 20) for k, d in enumerate(away)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, n_repeat_words long, log_ppl double")
+    assert sorted(r.doc_id for r in quality.judge(scored, limits).where("kept").collect()) == [3, 4, 5]
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice(list("abcab "), 300)) for _ in range(4)]
