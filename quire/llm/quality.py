@@ -1,10 +1,9 @@
 """Quality rules: base counts, and perplexity under a modified Kneser-Ney model with bands for each language.
 
 The model reads bytes inside words (a word is its bytes, a start byte and an end byte), up to ORDER of them. Spark
-counts the n-grams of all texts; tasks send one row for each n-gram they saw, so what is gathered grows with the
-input. The tables are told apart by SLOT_BITS-bit hashes of language and n-gram, so that they hold at most
-2 ** SLOT_BITS entries whatever the corpus; that bound makes it safe to collect and broadcast them. They are kept
-as sorted arrays of 64-bit hashes with log probabilities and back-off weights beside them.
+counts the n-grams of all texts, and the driver gathers one row of 24 bytes for each distinct n-gram of a language. None
+is left out or merged, so what is gathered and broadcast grows with the distinct n-grams (not with the texts). The model
+is kept as sorted arrays of 64-bit hashes of language and n-gram with log probabilities and back-off weights beside them.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from pyspark.sql import functions as F
 from quire.llm.shared import Words, _mix, buffer_of, cut, slices, windows_hash
 
 ORDER = 5
-SLOT_BITS = 21
 START, END = 1, 2
 #: A language's band: its median log perplexity and so many robust deviations (for the text's length) each way. Chosen
 #: from the documents of either label that it keeps and rejects on sf0.1 (README).
@@ -55,14 +53,14 @@ def _grams(words: Words, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _key(value: np.ndarray, lang: np.ndarray, order: int) -> np.ndarray:
-    """Slot hash of the newest `order` bytes of each value and its language hash."""
+    """Hash of the newest `order` bytes of each value and its language hash."""
     low = value & np.uint64((1 << 8 * order) - 1)
     with np.errstate(over="ignore"):
         return _mix(low * _GOLD + lang + np.uint64(order))
 
 
 def _context(value: np.ndarray, lang: np.ndarray, order: int) -> np.ndarray:
-    """Slot hash of the order - 1 bytes before the newest."""
+    """Hash of the order - 1 bytes before the newest."""
     low = (value >> np.uint64(8)) & np.uint64((1 << 8 * (order - 1)) - 1)
     with np.errstate(over="ignore"):
         return _mix(low * _GOLD + lang + np.uint64(64 + order))
@@ -215,15 +213,9 @@ def fit(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
     return Model(keys, logs, contexts, backs)
 
 
-def _slots(counts: DataFrame) -> DataFrame:
-    """At most 2 ** SLOT_BITS rows: n-grams that share a slot share a row and its count."""
-    slot = F.xxhash64("lang", "gram").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
-    return counts.groupBy(slot.alias("slot")).agg(F.min(F.struct("lang", "gram")).alias("x"), F.sum("n").alias("n")).select("x.lang", "x.gram", "n")
-
-
 def train(docs: DataFrame) -> Model:
-    """Counts n-grams of all rows of docs (text, lang) in Spark and fits the model on the bounded table."""
-    rows = _slots(ngram_counts(docs)).toArrow()
+    """Counts n-grams of all rows of docs (text, lang) in Spark and fits the model on every one of them."""
+    rows = ngram_counts(docs).toArrow()
     lang, gram, n = (rows.column(k).combine_chunks().to_numpy() if rows.num_rows else np.zeros(0, np.int64) for k in range(3))
     order = np.lexsort((gram, lang))
     return fit(lang[order].view(np.uint64), gram[order].view(np.uint64), n[order])

@@ -120,6 +120,16 @@ def test_quality_band_is_three_deviations(spark):
     assert sorted(r.doc_id for r in quality.judge(scored, limits).where("kept").collect()) == [3, 4, 5]
 
 
+def test_model_has_every_ngram_of_every_language(spark):
+    rng = random.Random(9)
+    words = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(2000)] for x in ("fr", "de")}
+    rows = [(" ".join(w[k : k + 100]), x) for x, w in words.items() for k in range(0, len(w), 100)]
+    model = quality.train(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    for order in range(1, quality.ORDER + 1):
+        grams = {(x, (b"\0" * 4 + b"\1" + w.encode() + b"\2")[k - order + 1 : k + 1]) for x in words for w in words[x] for k in range(5, 15)}
+        assert len(model.keys[order - 1]) == len(grams), order
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice(list("abcab "), 300)) for _ in range(4)]
