@@ -52,8 +52,8 @@ def fingerprint_of(text: bytes, width: int, seed: int = 42) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp long): the signed form of each text's fingerprint. Null and wordless texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tagged: bool = False) -> DataFrame:
+    """(doc_id, fp long): the signed form of each text's fingerprint. Null and wordless texts have 0. tagged: and tag, the text's XXH64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,10 +61,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 data, offsets = buffer_of(part.column(1))
                 raw = data.tobytes()
                 fps = np.array([fingerprint_of(raw[a:b], width) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), *part.columns[2:]], ["doc_id", "fp", "tag"][: part.num_columns])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.xxhash64(text_col).alias("tag")] if tagged else []))
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", tag long" if tagged else ""))
 
 
 def _masks(blocks: int, radius: int) -> list[int]:
@@ -215,26 +215,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read, so their names may be anything.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
+    return _grouped(prints, radius).select("doc_id", "fp", "component_id")
+
+
+def _grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints (doc_id, fp and others) with root, the component of the fingerprint, and component_id, its smallest doc_id."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(nodes.select("fp"), radius))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(lowest, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its near-duplicate group, all columns as they were.
+    """One row of each near-duplicate group: that of the smallest doc_id, all columns as they were.
 
-    Rows of one doc_id count as one document, of which the row whose text sorts first stays. A null doc_id never stays.
+    A null doc_id counts as the greatest. Of rows of one doc_id in one group, the row whose text sorts first stays; rows
+    of one doc_id with far texts are in groups of their own. The groups are joined to the rows by doc_id and text hash.
     """
     names = docs.columns
-    at = names.index("doc_id")
     flat = docs.toDF(*(f"x{k}" for k in range(len(names))))
-    key, text = F.col(f"x{at}"), F.col(f"x{names.index('text')}")
-    first = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(text))
-    return flat.join(first, key == F.col("_id"), "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank").toDF(*names)
+    key, text = F.col(f"x{names.index('doc_id')}"), F.col(f"x{names.index('text')}")
+    prints = cut(fingerprints(docs.select("doc_id", "text"), tagged=True))
+    first = _grouped(prints).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("root").alias("_root")).distinct()
+    rank = F.row_number().over(Window.partitionBy("_root").orderBy(text))
+    rows = flat.join(first, key.cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_tag")))
+    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_id", "_tag", "_root", "_rank").toDF(*names)
 
 
 def fingerprint_hex(column: str = "fp") -> F.Column:

@@ -248,6 +248,14 @@ def test_simhash(docs, texts, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_first_with_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (7, d), (3, e), (7, e), (None, e)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, a), (0, b), (7, c), (7, d), (3, e)])
+
+
 def test_simhash_large_keys_are_dealt_in_chunks(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 62, 40).astype(np.uint64)
