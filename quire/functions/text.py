@@ -82,6 +82,9 @@ def fill_template(template: Column, values: Column) -> Column:
 
 
 def utf16_text(hexed: Column) -> Column:
-    """Text of UTF-16BE code units in hexadecimal; a partial unit at the end is ignored."""
-    whole = F.left(hexed, (F.length(hexed) - F.length(hexed) % 4).cast("int"))
-    return F.decode(F.unhex(whole), "UTF-16BE")
+    """Text of UTF-16BE code units in hexadecimal; a partial unit at the end is ignored, half a surrogate pair is U+FFFD."""
+    units = F.regexp_extract_all(F.upper(hexed), F.lit("[0-9A-F]{4}"), F.lit(0))
+    high, low = (lambda u: F.rlike(u, F.lit("^D[89AB]"))), (lambda u: F.rlike(u, F.lit("^D[C-F]")))
+    near = lambda i, test: F.coalesce(test(F.get(units, i)), F.lit(False))
+    alone = lambda u, i: high(u) & ~near(i + 1, low) | low(u) & ~near(i - 1, high)
+    return F.decode(F.unhex(F.array_join(F.transform(units, lambda u, i: F.when(alone(u, i), "FFFD").otherwise(u)), "")), "UTF-16BE")

@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import utf16_text
+
 
 def width_of(texts: DataFrame, glyphs: DataFrame) -> DataFrame:
-    """texts (id, text, size) x fonts of glyphs (font, char, code, width) -> (id, font, width): null if a character is missing."""
+    """texts (id, text, size) x fonts of glyphs (font, char, code, width) -> (id, font, width): null if a character is missing.
+
+    Characters meet glyphs by an equi-join; the names of the fonts (a few, as on a page) are one array of a scalar
+    subquery, so there are never more rows than the result has or the characters find.
+    """
     chars = texts.select("id", "size", F.explode(F.split("text", "")).alias("char")).where("char <> ''")
-    fonts = glyphs.select("font").distinct()
     need = chars.groupBy("id", "size", "char").agg(F.count("*").alias("n"))
-    every = need.join(F.broadcast(fonts)) if fonts.isLocal() else need.crossJoin(fonts)  # a page's few fonts
-    found = every.join(glyphs, ["font", "char"], "left")
-    total = F.sum(F.col("width") * F.col("n")) / 1000 * F.first("size")
-    return found.groupBy("id", "font").agg(F.when(F.bool_and(F.col("code").isNotNull()), total).alias("width"))
+    found = need.join(glyphs.where("code is not null"), "char", "left")
+    each = found.groupBy("id", "font").agg(F.first("size").alias("size"), F.count("*").alias("kinds"), (F.sum(F.col("width") * F.col("n")) / 1000).alias("width"))
+    kinds = need.groupBy("id").agg(F.count("*").alias("all"))
+    each = each.where("font is not null").join(kinds, "id", "right")
+    full = F.when(F.col("kinds") == F.col("all"), F.struct("font", (F.col("width") * F.col("size")).alias("width")))
+    fonts = glyphs.agg(F.sort_array(F.collect_set("font"))).scalar()
+    rows = each.groupBy("id").agg(F.map_from_entries(F.array_compact(F.collect_list(full))).alias("known"))
+    rows = rows.select("id", "known", F.explode(fonts).alias("font"))
+    return rows.select("id", "font", F.try_element_at("known", F.col("font")).alias("width"))
 
 
 def match_by_width(samples: DataFrame, widths: DataFrame, encodable: DataFrame) -> DataFrame:
@@ -73,20 +83,26 @@ def _number(h: Column) -> Column:
 
 
 def expand_tounicode(maps: DataFrame) -> DataFrame:
-    """maps (font, cmap) -> (font, code, char): single and ranged mappings of a ToUnicode program, the first of a character wins."""
-    block = lambda name: F.regexp_extract_all("cmap", F.lit(rf"(?s)begin{name}(.*?)end{name}"), 1)
-    pair = r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>"
-    single = maps.select("font", F.posexplode(F.flatten(F.transform(block("bfchar"), lambda b: F.regexp_extract_all(b, F.lit(pair), 0)))).alias("ord", "m"))
-    single = single.select("font", F.lit(0).alias("kind"), "ord", _number(F.regexp_extract("m", pair, 1)).alias("code"), F.regexp_extract("m", pair, 2).alias("to"), F.lit(0).cast("long").alias("step"))
-    triple = r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>"
-    ranged = maps.select("font", F.posexplode(F.flatten(F.transform(block("bfrange"), lambda b: F.regexp_extract_all(b, F.lit(triple), 0)))).alias("ord", "m"))
-    low, high = (_number(F.regexp_extract("m", triple, k)) for k in (1, 2))
-    ranged = ranged.where((high >= low) & (high - low <= 0xFFFF)).select("font", F.lit(1).alias("kind"), "ord", low.alias("low"), F.regexp_extract("m", triple, 3).alias("to"), F.explode(F.sequence(F.lit(0).cast("long"), high - low)).alias("step"))
-    ranged = ranged.select("font", "kind", "ord", (F.col("low") + F.col("step")).alias("code"), "to", "step")
-    rows = single.unionByName(ranged)
-    char = F.decode(F.unhex(F.lpad(F.hex(_number(F.col("to")) + F.col("step")), 4, "0")), "UTF-16BE")
-    first = rows.select("font", "code", char.alias("char"), F.struct("kind", "ord", "step").alias("at"))
-    return first.groupBy("font", "char").agg(F.min_by("code", "at").alias("code"))
+    """maps (font, cmap) -> (font, code, char): single, ranged and listed mappings of a ToUnicode program, the first of a character wins.
+
+    A target is UTF-16 text of any length; in a range only its last unit counts up.
+    """
+    h = "<([0-9A-Fa-f]+)>"
+    entries = lambda name, entry: F.flatten(F.transform(F.regexp_extract_all("cmap", F.lit(rf"(?s)begin{name}(.*?)end{name}"), F.lit(1)), lambda b: F.regexp_extract_all(b, F.lit(entry), F.lit(0))))
+    pair, span = rf"{h}\s*{h}", rf"{h}\s*{h}\s*(?:{h}|\[([^\]]*)\])"
+    part = lambda entry, k: F.regexp_extract("m", entry, k)
+    single = maps.select("font", F.posexplode(entries("bfchar", pair)).alias("ord", "m"))
+    single = single.select("font", F.lit(0).alias("kind"), "ord", F.lit(0).cast("long").alias("step"), _number(part(pair, 1)).alias("code"), part(pair, 2).alias("to"))
+    low, high, base = _number(part(span, 1)), _number(part(span, 2)), part(span, 3)
+    unit = lambda step: F.lpad(F.hex(_number(F.right(base, F.lit(4))) + step), 4, "0")
+    head = F.left(base, F.greatest(F.length(base) - 4, F.lit(0)))
+    counted = F.transform(F.sequence(F.lit(0).cast("long"), high - low), lambda step: F.concat(head, unit(step)))
+    listed = F.regexp_extract_all(part(span, 4), F.lit(h), F.lit(1))
+    ranged = maps.select("font", F.posexplode(entries("bfrange", span)).alias("ord", "m")).where((high >= low) & (high - low <= 0xFFFF))
+    ranged = ranged.select("font", F.lit(1).alias("kind"), "ord", low.alias("low"), F.posexplode(F.when(base != "", counted).otherwise(listed)).alias("step", "to"))
+    ranged = ranged.select("font", "kind", "ord", F.col("step").cast("long").alias("step"), (F.col("low") + F.col("step")).alias("code"), "to")
+    rows = single.unionByName(ranged).select("font", "code", utf16_text(F.col("to")).alias("char"), F.struct("kind", "ord", "step").alias("at"))
+    return rows.where("char <> ''").groupBy("font", "char").agg(F.min_by("code", "at").alias("code"))
 
 
 def expand_widths(fonts: DataFrame) -> DataFrame:

@@ -121,15 +121,16 @@ def describe(pages: DataFrame) -> DataFrame:
 
 
 def chosen_pages(files: DataFrame) -> DataFrame:
-    """files (job_id, file_id, ord, page_count, spec) -> job_id, file_id, ord, pages, error, warning. A blank spec takes all pages."""
+    """files (job_id, file_id, ord, page_count, spec) -> job_id, file_id, ord, pages, error, warning. A blank spec takes all pages; a file without pages is skipped."""
     blank = F.coalesce(F.trim("spec"), F.lit("")) == ""
     rows = files.withColumn("r", ranges.parse_spec(F.coalesce("spec", F.lit("")), F.col("page_count")))
-    every = F.sequence(F.lit(0), F.col("page_count") - 1)
+    none = F.coalesce(F.col("page_count"), F.lit(0)) <= 0
+    every = F.when(none, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.col("page_count"), F.lit(1)) - 1))
     return rows.select(
         "job_id", "file_id", "ord", "page_count",
         F.when(blank, every).otherwise(F.col("r.pages")).alias("pages"),
-        F.when(~blank & (F.size("r.pages") == 0), "E_RANGE_OUT_OF_BOUNDS").alias("error"),
-        F.when(~blank & (F.size("r.pages") > 0) & (F.size("r.out_of_bounds") > 0), "W_RANGE_CLAMPED").alias("warning"),
+        F.when(~none & ~blank & (F.size("r.pages") == 0), "E_RANGE_OUT_OF_BOUNDS").alias("error"),
+        F.when(none, "W_FILE_SKIPPED").when(~blank & (F.size("r.pages") > 0) & (F.size("r.out_of_bounds") > 0), "W_RANGE_CLAMPED").alias("warning"),
     )
 
 

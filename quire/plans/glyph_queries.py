@@ -71,21 +71,22 @@ def hex_codes(spark: SparkSession, sf: str) -> DataFrame:
     return M.read(spark, sf, "part").select("p_partkey", G.hex_codes(codes, 2).alias("wide"), G.hex_codes(codes, 1).alias("narrow"))
 
 
-#: A ToUnicode program and a widths entry with every form, for fonts 0 to 4.
-CMAP = "2 beginbfchar <0003> <0020> <01A0> <0E01> endbfchar 3 beginbfrange <0041> <0045> <0061> <0050> <0052> <0063> <0070> <0060> <0041> endbfrange 1 beginbfchar <0099> <0061> endbfchar"
-WIDTHS = "1 [500 600.5 700] 10 14 250 12 [333] 2 2 999"
-
-
-def _maps(spark: SparkSession) -> DataFrame:
-    return spark.range(5).select(F.col("id").cast("int").alias("font"), F.lit(CMAP).alias("cmap"), F.lit(WIDTHS).alias("w"))
-
-
 def tounicode_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return G.expand_tounicode(_maps(spark))
+    """Every part is a font with single (a ligature and an astral target among them), ranged and listed mappings."""
+    k, x4 = F.col("p_partkey"), "%04X"
+    cmap = F.concat(
+        F.lit("2 beginbfchar "), F.format_string(f"<{x4}> <{x4}> ", k % 256, 65 + k % 26), F.format_string(f"<{x4}> <00660069> ", 256 + k % 7), F.lit("<0300> <d83dde00> endbfchar "),
+        F.lit("3 beginbfrange "), F.format_string(f"<0400> <{x4}> <{x4}> ", 1024 + k % 5, 60 + k % 20), F.format_string(f"<0500> <0502> [<{x4}> <0E01> <00660066>] ", 97 + k % 26), F.lit("<0600> <0500> <0041> "),
+        F.format_string(f"<0700> <{x4}> <00410308> endbfrange ", 1792 + k % 3), F.format_string(f"1 beginbfchar <0099> <{x4}> endbfchar", 97 + k % 3),
+    )
+    return G.expand_tounicode(M.read(spark, sf, "part").select(k.alias("font"), cmap.alias("cmap")))
 
 
 def font_widths_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return G.expand_widths(_maps(spark))
+    """Every part is a font with listed and ranged widths that overlap."""
+    k = F.col("p_partkey")
+    w = F.format_string("%d [%d %d.5 700] 300 %d 250 302 [%d] 301 301 999", k % 200, k % 600, k % 500, 300 + k % 6, F.col("p_size"))
+    return G.expand_widths(M.read(spark, sf, "part").select(k.alias("font"), w.alias("w")))
 
 
 def encoding_layers(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,10 +220,17 @@ ORACLE = {
     "hex_codes": """
         select p_partkey, '<' || array_to_string(list_transform(string_split(p_brand, ''), lambda c: '00' || upper(hex(c))), '') || '>' as wide, '<' || array_to_string(list_transform(string_split(p_brand, ''), lambda c: upper(hex(c))), '') || '>' as narrow from part""",
     "tounicode_expand": """
-        with m(code, ch) as (values (3, ' '), (416, chr(3585)), (153, 'a'), (66, 'b'), (67, 'c'), (68, 'd'), (69, 'e'), (82, 'e')), k as (select min(code) as code, ch from m group by ch)
-        select f::int as font, ch as char, code::bigint as code from k, range(0, 5) t(f)""".replace("as char", 'as "char"'),
+        with p as (select p_partkey as k from part), m as (
+            select k, 1 as ord, k % 256 as code, chr((65 + k % 26)::int) as ch from p union all select k, 2, 256 + k % 7, 'fi' from p union all select k, 3, 768, chr(128512) from p
+            union all select k, 4, 153, chr((97 + k % 3)::int) from p union all select k, 10 + s, 1024 + s, chr((60 + k % 20 + s)::int) from p, range(0, 5) t(s) where s <= k % 5
+            union all select k, 20, 1280, chr((97 + k % 26)::int) from p union all select k, 21, 1281, chr(3585) from p union all select k, 22, 1282, 'ff' from p
+            union all select k, 30 + s, 1792 + s, 'A' || chr((776 + s)::int) from p, range(0, 3) t(s) where s <= k % 3)
+        select k as font, ch as "char", arg_min(code, ord)::bigint as code from m group by all""",
     "font_widths_expand": """
-        with w(code, width) as (values (1, 500.0::double), (2, 999), (3, 700), (10, 250), (11, 250), (12, 333), (13, 250), (14, 250)) select f::int as font, code::bigint as code, width from w, range(0, 5) t(f)""",
+        with p as (select p_partkey as k, p_size from part), w as (
+            select k, 1 as ord, k % 200 as code, (k % 600)::double as width from p union all select k, 1, k % 200 + 1, k % 500 + 0.5::double from p union all select k, 1, k % 200 + 2, 700 from p
+            union all select k, 2, 300 + s, 250 from p, range(0, 6) t(s) where s <= k % 6 union all select k, 3, 302, p_size from p union all select k, 4, 301, 999 from p)
+        select k as font, code::bigint as code, arg_max(width, ord) as width from w group by all""",
     "encoding_layers": """select p_partkey % 8 as font, p_partkey // 8 as code, case when p_partkey % 5 = 0 then p_name when p_partkey % 3 = 0 then p_type else p_brand end as "char" from part""",
     "cmap_first_wins": """select p_partkey % 8 as font, p_brand as "char", max(p_partkey) as code from part group by all""",
     "glyph_name_unicode": """

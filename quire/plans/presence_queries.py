@@ -13,7 +13,9 @@ from quire.streaming import presence as S
 
 
 def _ms(ts: F.Column) -> F.Column:
-    return F.unix_millis(ts.cast("timestamp"))
+    """The nearest whole millisecond, halves away from zero (as DuckDB's epoch_ms rounds)."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    return F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000)).cast("long")
 
 
 def presence_online(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,7 +54,7 @@ def replace_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def edit_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     d = M.read(spark, sf, "documents")
-    hits = F.when(F.col("doc_id") % 5 < 2, T.count_matches(F.col("text"), "moron")).otherwise(0)
+    hits = T.count_matches(F.col("text"), "moron")
     return T.edit_outcomes(d.select(F.expr("doc_id div 3").alias("job_id"), F.col("doc_id").alias("file_id"), hits.alias("hits"), (F.col("doc_id") % 2 == 0).alias("scanned"), F.when(F.col("doc_id") % 4 == 0, hits).otherwise(0).alias("overlays")), "moron")
 
 
@@ -111,7 +111,7 @@ def edit_history_undo(spark: SparkSession, sf: str) -> DataFrame:
 def apply_edits(spark: SparkSession, sf: str) -> DataFrame:
     edit = lambda a, b, p: F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(p).alias("put"))
     edits = F.array(edit(9, 11, ""), edit(0, 3, "<A>"), edit(5, 5, "+"))
-    return M.read(spark, sf, "documents").where("n_chars >= 12").select("doc_id", F.md5(T.apply_edits(F.col("text"), edits)).alias("digest"))
+    return M.read(spark, sf, "documents").select("doc_id", F.md5(T.apply_edits(F.col("text"), edits)).alias("digest"))
 
 
 QUERIES = {
@@ -136,7 +136,7 @@ ORACLE = {
             row_number() over (partition by file_id, font order by item_index, hit_offset) - 1 as ordinal from hits""",
     "replace_text": "select doc_id, md5(replace(text, 'the', '$1\\')) as digest from documents",
     "edit_outcomes": """
-        with f as (select doc_id // 3 as job_id, doc_id, case when doc_id % 5 < 2 then (len(text) - len(replace(text, 'moron', ''))) // 5 else 0 end as h from documents),
+        with f as (select doc_id // 3 as job_id, doc_id, (len(text) - len(replace(text, 'moron', ''))) // 5 as h from documents),
         j as (select job_id, count(*) filter (h > 0) as outputs, count(*) filter (h = 0) as untouched, bool_and(doc_id % 2 = 0) as scans, sum(case when doc_id % 4 = 0 then h else 0 end) as o from f group by 1)
         select job_id, case when outputs = 0 then case when scans then 'E_NO_TEXT_LAYER' else 'E_TEXT_NOT_FOUND' end end as error, outputs, case when outputs = 1 then 'application/pdf' when outputs > 1 then 'application/zip' end as packed,
             case when outputs = 0 then '' else concat_ws(',', case when untouched > 0 then 'W_NO_MATCH_IN_FILE' end, case when o > 0 then 'W_EDIT_OVERLAY' end) end as warnings from j""",
@@ -166,5 +166,5 @@ ORACLE = {
     "edit_history_undo": """
         with l as (select user_id, list_prepend([0], list(case when event_id % 3 = 0 then [] else [event_id] end order by event_id)) as log from events group by 1)
         select user_id as session_id, array_to_string(list_reduce(log, lambda acc, e: case when len(e) > 0 then list_concat(acc, e) when len(acc) > 1 then acc[:-2] else acc end)[2:], ',') as edits from l""",
-    "apply_edits": "select doc_id, md5('<A>' || substr(text, 4, 2) || '+' || substr(text, 6, 4) || substr(text, 12)) as digest from documents where n_chars >= 12",
+    "apply_edits": "select doc_id, md5('<A>' || substr(text, 4, 2) || '+' || substr(text, 6, 4) || substr(text, 12)) as digest from documents",
 }

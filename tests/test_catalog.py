@@ -16,9 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def plain(value):
     if value is None or isinstance(value, float) and math.isnan(value):
         return ""
-    if isinstance(value, bool):
-        return str(value)
-    return f"{float(value):.9g}" if isinstance(value, (int, float)) else str(value)
+    return f"{value:.9g}" if isinstance(value, float) else str(value)
 
 
 @pytest.fixture(scope="module")

@@ -90,3 +90,41 @@ def test_fonts(spark):
     assert value(spark, fonts.fit_scale(F.lit(20.0), F.lit(None).cast("double"))) == 1.0
     assert value(spark, fonts.glyph_char(F.lit("uni0E01.alt"))) == "ก"
     assert value(spark, fonts.hex_codes(F.array(F.lit(65), F.lit(3)), 2)) == "<00410003>"
+
+
+def test_files_without_pages_are_skipped(spark):
+    rows = spark.createDataFrame([(1, 1, 0, 0, ""), (1, 2, 1, 2, ""), (1, 3, 2, 0, "1-2")], "job_id long, file_id long, ord long, page_count int, spec string")
+    got = {r.file_id: (r.pages, r.error, r.warning) for r in pages.chosen_pages(rows).collect()}
+    assert got == {1: ([], None, "W_FILE_SKIPPED"), 2: ([0, 1], None, None), 3: ([], None, "W_FILE_SKIPPED")}
+    assert [r.file_id for r in pages.merge_map(pages.chosen_pages(rows)).collect()] == [2, 2]
+
+
+def test_tounicode_targets_of_any_length(spark):
+    cmap = "beginbfchar <01> <00660069> <02> <D83DDE00> <03> <D83D> <04> <41> endbfchar beginbfrange <10> <11> [<0391> <0392> <0393>] <20> <22> <0041> <30> <2F> <0050> endbfrange"
+    rows = spark.createDataFrame([(1, cmap)], "font int, cmap string")
+    got = {r.char: r.code for r in fonts.expand_tounicode(rows).collect()}
+    assert got == {"fi": 1, "😀": 2, "�": 3, "Α": 16, "Β": 17, "Γ": 18, "A": 32, "B": 33, "C": 34}
+
+
+def test_width_of_without_a_cross_join(spark):
+    glyphs = spark.createDataFrame([(0, "a", 1, 500.0), (0, "b", 2, 250.0), (1, "a", 1, 100.0), (2, "z", 3, 9.0)], "font int, char string, code int, width double")
+    texts = spark.createDataFrame([(1, "aab", 10.0), (2, "aa", 10.0), (3, "q", 10.0)], "id int, text string, size double")
+    out = fonts.width_of(texts, glyphs)
+    assert {(r.id, r.font): r.width for r in out.collect()} == {(1, 0): 12.5, (1, 1): None, (1, 2): None, (2, 0): 10.0, (2, 1): 2.0, (2, 2): None, (3, 0): None, (3, 1): None, (3, 2): None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
+
+
+def test_online_counts_equal_brute_force(spark):
+    import random
+
+    from quire.operators import presence
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.choice(["x", "y", "z", None]), rng.choice([0, 44_999, 45_000, 45_001, rng.randrange(400_000)]), k) for k in range(300)]
+    rows += [("a", "x", None, 300), ("c", None, 5, 301)]
+    table = spark.createDataFrame(rows, "room string, id string, ms long, row_id long")
+    got = {r.row_id: r.online for r in presence.online(table, presence.WINDOW_MS, "room").collect()}
+    want = {k: None if ms is None else len({i for q, i, m, _ in rows if q == room and i is not None and m is not None and ms - 45_000 < m <= ms}) for room, _, ms, k in rows}
+    assert got == want
+    assert {r.row_id for r in presence.online(table).collect()} == set(want)
