@@ -1,69 +1,91 @@
 """Quality rules: base counts, and perplexity under a modified Kneser-Ney model with bands for each language.
 
-The model reads bytes inside words (a word is its bytes, a start byte and an end byte), up to ORDER of them. Spark
-counts the n-grams of all texts, and the driver gathers one row of 24 bytes for each distinct n-gram of a language. None
-is left out or merged, so what is gathered and broadcast grows with the distinct n-grams (not with the texts). The model
-is kept as sorted arrays of 64-bit hashes of language and n-gram with log probabilities and back-off weights beside them.
+The model reads a text as its words, each followed by one space, in contexts of ORDER - 1 bytes that run across words.
+A text's measure is its mean cost of a word. Nothing is left out or gathered in one place:
+
+1. Texts are read once, in blocks of some megabytes. A block is written, compressed, with the sorted hashes of its
+   distinct n-grams; what a task counted is written beside it.
+2. Spark adds the counts up and works out the interpolated probability of every n-gram, order by order, with joins.
+3. Probabilities are dealt by hash into shards, each a sorted array of hashes with a log probability beside it. The
+   blocks ask the shards for their own n-grams and come back with an array as long as their hashes.
+4. Each block is scored with its own arrays, and bands come from the scores.
+
+So a worker holds one block or one shard, however large the corpus and its model are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Words, _mix, buffer_of, cut, slices, windows_hash
+from quire.llm.shared import Words, _mix, _SPACE, buffer_of, cut, shared_folder, slices, windows_hash
 
 ORDER = 5
-START, END = 1, 2
-#: A language's band: its median log perplexity and so many robust deviations (for the text's length) each way. Chosen
+START, SPACE = 1, 32
+#: A language's band: its median cost of a word and so many robust deviations (for the text's length) each way. Chosen
 #: from the documents of either label that it keeps and rejects on sf0.1 (README).
 WIDTH = 3.0
-#: Languages with fewer scored texts than this share one band.
-LEAST_TEXTS = 50
+#: A language's spread is its own, weighted by its texts, and that of all languages with this weight.
+SHARED_TEXTS = 50
+#: Bytes of text in a block, n-gram positions worked on at a time, distinct n-grams that a task counts before it writes
+#: them, and n-grams asked of a shard.
+BLOCK_BYTES, STEP, HELD_GRAMS, SHARD_ROWS = 8 << 20, 1 << 20, 1 << 20, 1 << 19
+BLOCKS_A_TASK = 8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64((1 << 8 * ORDER) - 1)
 
 
-def _grams(words: Words, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the picked words: for each byte after START (END last) the value of it and the ORDER - 1 before, and the word's number.
+def _grams(words: Words, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of words a to b - 1, and the space after each word: it and the ORDER - 1 bytes before, and the word's number.
 
-    Bytes before the word's START count as 0; the newest byte is the lowest.
+    The newest byte is the lowest. A text starts with START, before which bytes count as 0.
     """
-    s, e = words.starts[picked], words.ends[picked]
+    lo = max(0, a - ORDER // 2)  # a word has two bytes at least, so these cover every context
+    s, e = words.starts[lo:b], words.ends[lo:b]
     size = e - s + 1
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    owner = np.repeat(np.arange(len(picked)), size)
+    owner = np.repeat(np.arange(len(s)), size)
     place = np.arange(total) - np.repeat(ends - size, size)
-    at = place + s[owner]
-    last = place == size[owner] - 1
     data = words.data
-    newest = np.where(last, END, data[np.minimum(at, len(data) - 1)]) if len(data) else np.zeros(0, np.int64)
-    value = newest.astype(np.uint64)
+    seq = np.where(place == (size - 1)[owner], SPACE, data[np.minimum(place + s[owner], max(0, len(data) - 1))]).astype(np.uint64) if total else np.zeros(0, np.uint64)
+    first = np.isin(np.arange(lo, b), words.bounds[:-1])
+    begin = np.zeros(total, np.int64)
+    begin[(ends - size)[first]] = (ends - size)[first]
+    depth = np.arange(total) - np.maximum.accumulate(begin) if total else begin
+    if total and not first[0]:  # this text began earlier
+        depth[: int(np.argmax(begin > 0)) if (begin > 0).any() else total] += ORDER
+    value = seq.copy()
     for k in range(1, ORDER):
-        back = np.where(place >= k, data[np.maximum(at - k, 0)], np.where(place == k - 1, START, 0)).astype(np.uint64)
-        value |= back << np.uint64(8 * k)
-    return value, owner
+        back = np.zeros(total, np.uint64)
+        back[k:] = seq[:-k]
+        value |= np.where(depth >= k, back, np.where(depth == k - 1, START, 0).astype(np.uint64)) << np.uint64(8 * k)
+    cut_at = int(ends[a - lo - 1]) if a > lo else 0
+    return value[cut_at:], owner[cut_at:] + lo
 
 
-def _key(value: np.ndarray, lang: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the newest `order` bytes of each value and its language hash."""
-    low = value & np.uint64((1 << 8 * order) - 1)
-    with np.errstate(over="ignore"):
-        return _mix(low * _GOLD + lang + np.uint64(order))
+def _steps(words: Words) -> Iterator[tuple[int, int]]:
+    """Ranges of words of about STEP bytes (a longer word is a range of its own)."""
+    sizes = np.r_[0, np.cumsum(words.ends - words.starts + 1)]
+    at, n = 0, len(words.starts)
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + STEP, "right")) - 1)
+        yield at, end
+        at = end
 
 
-def _context(value: np.ndarray, lang: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the order - 1 bytes before the newest."""
-    low = (value >> np.uint64(8)) & np.uint64((1 << 8 * (order - 1)) - 1)
+def _key(gram: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """Hash of n-grams and their language hashes."""
     with np.errstate(over="ignore"):
-        return _mix(low * _GOLD + lang + np.uint64(64 + order))
+        return _mix(gram * _GOLD + lang)
 
 
 def lang_hash(name: str | None) -> int:
@@ -72,153 +94,198 @@ def lang_hash(name: str | None) -> int:
     return xxh64_intdigest((name or "").encode(), 7)
 
 
-def _lang_hashes(column: pa.Array) -> np.ndarray:
-    names = column.to_pylist()
-    known = {x: lang_hash(x) for x in set(names)}
-    return np.array([known[x] for x in names], np.uint64)
+class Tongues:
+    """Languages in the order in which they came, so that a number and an n-gram fit 64 bits."""
 
+    def __init__(self) -> None:
+        self.known: dict[str | None, int] = {}
+        self.hashes = np.zeros(0, np.uint64)
 
-class Seen:
-    """A growing map from 64-bit keys to the order in which they came."""
+    def numbers(self, column: pa.Array) -> np.ndarray:
+        out = np.array([self.known.setdefault(x, len(self.known)) for x in column.to_pylist()], np.uint64)
+        if len(self.hashes) < len(self.known):
+            self.hashes = np.array([lang_hash(x) for x in self.known], np.uint64)
+        return out
 
-    def __init__(self) -> None:
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def key(self, both: np.ndarray) -> np.ndarray:
+        """Hashes of values of number << 8 * ORDER | n-gram."""
+        return _key(both & _LOW, self.hashes[(both >> np.uint64(8 * ORDER)).astype(np.int64)])
+
+
+def _numbered(words: Words, numbers: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Language number and n-gram of each position of words a to b - 1, and the text it is in."""
+    value, owner = _grams(words, a, b)
+    text = np.searchsorted(words.bounds, np.arange(a, b), "right") - 1
+    text = text[owner - a]
+    return numbers[text] << np.uint64(8 * ORDER) | value, text
+
+
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of n."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n[order], first)
 
-    def __len__(self) -> int:
-        return len(self.keys)
 
-    def rows_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The row of each of the distinct sorted keys, and which of them are new (they get the next rows)."""
-        hit, at = _find(self.keys, keys)
-        new = np.flatnonzero(~hit)
-        rows = self.rows[at] if len(self.keys) else np.zeros(len(keys), np.int64)
-        rows[new] = len(self.keys) + np.arange(len(new))
-        place = np.searchsorted(self.keys, keys[new])
-        self.keys, self.rows = np.insert(self.keys, place, keys[new]), np.insert(self.rows, place, rows[new])
-        return rows, new
+BLOCKS = "block long, packed binary, keys binary, n_keys long, langs binary, grams binary, counts binary"
+_BLOCK_NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
-#: Distinct words that a worker holds at a time.
-HELD_WORDS = 400_000
+def _pack(parts: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for part in parts:
+            out.write_batch(part)
+    return sink.getvalue().to_pybytes()
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) of rows (lang hash, n-gram value): counts over all words of all texts. docs has text and lang."""
+def write_blocks(rows: DataFrame, text: int, lang: int) -> DataFrame:
+    """The rows in blocks (BLOCKS), written to the shared folder and read back; text and lang: places of these columns.
+
+    A row is either a block (its rows, compressed, and the sorted hashes of its n-grams) or counts of a task (language
+    hashes, n-grams and their numbers).
+    """
+    spark = rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts, tongues, grams, owners = Seen(), np.zeros(0, np.int64), [], [], []
-
-        def drain() -> Iterator[pa.RecordBatch]:
-            names, index = np.unique(np.concatenate(tongues), return_inverse=True)
-            lang, gram, owner = index.astype(np.uint64), np.concatenate(grams), np.concatenate(owners)
-            n = counts[owner]
-            order = np.lexsort((gram, lang[owner])) if len(names) > 1 << 20 else np.argsort(lang[owner] << np.uint64(8 * ORDER) | gram)
-            lang, gram, n = lang[owner][order], gram[order], n[order]
-            first = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (gram[1:] != gram[:-1])])
-            lang, gram, n = names[lang[first].astype(np.int64)], gram[first], np.add.reduceat(n, first)
-            for at in range(0, len(lang), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].view(np.int64)) for x in (lang, gram, n)], ["lang", "gram", "n"])
+        context = TaskContext.get()
+        base, number = (context.partitionId() if context else 0) << 32, 0
+        tongues, held, held_n, parts, distinct = Tongues(), [], [], [], []
+        size = grams = 0
 
-        for batch in batches:
-            for part in slices(batch):
-                data, offsets = buffer_of(part.column(0))
-                words = Words(data, offsets)
-                if not len(words.starts):
-                    continue
-                langs = np.repeat(_lang_hashes(part.column(1)), np.diff(words.bounds))
-                with np.errstate(over="ignore"):
-                    keys, first, count = np.unique(words.hashes() + langs, return_index=True, return_counts=True)
-                rows, new = seen.rows_of(keys)
-                value, owner = _grams(words, first[new])
-                grams.append(value), owners.append(rows[new][owner]), tongues.append(langs[first[new]])
-                counts = np.r_[counts, np.zeros(len(new), np.int64)]
-                counts[rows] += count
-                if len(seen) > HELD_WORDS:
-                    yield from drain()
-                    seen, counts, tongues, grams, owners = Seen(), np.zeros(0, np.int64), [], [], []
-        if len(seen):
-            yield from drain()
-
-    parts = docs.select("text", "lang").mapInArrow(run, "lang long, gram long, n long")
-    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        def row(**values: object) -> pa.RecordBatch:
+            kinds = [pa.int64() if c.endswith("long") else pa.binary() for c in BLOCKS.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([values.get(c)], t) for c, t in zip(_BLOCK_NAMES, kinds)], _BLOCK_NAMES)
 
+        def block() -> pa.RecordBatch:
+            keys = np.unique(np.concatenate(distinct)) if distinct else np.zeros(0, np.uint64)
+            return row(block=base + number, packed=_pack(parts), keys=np.sort(tongues.key(keys)).tobytes(), n_keys=len(keys))
 
-@dataclass
-class Model:
-    """Sorted hash arrays of each order (index: order - 1): log probability and, as a context, log back-off weight."""
-
-    keys: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    backs: list[np.ndarray]
-
-    def score(self, value: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        """Log probability of the newest byte of each n-gram value given the bytes before it."""
-        out = np.zeros(len(value))
-        todo = np.arange(len(value))
-        for order in range(ORDER, 0, -1):
-            key = _key(value[todo], lang[todo], order)
-            hit, at = _find(self.keys[order - 1], key)
-            out[todo[hit]] += self.logs[order - 1][at[hit]]
-            todo = todo[~hit]
-            hit, at = _find(self.contexts[order - 1], _context(value[todo], lang[todo], order))
-            out[todo[hit]] += self.backs[order - 1][at[hit]]
-        out[todo] += np.log(1 / 256)
-        return out
+        def counted() -> pa.RecordBatch:
+            both, n = _added(np.concatenate(held), np.concatenate(held_n))
+            langs = tongues.hashes[(both >> np.uint64(8 * ORDER)).astype(np.int64)]
+            return row(langs=langs.tobytes(), grams=(both & _LOW).tobytes(), counts=n.tobytes())
 
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[text]):
+                words = Words(*buffer_of(part.column(text)))
+                numbers = tongues.numbers(part.column(lang).cast(pa.string()))
+                for a, b in _steps(words):
+                    both, _ = _numbered(words, numbers, a, b)
+                    keys, n = np.unique(both, return_counts=True)
+                    distinct.append(keys), held.append(keys), held_n.append(n)
+                    grams += len(keys)
+                    if grams > HELD_GRAMS:
+                        keys, n = _added(np.concatenate(held), np.concatenate(held_n))
+                        held, held_n, grams = [keys], [n], len(keys)
+                        if 2 * grams > HELD_GRAMS:
+                            yield counted()
+                            held, held_n, grams = [], [], 0
+                    if len(distinct) > 16:
+                        distinct = [np.unique(np.concatenate(distinct))]
+                parts.append(part)
+                size += len(words.data)
+                if size >= BLOCK_BYTES:
+                    yield block()
+                    number, parts, distinct, size = number + 1, [], [], 0
+                    if len(tongues.known) > 1 << 16:  # numbers stay far from 24 bits
+                        if held:
+                            yield counted()
+                        tongues, held, held_n, grams = Tongues(), [], [], 0
+        if parts:
+            yield block()
+        if held:
+            yield counted()
+
+    path = shared_folder(spark, "quality-blocks")
+    rows.mapInArrow(run, BLOCKS).write.parquet(path)
+    return spark.read.schema(BLOCKS).parquet(path)
+
+
+def ngram_counts(blocks: DataFrame) -> DataFrame:
+    """(lang, gram, n): language hash, n-gram and its count over all words of all texts."""
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[at] == wanted, at
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                columns = [np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in range(3)]
+                for at in range(0, len(columns[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["lang", "gram", "n"])
 
+    parts = blocks.where("grams is not null").select("langs", "grams", "counts").mapInArrow(run, "lang long, gram long, n long")
+    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _suffix(order: int) -> Column:
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))
 
-def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, the first row of each, and the sums of the columns."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], order[first], *(np.add.reduceat(c[order], first) if len(first) else c[:0] for c in columns)
 
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, gram, n) of distinct n-grams -> (lang, gram, p): the interpolated modified Kneser-Ney probability of the newest byte.
 
-def fit(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
-    """The modified Kneser-Ney model of distinct n-grams of the full order with their counts."""
-    keys, logs, contexts, backs = [], [], [], []
-    levels = {ORDER: (lang, gram, n.astype(np.float64))}
+    Below the full order an n-gram counts the distinct ones that end in it. The discounts of an order are of all languages.
+    A context has at most 256 n-grams, so no group is large.
+    """
+    levels = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):
-        above, value, _ = levels[order + 1]
-        low = value & np.uint64((1 << 8 * order) - 1)
-        _, first, kinds = _sums(_key(low, above, order), np.ones(len(low)))
-        levels[order] = (above[first], low[first], kinds)
-    below: tuple[np.ndarray, np.ndarray] | None = None
+        levels[order] = levels[order + 1].groupBy("lang", _suffix(order).alias("gram")).agg(F.count("*").alias("n"))
+    tallied = [levels[o].agg(F.lit(o).alias("order"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))) for o in levels]
+    tallies = {r["order"]: [max(1, r[f"n{k}"]) for k in (1, 2, 3, 4)] for r in reduce(DataFrame.unionAll, tallied).collect()}  # a row for each order
+    below = None
     for order in range(1, ORDER + 1):
-        tongue, value, count = levels[order]
-        tally = [max(1.0, float(np.sum(count == k))) for k in (1, 2, 3, 4)]
-        y = tally[0] / (tally[0] + 2 * tally[1])
-        cuts = np.clip([0, *(k - (k + 1) * y * tally[k] / tally[k - 1] for k in (1, 2, 3))], 0, [0, 0.9, 1.8, 2.7])
-        off = cuts[np.minimum(count, 3).astype(np.int64)]
-        ctx, _, total, cut_off = _sums(_context(value, tongue, order), count, off)
-        _, at = _find(ctx, _context(value, tongue, order))
-        gamma = np.maximum(cut_off, 1e-9 * total) / total
+        n1, n2, n3, n4 = tallies[order]
+        y = n1 / (n1 + 2 * n2)
+        cuts = [min(max(k - (k + 1) * y * b / a, 0.0), 0.9 * k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        off = F.when(F.col("n") == 1, cuts[0]).when(F.col("n") == 2, cuts[1]).otherwise(cuts[2])
+        context = Window.partitionBy("lang", F.shiftright("gram", 8))
+        rows = levels[order].withColumn("off", off).withColumn("total", F.sum("n").over(context)).withColumn("kept_off", F.sum("off").over(context))
         if below is None:
-            lower = np.full(len(value), 1 / 256)
+            rows = rows.withColumn("lower", F.lit(1 / 256))
         else:
-            _, to = _find(below[0], _key(value, tongue, order - 1))
-            lower = np.exp(below[1][to])
-        p = np.maximum(count - off, 0) / total[at] + gamma[at] * lower
-        key, first = _sums(_key(value, tongue, order))
-        below = (key, np.log(p[first]))
-        keys.append(key), logs.append(below[1]), contexts.append(ctx), backs.append(np.log(gamma))
-    return Model(keys, logs, contexts, backs)
+            rows = rows.join(below, (rows["lang"] == below["lang_"]) & (_suffix(order - 1) == below["gram_"]))
+        gamma = F.greatest(F.col("kept_off"), 1e-9 * F.col("total")) / F.col("total")
+        rows = rows.select("lang", "gram", (F.greatest(F.col("n") - F.col("off"), F.lit(0.0)) / F.col("total") + gamma * F.col("lower")).alias("p"))
+        below = rows.select(F.col("lang").alias("lang_"), F.col("gram").alias("gram_"), F.col("p").alias("lower"))
+    return rows
+
+
+def block_logs(blocks: DataFrame, model: DataFrame) -> DataFrame:
+    """(block, logs): log probabilities (32-bit floats) of each block's n-grams, in the order of its keys.
 
+    Shards are ranges of hashes; their number follows the n-grams that all blocks ask for, so a shard stays small.
+    """
+    asked = blocks.where("block is not null").agg(F.sum("n_keys")).first()[0] or 0
+    bits = max(4, (asked // SHARD_ROWS).bit_length())
+    shift = np.uint64(64 - bits)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys = np.frombuffer(batch.column(1)[k].as_buffer(), np.uint64)
+                shard = (keys >> shift).astype(np.int64)
+                cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(keys) else np.zeros(1, np.int64)
+                some = [keys[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]] if some else shard), pa.array([batch.column(0)[k].as_py()] * len(some), pa.int64()), pa.array(some, pa.binary())], ["shard", "block", "keys"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, gram, p = (c.to_numpy() for c in batch.columns)
+            key = _key(gram.view(np.uint64), lang.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array((key >> shift).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(np.log(p))], ["shard", "key", "log"])
+
+    def answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        keys = shard.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, logs = keys[order], shard.column("log").to_numpy()[order].astype(np.float32)
+        out = [logs[np.searchsorted(keys, np.frombuffer(x.as_buffer(), np.uint64))].tobytes() for x in asked.column("keys")]
+        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "logs": pa.array(out, pa.binary())})
 
-def train(docs: DataFrame) -> Model:
-    """Counts n-grams of all rows of docs (text, lang) in Spark and fits the model on every one of them."""
-    rows = ngram_counts(docs).toArrow()
-    lang, gram, n = (rows.column(k).combine_chunks().to_numpy() if rows.num_rows else np.zeros(0, np.int64) for k in range(3))
-    order = np.lexsort((gram, lang))
-    return fit(lang[order].view(np.uint64), gram[order].view(np.uint64), n[order])
+    wanted = blocks.where("block is not null").select("block", "keys").mapInArrow(ask, "shard long, block long, keys binary")
+    shards = model.mapInArrow(deal, "shard long, key long, log double")
+    answers = wanted.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(answer, "block long, shard long, logs binary")
+    joined = F.array_sort(F.collect_list(F.struct("shard", "logs")))
+    return answers.groupBy("block").agg(joined.alias("logs"))
 
 
 # Base rules
@@ -251,141 +318,150 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 _NAMES = [c.split()[0] for c in STATS.split(", ")]
 
 
-class Scorer:
-    """Counts and log perplexity of slices of texts; the scores of the words that a worker has met are kept."""
-
-    def __init__(self, model: Model):
-        self.model, self.seen, self.logs = model, Seen(), np.zeros(0)
-
-    def words(self, words: Words, langs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Log probability of each word with its end."""
-        if len(self.seen) > HELD_WORDS:
-            self.seen, self.logs = Seen(), np.zeros(0)
-        with np.errstate(over="ignore"):
-            keys, first, which = np.unique(hashes + langs, return_index=True, return_inverse=True)
-        rows, new = self.seen.rows_of(keys)
-        value, owner = _grams(words, first[new])
-        self.logs = np.r_[self.logs, np.bincount(owner, self.model.score(value, langs[first[new]][owner]), len(new))]
-        return self.logs[rows][which]
-
-    def columns(self, texts: pa.Array, langs: pa.Array) -> list[pa.Array]:
-        """The columns STATS of texts."""
-        data, offsets = buffer_of(texts)
-        words = Words(data, offsets)
-        lead, marks = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-        np.cumsum(_SYMBOL[data], out=marks[1:])
-        n_words, hashes = np.diff(words.bounds), words.hashes()
-        chars = np.r_[0, np.cumsum(lead[words.ends] - lead[words.starts])]
-        sums = np.r_[0, np.cumsum(self.words(words, np.repeat(_lang_hashes(langs), n_words), hashes))]
-        sizes = np.r_[0, np.cumsum(words.ends - words.starts + 1)]
-        a, b = words.bounds[:-1], words.bounds[1:]
-        windows, raw, cuts = windows_hash(hashes, 8), data.tobytes(), offsets.tolist()
-        log_ppl = np.where(n_words > 0, (sums[a] - sums[b]) / np.maximum(sizes[b] - sizes[a], 1), np.nan)
-        columns = [
-            n_words,
-            chars[b] - chars[a],
-            marks[offsets[1:]] - marks[offsets[:-1]],
-            np.array([_dup_lines(raw[i:j]) for i, j in zip(cuts, cuts[1:])], np.int64),
-            np.array([_repeated(windows[i : max(i, j - 7)]) for i, j in zip(a.tolist(), b.tolist())], np.int64),
-        ]
-        return [*(pa.array(c, pa.int64()) for c in columns), pa.array(log_ppl, mask=n_words == 0)]
-
-
-def base_failed(n_words: F.Column, n_repeat_words: F.Column) -> F.Column:
+def columns(texts: pa.Array, tongues: Tongues, langs: pa.Array, keys: np.ndarray, logs: np.ndarray) -> list[pa.Array]:
+    """The columns STATS of texts; keys and logs: the block's sorted n-gram hashes and their log probabilities."""
+    data, offsets = buffer_of(texts)
+    words = Words(data, offsets)
+    a, b = words.bounds[:-1], words.bounds[1:]
+    n_words, cost = b - a, np.zeros(len(a))
+    numbers = tongues.numbers(langs)
+    for i, j in _steps(words):
+        both, text = _numbered(words, numbers, i, j)
+        some, which = np.unique(both, return_inverse=True)
+        cost -= np.bincount(text, logs[np.searchsorted(keys, tongues.key(some))].astype(np.float64)[which], len(a))
+
+    def within(mask: np.ndarray) -> np.ndarray:
+        sums = np.r_[0, np.cumsum(mask, dtype=np.int64 if len(mask) >> 31 else np.int32)]
+        return (sums[offsets[1:]] - sums[offsets[:-1]]).astype(np.int64)
+
+    windows, raw, cuts = windows_hash(words.hashes(), 8), data.tobytes(), offsets.tolist()
+    counts = [
+        n_words,
+        within(((data & 0xC0) != 0x80) & ~_SPACE[data]),
+        within(_SYMBOL[data]),
+        np.array([_dup_lines(raw[i:j]) for i, j in zip(cuts, cuts[1:])], np.int64),
+        np.array([_repeated(windows[i : max(i, j - 7)]) for i, j in zip(a.tolist(), b.tolist())], np.int64),
+    ]
+    return [*(pa.array(c, pa.int64()) for c in counts), pa.array(cost / np.maximum(n_words, 1), mask=n_words == 0)]
+
+
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, lang) -> doc_id, lang, STATS. log_ppl: mean of -log p over the bytes of the words; null without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _dealt(blocks: DataFrame, more: DataFrame, how: str) -> DataFrame:
+    """blocks with more of each, in partitions of BLOCKS_A_TASK at most on average, so that a task's batches stay small."""
+    blocks = blocks.where("block is not null")
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // BLOCKS_A_TASK))
+    return blocks.repartition(parts, "block").join(more.repartition(parts, "block"), "block", how)
+
+
+def score(blocks: DataFrame, text: int, lang: int, doc_id: int | None = None) -> DataFrame:
+    """(block, pos, doc_id, lang, STATS) of every row of the blocks. log_ppl: mean of -log p over the words; null without words."""
+    model = kneser_ney(cut(ngram_counts(blocks)))
+    full = _dealt(blocks.select("block", "packed", "keys"), block_logs(blocks, model), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *scorer.columns(part.column(1), part.column(2))], ["doc_id", "lang", *_NAMES])
+            for k in range(batch.num_rows):
+                block, packed, keys, logs = (batch.column(c)[k] for c in range(4))
+                keys = np.frombuffer(keys.as_buffer(), np.uint64)
+                logs = np.frombuffer(b"".join(x["logs"] for x in logs.as_py() or []), np.float32)
+                tongues, pos = Tongues(), 0
+                for part in pa.ipc.open_stream(packed.as_buffer()):
+                    names = part.column(lang).cast(pa.string())
+                    ids = part.column(doc_id) if doc_id is not None else pa.nulls(part.num_rows, pa.int64())
+                    at = pa.array(np.arange(pos, pos + part.num_rows, dtype=np.int64))
+                    pos += part.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * part.num_rows, pa.int64()), at, ids, names, *columns(part.column(text), tongues, names, keys, logs)], ["block", "pos", "doc_id", "lang", *_NAMES])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    return rows.mapInArrow(run, f"doc_id long, lang string, {STATS}")
+    return full.mapInArrow(run, f"block long, pos long, doc_id long, lang string, {STATS}")
 
 
 # Bands
 
 #: Words beyond which a text's perplexity is not expected to lie closer to its language's.
 FULL_LENGTH = 400
-#: The least half width of a band at full length, in nats a byte.
-LEAST_WIDTH = 0.05
+#: The least half width of a band at full length, in nats a word.
+LEAST_WIDTH = 0.25
+#: Languages up to which the bands are broadcast; beyond this they are joined by a shuffle.
+BROADCAST_LANGUAGES = 1 << 16
+
+
+def _with(rows: DataFrame, table: DataFrame, languages: int) -> DataFrame:
+    """rows with the columns of a table of one row for each tongue."""
+    return rows.join(F.broadcast(table) if languages <= BROADCAST_LANGUAGES else table, "tongue", "left")
+
+
+def _tongue(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tongue", F.coalesce("lang", F.lit("")))
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """(tongue, middle, spread) of each language: the median log perplexity of the texts that pass the base rules, and a
-    robust deviation (half the distance of the 16th and 84th percentiles) of (log perplexity - median) * sqrt(words),
-    the words counted up to FULL_LENGTH. Languages of fewer than LEAST_TEXTS such texts form one group, named ''.
+    """(tongue, middle, spread) of each language: the median cost of a word of the texts that pass the base rules, and a
+    robust deviation (half the distance of the 16th and 84th percentiles) of (cost - median) * sqrt(words), the words
+    counted up to FULL_LENGTH. Spreads of languages with few texts lean on that of all texts (SHARED_TEXTS), without
+    a step; medians do not. The result is written; its columns are of one row for each language.
     """
-    texts = scored.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select(F.coalesce("lang", F.lit("")).alias("tongue"), "n_words", "log_ppl")
-    few = texts.groupBy("tongue").agg(F.count("*").alias("texts"))
-    named = F.when(F.col("texts") >= LEAST_TEXTS, F.col("tongue")).otherwise("")
-    texts = texts.join(few, "tongue").select(named.alias("tongue"), "n_words", "log_ppl")
-    middle = texts.groupBy("tongue").agg(F.percentile_approx("log_ppl", 0.5, 100_000).alias("middle"))
+    texts = _tongue(scored).where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("tongue", "n_words", "log_ppl")
+    middle = cut(texts.groupBy("tongue").agg(F.percentile_approx("log_ppl", 0.5, 100_000).alias("middle"), F.count("*").alias("texts")))
     away = (F.col("log_ppl") - F.col("middle")) * _root()
     q = F.percentile_approx(away, [0.16, 0.84], 100_000)
-    return texts.join(middle, "tongue").groupBy("tongue", "middle").agg(q.alias("q")).select("tongue", "middle", ((F.col("q")[1] - F.col("q")[0]) / 2).alias("spread"))
+    apart = _with(texts, middle, middle.count())
+    spreads = apart.groupBy("tongue").agg(F.first("middle").alias("middle"), F.count("*").alias("texts"), q.alias("q"))
+    every = apart.agg(q.alias("q")).first()  # one row
+    shared = (every.q[1] - every.q[0]) / 2 if every.q else 0.0
+    own = (F.col("q")[1] - F.col("q")[0]) / 2
+    spread = F.sqrt((F.col("texts") * own * own + SHARED_TEXTS * shared * shared) / (F.col("texts") + SHARED_TEXTS))
+    return cut(spreads.select("tongue", "middle", spread.alias("spread")))
 
 
-def _root() -> F.Column:
+def _root() -> Column:
     return F.sqrt(F.greatest(F.lit(1), F.least(F.col("n_words"), F.lit(FULL_LENGTH))).cast("double"))
 
 
 def judge(scored: DataFrame, limits: DataFrame) -> DataFrame:
     """scored with base_failed, lower, upper (the band of its language and length) and kept."""
-    some = limits.where("tongue <> ''").select(F.col("tongue").alias("lang"), F.col("middle").alias("m1"), F.col("spread").alias("s1"))
-    rest = limits.where("tongue = ''").agg(F.first("middle").alias("m0"), F.first("spread").alias("s0"))
-    # rest is one row by construction
-    out = scored.join(some, "lang", "left").join(F.broadcast(rest))
-    half = F.greatest(WIDTH * F.coalesce("s1", "s0", F.lit(0.0)), F.lit(LEAST_WIDTH) * FULL_LENGTH**0.5) / _root()
-    middle = F.coalesce("m1", "m0", "log_ppl")
+    out = _with(_tongue(scored), limits, limits.count())
+    half = F.greatest(WIDTH * F.coalesce("spread", F.lit(0.0)), F.lit(LEAST_WIDTH) * FULL_LENGTH**0.5) / _root()
+    middle = F.coalesce("middle", "log_ppl")
     out = out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))).withColumn("lower", middle - half).withColumn("upper", middle + half)
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))).drop("m0", "s0", "m1", "s1")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))).drop("tongue", "middle", "spread")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): doc_id, lang, STATS, base_failed, lower, upper, kept.
 
-    Null and empty texts have no words, fail the base rules and are not kept. A null language counts as one of its own.
-    Ties and repeated rows are judged alike. An empty table gives no rows. Other columns are not read.
+    Null and empty texts have no words, fail the base rules and are not kept. A null language counts as one of its own
+    with the empty one. A language of a single text has that text as its median and keeps it. Ties and repeated rows
+    are judged alike. An empty table gives no rows. Other columns are not read.
     """
-    scored = cut(score(docs, train(docs)))
-    return judge(scored, bands(scored))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    scored = cut(score(write_blocks(rows, 1, 2), 1, 2, 0))
+    return judge(scored, bands(scored)).drop("block", "pos")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality() keeps, with all columns of docs (of any names) as they were.
 
-    The bands come from a first pass; a second pass scores the rows again and drops what they reject, so that no text
-    is shuffled or stored.
+    The blocks hold whole rows, compressed; what is kept is read out of them by its place, so equal or missing ids do
+    not matter.
     """
-    spark = docs.sparkSession
-    slim = docs.select("doc_id", "text", "lang")
-    model = train(slim)
-    limits = {r.tongue: (r.middle, r.spread) for r in bands(cut(score(slim, model))).collect()}  # at most one row for each LEAST_TEXTS texts' language
-    shared = spark.sparkContext.broadcast((model, limits))
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
+    flat = docs.toDF(*(f"x{k}" for k in range(len(docs.columns))))
+    blocks = write_blocks(flat, text, lang)
+    scored = cut(score(blocks, text, lang))
+    kept = judge(scored, bands(scored)).where("kept").groupBy("block").agg(F.collect_list("pos").alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, known = shared.value
-        scorer = Scorer(lm)
         for batch in batches:
-            for part in slices(batch, batch.schema.names[text]):
-                tongues = part.column(lang).cast(pa.string())
-                n, _, _, _, repeats, log_ppl = (c.to_numpy(zero_copy_only=False) for c in scorer.columns(part.column(text), tongues))
-                band = [known.get(x or "", known.get("", (None, 0.0))) for x in tongues.to_pylist()]
-                middle = np.array([np.nan if m is None else m for m, _ in band])
-                middle = np.where(np.isnan(middle), log_ppl, middle)
-                root = np.sqrt(np.clip(n, 1, FULL_LENGTH))
-                half = np.maximum(WIDTH * np.array([s for _, s in band], float), LEAST_WIDTH * FULL_LENGTH**0.5) / root
-                kept = (n >= 20) & (100 * repeats <= 30 * n) & (np.abs(log_ppl - middle) <= half)
-                yield part.filter(pa.array(kept))
-
-    flat = docs.toDF(*(f"x{k}" for k in range(len(docs.columns))))
-    return flat.mapInArrow(run, flat.schema).toDF(*docs.columns)
+            for k in range(batch.num_rows):
+                places, at = np.sort(np.array(batch.column(1)[k].as_py(), np.int64)), 0
+                for part in pa.ipc.open_stream(batch.column(0)[k].as_buffer()):
+                    mine = places[np.searchsorted(places, at) : np.searchsorted(places, at + part.num_rows)] - at
+                    at += part.num_rows
+                    if len(mine):
+                        yield part.take(pa.array(mine))
+
+    full = _dealt(blocks.select("block", "packed"), kept, "inner").select("packed", "kept")
+    return full.mapInArrow(run, flat.schema).toDF(*docs.columns)

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.quality import HELD_WORDS, Seen
 from quire.llm.shared import Words, _mix, buffer_of, slices, windows_hash
 
 WINDOW, STRIDE = 48, 36
@@ -305,6 +304,31 @@ def _logits(model: Model, x: np.ndarray, at: np.ndarray) -> np.ndarray:
 # Scoring
 
 
+#: Distinct words that a worker holds at a time.
+HELD_WORDS = 400_000
+
+
+class Seen:
+    """A growing map from 64-bit keys to the order in which they came."""
+
+    def __init__(self) -> None:
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def rows_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each of the distinct sorted keys, and which of them are new (they get the next rows)."""
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(0, len(self.keys) - 1))
+        hit = self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~hit)
+        rows = self.rows[near] if len(self.keys) else np.zeros(len(keys), np.int64)
+        rows[new] = len(self.keys) + np.arange(len(new))
+        self.keys, self.rows = np.insert(self.keys, at[new], keys[new]), np.insert(self.rows, at[new], rows[new])
+        return rows, new
+
+
 class Scorer:
     """Scores slices of texts; the inputs of the words that a worker has met are kept."""
 

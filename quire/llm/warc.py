@@ -10,17 +10,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut, range_bounds, range_number, with_checkpoints
+from quire.llm.shared import cut, range_bounds, range_number, shared_folder
 
 ROLL_BYTES = 64 << 20
 ROWS_PER_SHARD = 5_000
@@ -31,12 +30,6 @@ MANIFEST = "file string, shard int, records long, compressed_bytes long, sha256
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    with_checkpoints(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _files(uri: str):
     from pyarrow.fs import FileSystem
 
