@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import packing, quality, simhash, substring, toxicity
-from quire.llm.shared import documents, table
-from quire.llm.warc import shared_folder
+from quire.llm.shared import documents, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
