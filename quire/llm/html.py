@@ -1,8 +1,10 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Every page's containers are scored and its best one votes, by its path of generalised tags and classes, for its
-host; Spark counts the votes. The winning paths of a host then say which container of each of its pages is read,
-so that a page whose own scores mislead is read like the rest of its host.
+host; Spark counts the votes. The winning paths of a host then say which containers of each of its pages are read,
+so that a page whose own scores mislead is read like the rest of its host. Names of classes only say what may be
+noise: a page whose whole text is under such names is scored with them. A page is read once from start to end; what
+an odd one costs does not grow faster than its length.
 """
 
 from __future__ import annotations
@@ -23,10 +25,13 @@ RAW = frozenset("script style noscript template textarea title iframe svg math c
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HOLDS = frozenset("article body div html main section td".split())
 BOILER = frozenset("aside dialog footer form head menu nav".split())
-#: Words of classes, ids and roles that mark what is not the article.
+#: Words of classes, ids and roles that mark what is not the article, and words that say nothing beside them.
 NOISE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disclaimer discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup popular promo promoted promotion promotions recommended related replies reply respond responses search share sharing shares sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar widget widgets".split()
 )
+NEUTRAL = frozenset(
+    "area article articles bar block blog body bottom box button buttons container content cta desktop entry fixed global group holder icon icons inline inner item items left link links list main middle mobile module news outer page panel post posts primary right row secondary section site slot small sticky stories story text title top unit wrap wrapper zone".split()
+)
 #: A header of these belongs to the article.
 OWN = frozenset("article content entry post story".split())
 # A tag ends at its `>`; where a `<` comes first it is text, so no start is searched twice.
@@ -42,169 +47,209 @@ SHARE = 0.05
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "chars", "total")
+    """A container: its path, the nearest one around it or itself that may hold an article, and how sure it is noise (NEVER, NAMED, 0)."""
+
+    __slots__ = ("tag", "steps", "parent", "noise", "holder", "semantic", "chars", "total")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, noise: bool):
-        self.tag, self.path, self.parent, self.noise = tag, path, parent, noise
+    def __init__(self, tag: str, steps: tuple[str, ...], parent: Node | None, noise: int):
+        self.tag, self.steps, self.parent, self.noise = tag, steps, parent, noise
+        self.holder = self if tag in HOLDS else parent.holder if parent else None
+        self.semantic = tag in ("article", "main") or parent is not None and parent.semantic
         self.chars = self.total = 0.0
 
 
+NEVER, NAMED = 2, 1
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(text)} if text and not text.isspace() else {}
 
 
-def _is_noise(tag: str, attrs: dict[str, str], parent: Node | None) -> bool:
-    if tag in BOILER or tag == "header" and not _inside(parent, ("article", "main")):
-        return True
+def _noise(tag: str, attrs: dict[str, str], inside: bool) -> int:
+    """How sure an element is no article text; inside: it lies in an article or main element."""
+    if tag in BOILER or tag == "header" and not inside:
+        return NEVER
     if not attrs:
-        return False
+        return 0
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+        return NEVER
     if tag in ("body", "html", "article", "main") and "comment" not in attrs.get("class", ""):
-        return False
-    return any(_names_noise(name) for k in ("class", "id", "role") for name in attrs.get(k, "").lower().split())
+        return 0
+    return NAMED if any(_names_noise(name) for k in ("class", "id", "role") for name in attrs.get(k, "").lower().split()) else 0
 
 
 def _names_noise(name: str) -> bool:
-    """A name whose first or last word marks noise: site-header, comments2; not has-comments, not entry-header."""
+    """A name of noise words and words that say nothing beside them: site-header, comments2, ad-slot; not social-history, has-comments, entry-header."""
     words = _WORD.findall(name)
     if not words or words[0] in ("has", "is", "no", "not", "with") or words[-1] == "header" and words[0] in OWN:
         return False
-    return words[0] in NOISE or words[-1] in NOISE
-
-
-def _inside(node: Node | None, tags: tuple) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+    return any(w in NOISE for w in words) and all(w in NOISE or w in NEUTRAL or len(w) < 3 for w in words)
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
     """A tag with its classes, without their digits."""
+    if "class" not in attrs:
+        return tag
     names = sorted({re.sub(r"[\d_-]+", "", c) for c in attrs.get("class", "").lower().split()} - {""})
     return ".".join([tag, *names])
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """The containers of a page and its blocks (container node, text) in page order, without what is never article text."""
-    root = Node("html", "html", None, False)
+    root = Node("html", ("html",), None, 0)
     stack, nodes, blocks, parts = [root], [root], [], []
+    opened: dict[str, int] = {}  # block elements of each tag on the stack
+    quiet: list[str] = []  # open elements inside a paragraph that are noise, and those of the same tag in them
+    closers: dict[str, int] = {}  # where the next closing tag of a raw element is, or the page's end
     link = 0
 
     def flush() -> None:
         text = " ".join("".join(t for t, _ in parts).split())
-        if text and not stack[-1].noise:
+        if text and stack[-1].noise < NEVER:
             plain = len(" ".join("".join(t for t, in_link in parts if not in_link).split()))
             blocks.append((stack[-1], text))
             stack[-1].chars += plain
         parts.clear()
 
-    at, end, skip = 0, len(page), None
+    def pop(to: int) -> None:
+        for node in stack[to:]:
+            opened[node.tag] -= 1
+        del stack[to:]
+        quiet.clear()
+
+    def say(text: str) -> None:
+        if not quiet:
+            parts.append((text, link > 0))
+
+    at, end = 0, len(page)
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at:
-            parts.append((entities.unescape(page[at : m.start()]), link > 0))
+            say(entities.unescape(page[at : m.start()]))
         at = m.end()
         if m[1] is not None:
-            parts.append((m[1], link > 0))
+            say(m[1])
         closing, name, rest = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
         if not name:
             continue
         tag = name.lower()
         if closing:
+            if quiet and tag == quiet[-1]:
+                quiet.pop()
             if tag == "a":
                 link = max(0, link - 1)
+            elif tag in BLOCK and opened.get(tag):
+                flush()
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                pop(k)
             elif tag in BLOCK:
                 flush()
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-                if k:
-                    del stack[k:]
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end if tag in ("script", "style", "title", "textarea") else at
-            parts.append((" ", link > 0))
+            if closers.get(tag, -1) < at:
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                closers[tag] = close.end() if close else end + 1
+            at = closers[tag] if closers[tag] <= end else end if tag in ("script", "style", "title", "textarea") else at
+            say(" ")
             continue
-        if tag == "a":
-            link += 1
-        elif tag == "br" or tag in ("wbr", "img"):
-            parts.append((" ", link > 0)) if tag == "br" else None
+        if tag == "br":
+            say(" ")
         elif tag in BLOCK:
             flush()
             if tag in VOID:
                 continue
-            _imply(stack, tag)
-            attrs = _attributes(rest)
-            if tag in ("html", "body") and any(n.tag == tag for n in stack[1:]):
+            for count in _implied(stack, tag):
+                pop(len(stack) - count)
+            if tag in ("html", "body") and opened.get(tag):
                 continue
-            path = ">".join([*stack[-1].path.split(">")[1 - STEPS :], _step(tag, attrs)])
-            node = Node(tag, path, stack[-1], stack[-1].noise or _is_noise(tag, attrs, stack[-1]))
+            attrs = _attributes(rest)
+            steps = (*stack[-1].steps[1 - STEPS :], _step(tag, attrs))
+            node = Node(tag, steps, stack[-1], max(stack[-1].noise, NAMED if quiet else 0, _noise(tag, attrs, stack[-1].semantic)))
             nodes.append(node)
             if not rest.rstrip().endswith("/"):
                 stack.append(node)
+                opened[tag] = opened.get(tag, 0) + 1
+        elif tag not in VOID and not rest.endswith("/"):
+            if quiet:
+                quiet.extend([tag] if tag == quiet[-1] else [])
+            elif rest and _noise(tag, _attributes(rest), True):
+                quiet.append(tag)
+            if tag == "a":
+                link += 1
     if at < end:
-        parts.append((entities.unescape(page[at:]), link > 0))
+        say(entities.unescape(page[at:]))
     flush()
     return nodes, blocks
 
 
-def _imply(stack: list[Node], tag: str) -> None:
-    """Close what the start of `tag` ends by itself: a paragraph, a list item, a cell, a row."""
+def _implied(stack: list[Node], tag: str) -> Iterator[int]:
+    """How many of the innermost elements the start of `tag` ends by itself: a paragraph, a list item, a cell, a row."""
     if stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-        stack.pop()
+        yield 1
     same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "body": ("head",)}.get(tag, ())
     while len(stack) > 1 and stack[-1].tag in same:
-        stack.pop()
+        yield 1
 
 
 def best(nodes: list[Node]) -> Node | None:
-    """The container that scores best: its own text and half of what each level below holds, then grown outwards."""
+    """The container that scores best: its own text and half of what each level below holds, then grown outwards.
+
+    Containers that only a name marks as noise count if there is no text elsewhere.
+    """
+    for limit in (0, NAMED):
+        if chosen := _best(nodes, limit):
+            return chosen
+    return None
+
+
+def _best(nodes: list[Node], limit: int) -> Node | None:
     score: dict[int, float] = {}
+    for node in nodes:
+        node.total = node.chars if node.noise <= limit else 0.0
     for node in reversed(nodes):
-        node.total += node.chars
         if node.parent is not None:
             node.parent.total += node.total
     for node in nodes:
-        holder, share = node, 1.0
-        while holder is not None and node.chars and share > 1e-6:
-            if holder.tag in HOLDS:
-                score[id(holder)] = score.get(id(holder), 0.0) + node.chars * share
-                share /= 2
-            holder = holder.parent
-    chosen = max((n for n in nodes if id(n) in score and not n.noise), key=lambda n: score[id(n)], default=None)
-    while chosen is not None and chosen.tag not in ("article", "main"):
-        up = chosen.parent
-        if up is None or up.tag in ("body", "html") or up.total > GROWTH * chosen.total:
-            break
-        chosen = up
+        holder, share = node.holder, 1.0
+        while holder is not None and node.chars and node.noise <= limit and share > 1e-6:
+            score[id(holder)] = score.get(id(holder), 0.0) + node.chars * share
+            share /= 2
+            holder = holder.parent.holder if holder.parent is not None else None
+    chosen = up = max((n for n in nodes if id(n) in score and n.noise <= limit), key=lambda n: score[id(n)], default=None)
+    size = chosen.total if chosen is not None else 0.0
+    while up is not None and up.tag not in ("article", "main") and up.parent is not None and up.parent.total <= GROWTH * size:
+        up = up.parent
+        if up.total > chosen.total:  # the innermost that holds so much
+            chosen = up
     return chosen
 
 
-def text_under(node: Node, nodes: list[Node], blocks: list[tuple[Node, str]]) -> str:
-    """The blocks inside a container; nodes in page order, so a parent comes before its children."""
-    inside = {id(node)}
+def text_under(roots: list[Node], nodes: list[Node], blocks: list[tuple[Node, str]]) -> str:
+    """The blocks inside containers, less what is more surely noise than they are; nodes in page order, so a parent comes before its children."""
+    inside = {id(n): n.noise for n in roots}
     for n in nodes:
-        if id(n.parent) in inside:
-            inside.add(id(n))
+        if id(n) not in inside and n.parent is not None and id(n.parent) in inside and n.noise <= inside[id(n.parent)]:
+            inside[id(n)] = inside[id(n.parent)]
     return "\n\n".join(text for owner, text in blocks if id(owner) in inside)
 
 
 def best_path(page: str) -> str | None:
     node = best(parse(page)[0])
-    return node.path if node else None
+    return ">".join(node.steps) if node else None
 
 
 def extract(page: str, winners: list[str]) -> str:
-    """The text of the fullest container on the first of the winning paths that holds any; of the page's own best if none does."""
+    """The text of all containers on the first of the winning paths that holds any; of the page's own best if none does."""
     nodes, blocks = parse(page)
     own = best(nodes)
     for path in winners:
-        if found := max((n for n in nodes if n.path == path and n.total and not n.noise), key=lambda n: n.total, default=None):
+        steps = tuple(path.split(">"))
+        if found := [n for n in nodes if n.steps == steps and n.total and n.noise <= (own.noise if own else 0)]:
             return text_under(found, nodes, blocks)
-    return text_under(own, nodes, blocks) if own else ""
+    return text_under([own], nodes, blocks) if own else ""
 
 
 def host_of(column: F.Column) -> F.Column:
