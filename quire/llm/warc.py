@@ -2,19 +2,23 @@
 
 Rows are sorted by page id inside ranges whose bounds come from the ids alone, so that names and contents of the
 files do not depend on the cluster. A file is rolled when its compressed size passes ROLL_BYTES. Headers and digests
-are made anew; a payload equal to that of a smaller page id is a revisit. Each file is written under a temporary name
-and renamed when it is whole; the manifest, written last, lists the files that count.
+are made anew; a payload equal to that of a smaller page id is a revisit. A range is a task of its own. Each attempt
+of a task writes under temporary names of its own; Spark's commit of a first manifest says which attempt counts, its
+files are then given their final names, and the manifest, written last, lists them. So a task or a renaming that runs
+twice, or an executor that is lost, leaves neither half files nor two of one name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileType
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,8 @@ ROWS_PER_SHARD = 5_000
 LEAST_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "file string, shard int, records long, compressed_bytes long, sha256 string"
+_NAMES = [c.split()[0] for c in MANIFEST.split(", ")]
+_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -61,8 +67,8 @@ class _Shard:
 
     def write(self, record: bytes) -> Iterator[tuple]:
         if self.stream is None:
-            self.name = f"shard-{self.shard:06d}-{self.number:04d}.warc.gz"
-            self.stream = self.fs.open_output_stream(f"{self.root}/.{self.name}.{self.attempt}.tmp", compression=None)
+            self.name = f".shard-{self.shard:06d}-{self.number:04d}.warc.gz.{self.attempt}.tmp"
+            self.stream = self.fs.open_output_stream(f"{self.root}/{self.name}", compression=None)
             self.records = self.size = 0
             self.digest = hashlib.sha256()
         packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -77,7 +83,6 @@ class _Shard:
         self.stream.close()
         self.stream = None
         self.number += 1
-        self.fs.move(f"{self.root}/.{self.name}.{self.attempt}.tmp", f"{self.root}/{self.name}")
         return self.name, self.shard, self.records, self.size, self.digest.hexdigest()
 
 
@@ -99,12 +104,12 @@ def write(pages: DataFrame, uri: str, rows_per_shard: int = ROWS_PER_SHARD, roll
     bounds = range_bounds(pages.select(F.col("page_id").cast("long").alias("page_id")), "page_id", rows_per_shard)
     both = again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
     both = both.unionByName(rows.withColumn("first", F.lit(None).cast("long")))
-    both = both.withColumn("shard", range_number("page_id", bounds))
-    both = both.repartition("shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.isnotnull("payload"), "digest", "url")
+    both = both.withColumn("shard", range_number("page_id", bounds).cast("int"))
+    both = both.repartitionById(len(bounds), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.isnotnull("payload"), "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        attempt = f"{context.partitionId()}-{context.taskAttemptId()}" if context else "0"
+        attempt = f"{uuid.uuid4().hex[:12]}-{context.taskAttemptId() if context else 0}"
         out: _Shard | None = None
         done: list[tuple] = []
         page, first, written = object(), {}, set()
@@ -125,11 +130,40 @@ def write(pages: DataFrame, uri: str, rows_per_shard: int = ROWS_PER_SHARD, roll
                 done += out.write(_record("revisit" if revisit else "response", page_id, url, payload, digest, target))
         done += [out.close()] if out is not None and out.stream else []
         columns = list(zip(*done)) or [[]] * 5
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [c.split()[0] for c in MANIFEST.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS)], _NAMES)
 
-    both.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{uri}/manifest")
-    return spark.read.parquet(f"{uri}/manifest")
+    both.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{uri}/attempts")
+    named = spark.read.schema(MANIFEST).parquet(f"{uri}/attempts").mapInArrow(_final_names(uri), MANIFEST)
+    named.write.mode("overwrite").parquet(f"{uri}/manifest")
+    for left in fs.get_file_info(FileSelector(root)):  # of attempts that did not count
+        if left.base_name.endswith(".tmp"):
+            fs.delete_file(left.path)
+    return spark.read.schema(MANIFEST).parquet(f"{uri}/manifest")
+
+
+def _final_names(uri: str):
+    """Arrow function that gives the files of a manifest their final names; running it again changes nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _files(uri)
+        for batch in batches:
+            names = []
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                final = name[1 : name.index(".warc.gz") + len(".warc.gz")]
+                own, there = fs.get_file_info([f"{root}/{name}", f"{root}/{final}"])
+                if own.type == FileType.File:
+                    if there.type == FileType.File:  # of an earlier call on this folder
+                        fs.delete_file(there.path)
+                    try:
+                        fs.move(own.path, there.path)
+                    except OSError:  # another attempt of this task was faster
+                        there = fs.get_file_info(there.path)
+                if own.type != FileType.File and there.size != size:
+                    raise OSError(f"{final} is missing or not whole")
+                names.append(final)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *batch.columns[1:]], _NAMES)
+
+    return run
 
 
 _HEADER = re.compile(rb"([A-Za-z-]+): ([^\r\n]*)\r\n")
