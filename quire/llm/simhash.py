@@ -24,7 +24,10 @@ from quire.llm.components import components
 from quire.llm.shared import buffer_of, cut, slices
 
 RADIUS = 4
-BLOCKS = 6
+#: Least and most blocks; a fingerprint has so many tables as there are choices of BLOCKS - RADIUS of them (15 to 70).
+BLOCKS, MOST_BLOCKS = 6, 8
+#: Fingerprints that a key holds on average before more blocks, so longer keys, are taken.
+KEY_ROWS = 4
 #: Rows of one key that a task compares with each other; a larger key is dealt out as pairs of such chunks.
 CHUNK = 1 << 15
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -189,12 +192,19 @@ def _linker(radius: int, columns: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Blocks for n distinct fingerprints: the fewest whose keys, of 64 * (blocks - radius) / blocks bits, hold KEY_ROWS on average."""
+    more = MOST_BLOCKS - BLOCKS
+    return next((b for b in range(radius + 2, radius + 2 + more) if n <= KEY_ROWS << 64 * (b - radius) // b), radius + 2 + more)
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(fp) of distinct fingerprints -> (a, b): links that connect all fingerprints within `radius` bits.
 
-    The links span the graph of near pairs: two fingerprints are joined by a path if and only if a chain of
+    blocks: by the number of fingerprints unless given; any number above the radius finds the same pairs. The links span the graph of near pairs: two fingerprints are joined by a path if and only if a chain of
     near pairs joins them.
     """
+    blocks = blocks or blocks_for(nodes.count(), radius)
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(_masks(blocks, radius)))))
     rows = nodes.select("fp", tables.alias("x")).select("x.t", "x.k", "fp")
     key = Window.partitionBy("t", "k")
