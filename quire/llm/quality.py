@@ -3,14 +3,16 @@
 The model reads a text as its words, each followed by one space, in contexts of ORDER - 1 bytes that run across words.
 A text's measure is its mean cost of a word. Nothing is left out or gathered in one place:
 
-1. Texts are read once, in blocks of some megabytes. A block is written, compressed, with the sorted hashes of its
-   distinct n-grams; what a task counted is written beside it.
-2. Spark adds the counts up and works out the interpolated probability of every n-gram, order by order, with joins.
-3. Probabilities are dealt by hash into shards, each a sorted array of hashes with a log probability beside it. The
-   blocks ask the shards for their own n-grams and come back with an array as long as their hashes.
-4. Each block is scored with its own arrays, and bands come from the scores.
-
-So a worker holds one block or one shard, however large the corpus and its model are.
+1. Tasks count the n-grams of what they read; Spark adds the counts up and works out the interpolated probability of
+   every n-gram, order by order, with joins.
+2. The probabilities are sorted arrays of 64-bit hashes with a log probability beside each. Up to MOST_BROADCAST n-grams
+   they are one pair of arrays that every worker gets.
+3. A larger model stays dealt by hash into shards. Texts are written in compressed blocks of some megabytes with the
+   sorted hashes of their n-grams; the blocks ask the shards for their own and come back with an array as long as
+   their hashes. So a worker holds one block or one shard, however large the corpus and its model are.
+4. Texts are scored, and bands come from the scores.
+
+Both ways give the same scores.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ START, SPACE = 1, 32
 WIDTH = 3.0
 #: A language's spread is its own, weighted by its texts, and that of all languages with this weight.
 SHARED_TEXTS = 50
+#: Distinct n-grams (of 12 bytes each in the arrays) up to which the model is broadcast.
+MOST_BROADCAST = 1 << 22
 #: Bytes of text in a block, n-gram positions worked on at a time, distinct n-grams that a task counts before it writes
 #: them, and n-grams asked of a shard.
 BLOCK_BYTES, STEP, HELD_GRAMS, SHARD_ROWS = 8 << 20, 1 << 20, 1 << 20, 1 << 19
@@ -128,7 +132,44 @@ def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n[order], first)
 
 
-BLOCKS = "block long, packed binary, keys binary, n_keys long, langs binary, grams binary, counts binary"
+def ngram_counts(rows: DataFrame, text: int, lang: int) -> DataFrame:
+    """(lang, gram, n): language hash, n-gram and its count over all words of all texts; text and lang: places of these columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tongues, held, held_n, grams = Tongues(), [], [], 0
+
+        def drain() -> Iterator[pa.RecordBatch]:
+            both, n = _added(np.concatenate(held), np.concatenate(held_n))
+            for at in range(0, len(both), 1 << 16):
+                some = both[at : at + (1 << 16)]
+                langs = tongues.hashes[(some >> np.uint64(8 * ORDER)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (langs, some & _LOW, n[at : at + (1 << 16)])], ["lang", "gram", "n"])
+
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[text]):
+                words = Words(*buffer_of(part.column(text)))
+                numbers = tongues.numbers(part.column(lang).cast(pa.string()))
+                for a, b in _steps(words):
+                    keys, n = np.unique(_numbered(words, numbers, a, b)[0], return_counts=True)
+                    held.append(keys), held_n.append(n)
+                    grams += len(keys)
+                    if grams > HELD_GRAMS:
+                        keys, n = _added(np.concatenate(held), np.concatenate(held_n))
+                        held, held_n, grams = [keys], [n], len(keys)
+                        if 2 * grams > HELD_GRAMS:
+                            yield from drain()
+                            held, held_n, grams = [], [], 0
+                if len(tongues.known) > 1 << 16:  # numbers stay far from 24 bits
+                    if held:
+                        yield from drain()
+                    tongues, held, held_n, grams = Tongues(), [], [], 0
+        if held:
+            yield from drain()
+
+    return rows.mapInArrow(run, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+BLOCKS = "block long, packed binary, keys binary, n_keys long"
 _BLOCK_NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
@@ -141,82 +182,40 @@ def _pack(parts: list[pa.RecordBatch]) -> bytes:
 
 
 def write_blocks(rows: DataFrame, text: int, lang: int) -> DataFrame:
-    """The rows in blocks (BLOCKS), written to the shared folder and read back; text and lang: places of these columns.
-
-    A row is either a block (its rows, compressed, and the sorted hashes of its n-grams) or counts of a task (language
-    hashes, n-grams and their numbers).
-    """
+    """The rows in blocks (BLOCKS: rows, compressed, and the sorted hashes of their n-grams), written to the shared folder and read back."""
     spark = rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         base, number = (context.partitionId() if context else 0) << 32, 0
-        tongues, held, held_n, parts, distinct = Tongues(), [], [], [], []
-        size = grams = 0
-
-        def row(**values: object) -> pa.RecordBatch:
-            kinds = [pa.int64() if c.endswith("long") else pa.binary() for c in BLOCKS.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array([values.get(c)], t) for c, t in zip(_BLOCK_NAMES, kinds)], _BLOCK_NAMES)
+        tongues, parts, distinct, size = Tongues(), [], [], 0
 
         def block() -> pa.RecordBatch:
-            keys = np.unique(np.concatenate(distinct)) if distinct else np.zeros(0, np.uint64)
-            return row(block=base + number, packed=_pack(parts), keys=np.sort(tongues.key(keys)).tobytes(), n_keys=len(keys))
-
-        def counted() -> pa.RecordBatch:
-            both, n = _added(np.concatenate(held), np.concatenate(held_n))
-            langs = tongues.hashes[(both >> np.uint64(8 * ORDER)).astype(np.int64)]
-            return row(langs=langs.tobytes(), grams=(both & _LOW).tobytes(), counts=n.tobytes())
+            keys = np.sort(tongues.key(np.unique(np.concatenate(distinct)) if distinct else np.zeros(0, np.uint64)))
+            values = [[base + number], [_pack(parts)], [keys.tobytes()], [len(keys)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], _BLOCK_NAMES)
 
         for batch in batches:
             for part in slices(batch, batch.schema.names[text]):
                 words = Words(*buffer_of(part.column(text)))
                 numbers = tongues.numbers(part.column(lang).cast(pa.string()))
                 for a, b in _steps(words):
-                    both, _ = _numbered(words, numbers, a, b)
-                    keys, n = np.unique(both, return_counts=True)
-                    distinct.append(keys), held.append(keys), held_n.append(n)
-                    grams += len(keys)
-                    if grams > HELD_GRAMS:
-                        keys, n = _added(np.concatenate(held), np.concatenate(held_n))
-                        held, held_n, grams = [keys], [n], len(keys)
-                        if 2 * grams > HELD_GRAMS:
-                            yield counted()
-                            held, held_n, grams = [], [], 0
+                    distinct.append(np.unique(_numbered(words, numbers, a, b)[0]))
                     if len(distinct) > 16:
                         distinct = [np.unique(np.concatenate(distinct))]
                 parts.append(part)
                 size += len(words.data)
                 if size >= BLOCK_BYTES:
                     yield block()
-                    number, parts, distinct, size = number + 1, [], [], 0
-                    if len(tongues.known) > 1 << 16:  # numbers stay far from 24 bits
-                        if held:
-                            yield counted()
-                        tongues, held, held_n, grams = Tongues(), [], [], 0
+                    number, tongues, parts, distinct, size = number + 1, Tongues(), [], [], 0
         if parts:
             yield block()
-        if held:
-            yield counted()
 
     path = shared_folder(spark, "quality-blocks")
     rows.mapInArrow(run, BLOCKS).write.parquet(path)
     return spark.read.schema(BLOCKS).parquet(path)
 
 
-def ngram_counts(blocks: DataFrame) -> DataFrame:
-    """(lang, gram, n): language hash, n-gram and its count over all words of all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                columns = [np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in range(3)]
-                for at in range(0, len(columns[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["lang", "gram", "n"])
-
-    parts = blocks.where("grams is not null").select("langs", "grams", "counts").mapInArrow(run, "lang long, gram long, n long")
-    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
 def _suffix(order: int) -> Column:
     return F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))
 
@@ -229,7 +228,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     """
     levels = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):
-        levels[order] = levels[order + 1].groupBy("lang", _suffix(order).alias("gram")).agg(F.count("*").alias("n"))
+        levels[order] = cut(levels[order + 1].groupBy("lang", _suffix(order).alias("gram")).agg(F.count("*").alias("n")))
     tallied = [levels[o].agg(F.lit(o).alias("order"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))) for o in levels]
     tallies = {r["order"]: [max(1, r[f"n{k}"]) for k in (1, 2, 3, 4)] for r in reduce(DataFrame.unionAll, tallied).collect()}  # a row for each order
     below = None
@@ -250,12 +249,32 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return rows
 
 
+def hashed(model: DataFrame, bits: int = 0) -> DataFrame:
+    """(lang, gram, p) -> (shard, key, log): the hash of each n-gram, its first bits, and its log probability (32 bits)."""
+    shift = np.uint64(64 - max(1, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, gram, p = (c.to_numpy() for c in batch.columns)
+            key = _key(gram.view(np.uint64), lang.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array((key >> shift).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(np.log(p).astype(np.float32))], ["shard", "key", "log"])
+
+    return model.mapInArrow(run, "shard long, key long, log float")
+
+
+def _arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of rows (key, log) and the log probabilities beside them."""
+    keys = rows.column("key").to_numpy().view(np.uint64) if rows.num_rows else np.zeros(0, np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows.column("log").to_numpy().astype(np.float32)[order]
+
+
 def block_logs(blocks: DataFrame, model: DataFrame) -> DataFrame:
     """(block, logs): log probabilities (32-bit floats) of each block's n-grams, in the order of its keys.
 
     Shards are ranges of hashes; their number follows the n-grams that all blocks ask for, so a shard stays small.
     """
-    asked = blocks.where("block is not null").agg(F.sum("n_keys")).first()[0] or 0
+    asked = blocks.agg(F.sum("n_keys")).first()[0] or 0
     bits = max(4, (asked // SHARD_ROWS).bit_length())
     shift = np.uint64(64 - bits)
 
@@ -268,21 +287,13 @@ def block_logs(blocks: DataFrame, model: DataFrame) -> DataFrame:
                 some = [keys[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]] if some else shard), pa.array([batch.column(0)[k].as_py()] * len(some), pa.int64()), pa.array(some, pa.binary())], ["shard", "block", "keys"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, gram, p = (c.to_numpy() for c in batch.columns)
-            key = _key(gram.view(np.uint64), lang.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array((key >> shift).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(np.log(p))], ["shard", "key", "log"])
-
     def answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
-        keys = shard.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, logs = keys[order], shard.column("log").to_numpy()[order].astype(np.float32)
+        keys, logs = _arrays(shard)
         out = [logs[np.searchsorted(keys, np.frombuffer(x.as_buffer(), np.uint64))].tobytes() for x in asked.column("keys")]
         return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "logs": pa.array(out, pa.binary())})
 
-    wanted = blocks.where("block is not null").select("block", "keys").mapInArrow(ask, "shard long, block long, keys binary")
-    shards = model.mapInArrow(deal, "shard long, key long, log double")
+    wanted = blocks.select("block", "keys").mapInArrow(ask, "shard long, block long, keys binary")
+    shards = hashed(model, bits)
     answers = wanted.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(answer, "block long, shard long, logs binary")
     joined = F.array_sort(F.collect_list(F.struct("shard", "logs")))
     return answers.groupBy("block").agg(joined.alias("logs"))
@@ -318,12 +329,12 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 _NAMES = [c.split()[0] for c in STATS.split(", ")]
 
 
-def columns(texts: pa.Array, tongues: Tongues, langs: pa.Array, keys: np.ndarray, logs: np.ndarray) -> list[pa.Array]:
-    """The columns STATS of texts; keys and logs: the block's sorted n-gram hashes and their log probabilities."""
+def columns(texts: pa.Array, langs: pa.Array, keys: np.ndarray, logs: np.ndarray) -> list[pa.Array]:
+    """The columns STATS of texts; keys and logs: sorted n-gram hashes, all of the texts' among them, and their log probabilities."""
     data, offsets = buffer_of(texts)
     words = Words(data, offsets)
     a, b = words.bounds[:-1], words.bounds[1:]
-    n_words, cost = b - a, np.zeros(len(a))
+    n_words, cost, tongues = b - a, np.zeros(len(a)), Tongues()
     numbers = tongues.numbers(langs)
     for i, j in _steps(words):
         both, text = _numbered(words, numbers, i, j)
@@ -351,14 +362,30 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 def _dealt(blocks: DataFrame, more: DataFrame, how: str) -> DataFrame:
     """blocks with more of each, in partitions of BLOCKS_A_TASK at most on average, so that a task's batches stay small."""
-    blocks = blocks.where("block is not null")
     parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // BLOCKS_A_TASK))
     return blocks.repartition(parts, "block").join(more.repartition(parts, "block"), "block", how)
 
 
-def score(blocks: DataFrame, text: int, lang: int, doc_id: int | None = None) -> DataFrame:
-    """(block, pos, doc_id, lang, STATS) of every row of the blocks. log_ppl: mean of -log p over the words; null without words."""
-    model = kneser_ney(cut(ngram_counts(blocks)))
+SCORED = f"block long, pos long, doc_id long, lang string, {STATS}"
+_SCORED = ["block", "pos", "doc_id", "lang", *_NAMES]
+
+
+def score(rows: DataFrame, keys: np.ndarray, logs: np.ndarray, text: int, lang: int, doc_id: int | None = None) -> DataFrame:
+    """SCORED of every row, under the whole model's sorted arrays; block and pos are null. log_ppl: mean of -log p over the words; null without words."""
+    shared = rows.sparkSession.sparkContext.broadcast((keys, logs))  # at most MOST_BROADCAST n-grams
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[text]):
+                names, none = part.column(lang).cast(pa.string()), pa.nulls(part.num_rows, pa.int64())
+                ids = part.column(doc_id) if doc_id is not None else none
+                yield pa.RecordBatch.from_arrays([none, none, ids, names, *columns(part.column(text), names, *shared.value)], _SCORED)
+
+    return rows.mapInArrow(run, SCORED)
+
+
+def score_blocks(blocks: DataFrame, model: DataFrame, text: int, lang: int, doc_id: int | None = None) -> DataFrame:
+    """SCORED of every row of the blocks; pos: its place in its block."""
     full = _dealt(blocks.select("block", "packed", "keys"), block_logs(blocks, model), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,15 +394,15 @@ def score(blocks: DataFrame, text: int, lang: int, doc_id: int | None = None) ->
                 block, packed, keys, logs = (batch.column(c)[k] for c in range(4))
                 keys = np.frombuffer(keys.as_buffer(), np.uint64)
                 logs = np.frombuffer(b"".join(x["logs"] for x in logs.as_py() or []), np.float32)
-                tongues, pos = Tongues(), 0
+                pos = 0
                 for part in pa.ipc.open_stream(packed.as_buffer()):
                     names = part.column(lang).cast(pa.string())
                     ids = part.column(doc_id) if doc_id is not None else pa.nulls(part.num_rows, pa.int64())
                     at = pa.array(np.arange(pos, pos + part.num_rows, dtype=np.int64))
                     pos += part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * part.num_rows, pa.int64()), at, ids, names, *columns(part.column(text), tongues, names, keys, logs)], ["block", "pos", "doc_id", "lang", *_NAMES])
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * part.num_rows, pa.int64()), at, ids, names, *columns(part.column(text), names, keys, logs)], _SCORED)
 
-    return full.mapInArrow(run, f"block long, pos long, doc_id long, lang string, {STATS}")
+    return full.mapInArrow(run, SCORED)
 
 
 # Bands
@@ -437,20 +464,59 @@ def quality(docs: DataFrame) -> DataFrame:
     are judged alike. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    scored = cut(score(write_blocks(rows, 1, 2), 1, 2, 0))
+    model, size = _train(rows, 1, 2)
+    if size <= MOST_BROADCAST:
+        scored = score(rows, *_arrays(hashed(model).toArrow()), 1, 2, 0)
+    else:
+        scored = score_blocks(write_blocks(rows, 1, 2), model, 1, 2, 0)
+    scored = cut(scored)
     return judge(scored, bands(scored)).drop("block", "pos")
 
 
+def _train(rows: DataFrame, text: int, lang: int) -> tuple[DataFrame, int]:
+    """The model (lang, gram, p) of rows, and its number of n-grams."""
+    counts = cut(ngram_counts(rows, text, lang))
+    return kneser_ney(counts), counts.count()
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality() keeps, with all columns of docs (of any names) as they were.
 
-    The blocks hold whole rows, compressed; what is kept is read out of them by its place, so equal or missing ids do
-    not matter.
+    Under a broadcast model the rows are scored again and dropped as they are read, so no text is shuffled or stored.
+    Under a larger one the blocks hold whole rows, and what is kept is read out of them by its place. Neither needs ids.
     """
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
     flat = docs.toDF(*(f"x{k}" for k in range(len(docs.columns))))
+    model, size = _train(flat, text, lang)
+    if size <= MOST_BROADCAST:
+        keys, logs = _arrays(hashed(model).toArrow())
+        limits = bands(cut(score(flat, keys, logs, text, lang)))
+        if limits.count() <= BROADCAST_LANGUAGES:
+            return _kept_again(flat, keys, logs, text, lang, {r.tongue: (r.middle, r.spread) for r in limits.collect()}).toDF(*docs.columns)
+    return _kept_blocks(flat, model, text, lang).toDF(*docs.columns)
+
+
+def _kept_again(flat: DataFrame, keys: np.ndarray, logs: np.ndarray, text: int, lang: int, limits: dict[str, tuple]) -> DataFrame:
+    shared = flat.sparkSession.sparkContext.broadcast((keys, logs, limits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, logs, limits = shared.value
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[text]):
+                names = part.column(lang).cast(pa.string())
+                n, _, _, _, repeats, cost = (c.to_numpy(zero_copy_only=False) for c in columns(part.column(text), names, keys, logs))
+                band = [limits.get(x or "", (None, 0.0)) for x in names.to_pylist()]
+                middle = np.array([np.nan if m is None else m for m, _ in band])
+                middle = np.where(np.isnan(middle), cost, middle)
+                half = np.maximum(WIDTH * np.array([w for _, w in band], float), LEAST_WIDTH * FULL_LENGTH**0.5) / np.sqrt(np.clip(n, 1, FULL_LENGTH).astype(float))
+                yield part.filter(pa.array((n >= 20) & (100 * repeats <= 30 * n) & (middle - half <= cost) & (cost <= middle + half)))
+
+    return flat.mapInArrow(run, flat.schema)
+
+
+def _kept_blocks(flat: DataFrame, model: DataFrame, text: int, lang: int) -> DataFrame:
     blocks = write_blocks(flat, text, lang)
-    scored = cut(score(blocks, text, lang))
+    scored = cut(score_blocks(blocks, model, text, lang))
     kept = judge(scored, bands(scored)).where("kept").groupBy("block").agg(F.collect_list("pos").alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,4 +530,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
                         yield part.take(pa.array(mine))
 
     full = _dealt(blocks.select("block", "packed"), kept, "inner").select("packed", "kept")
-    return full.mapInArrow(run, flat.schema).toDF(*docs.columns)
+    return full.mapInArrow(run, flat.schema)

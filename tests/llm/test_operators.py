@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -155,7 +156,10 @@ def _rank(values: list, share: float) -> float:
     return sorted(values)[max(0, math.ceil(share * len(values)) - 1)]
 
 
-def test_perplexity_and_verdict_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [quality.MOST_BROADCAST, 0])
+def test_perplexity_and_verdict_equal_brute_force(spark, monkeypatch, most):
+    """Under a broadcast model and under one that stays in shards."""
+    monkeypatch.setattr(quality, "MOST_BROADCAST", most)
     rng = random.Random(11)
     words = {x: ["".join(rng.choice(a) for _ in range(rng.randint(1, 8))) for _ in range(60)] for x, a in (("en", "abcdeé"), ("de", "opqrst"), (None, "xyz"))}
     rows = []
@@ -464,6 +468,69 @@ def test_html(spark):
     assert html.main_text(frame.limit(0)).count() == 0
 
 
+def _alone(page: str) -> str:
+    """The text of a page that is its host's only one."""
+    path = html.best_path(page)
+    return html.extract(page, [path] if path else [])
+
+
+def test_html_names_and_places():
+    assert _alone("<body><nav>menu</nav><div class='social-history'><p>The history of it</p></div></body>") == "The history of it"
+    assert _alone("<body><div class='popular'><p>only text</p></div></body>") == "only text"
+    assert _alone("<body><main><article><p>one</p></article><article><p>two two</p></article><aside>no</aside></main></body>") == "one\n\ntwo two"
+    assert _alone("<body><p>intro</p><div><p>content of the page that is long enough to win</p></div></body>") == "intro\n\ncontent of the page that is long enough to win"
+    assert _alone("<article><p>text <span class='ad'>BUY <b>NOW</b></span> more <span class='share'>Share <span>x</span></span> end</p><p>b</p></article>") == "text more end\n\nb"
+    assert _alone("<article><p>a <span class='ad'>BUY<p>c</p><div id='comments'>d</div></article>") == "a\n\nc"
+    # equal votes go to the path that sorts first
+    assert html.extract("<div class='b'><p>bb</p></div><div class='a'><p>aa</p></div>", ["html>div.a", "html>div.b"]) == "aa"
+
+
+@pytest.mark.parametrize("page", ["<ul>x" * 200_000, "<select>" * 125_000, "<div>" * 100_000 + "</p>" * 100_000, "<p>" + "<div>" * 100_000 + "</p>" * 100_000, "<span class=ad>" * 60_000, '<a "' * 250_000, "<div>" * 90_000 + "<header>" * 60_000, "<!--" * 250_000])
+def test_html_takes_odd_pages_in_time(page):
+    best = lambda p: min(_timed(p) for _ in range(2))
+    half, whole = best(page[: len(page) // 2]), best(page)
+    assert whole < 4 * half + 0.5
+
+
+def _timed(page: str) -> float:
+    began = time.process_time()
+    _alone(page)
+    return time.process_time() - began
+
+
+def test_html_reads_very_long_pages(spark):
+    text = "word " * 400_000
+    rows = spark.createDataFrame([(1, "http://h/1", f"<article><p>{text}</p></article>"), (1, "http://h/1", f"<article><p>{text}</p></article>")], "page_id long, url string, html string")
+    assert [len(r.text) for r in html.main_text(rows).collect()] == [len(text) - 1] * 2
+
+
+def test_simhash_block_numbers_agree(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(12)}
+    nodes = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
+    roots = [sorted((r.node, r.root) for r in components(simhash.links(nodes, blocks=b)).collect()) for b in (6, 7, 8)]
+    assert roots[0] == roots[1] == roots[2] and roots[0]
+    assert [simhash.blocks_for(n) for n in (0, 4 << 21, (4 << 21) + 1, (4 << 27) + 1, 1 << 50)] == [6, 6, 7, 8, 8]
+
+
+def test_warc_commit_may_run_again(spark, tmp_path):
+    import pyarrow as pa
+
+    frame = spark.createDataFrame([(k, f"u{k}", f"{k} " * 90) for k in range(20)], "page_id long, url string, html string")
+    uri = f"file://{tmp_path}/a"
+    first = sorted(map(tuple, warc.write(frame, uri, rows_per_shard=7).collect()))
+    attempts = spark.read.parquet(f"{uri}/attempts").toArrow().to_batches()
+    assert [b.num_rows for b in warc._final_names(uri)(iter(attempts))] == [b.num_rows for b in attempts]
+    lost = pa.RecordBatch.from_pylist([r | {"compressed_bytes": 1} for r in attempts[0].to_pylist()], schema=attempts[0].schema)
+    with pytest.raises(OSError, match="not whole"):
+        list(warc._final_names(uri)(iter([lost])))
+    (tmp_path / "a" / ".shard-000000-0000.warc.gz.gone-1.tmp").write_bytes(b"half")
+    again = warc.write(frame, uri, rows_per_shard=7)
+    assert sorted(map(tuple, again.collect())) == first
+    assert not list((tmp_path / "a").glob(".shard*")) and warc.read(again, uri).count() == 20
+
+
 def test_warc(spark, tmp_path):
     long = "x" * 150
     rows = [(k, f"http://h/{k}", long if k % 3 == 0 else "short" if k % 3 == 1 else f"{k}" * 60) for k in range(40)] + [(5, "http://again", "5" * 60), (0, None, long), (None, "http://n\r\nX: y", long), (77, "u", None)]
