@@ -1,14 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word enters as what the training documents say of it and of the characters in it: the shrunken log odds of its
-lower-cased letters, and the highest, mean and lowest log odds of its character n-grams. The network reads every
-overlapping window of WINDOW words; a text's score is that of its highest window. Labels come only from the training
-rows; while the network is trained, a document's inputs come from the other half of them.
+The network has the same layer twice. The first reads the bytes of a word's lower-cased letters, one after the other,
+and pools them into a vector. That vector, with a learned one of the word itself if it is in the vocabulary of the
+training documents, is a step of the second layer, which reads every window of WINDOW words, each overlapping the next by
+half. A text's score is that of its highest window. Words longer than PIECE bytes are read as overlapping pieces, each
+as a word. Labels come only from the training rows, and no counts of labels enter the inputs.
 """
 
 from __future__ import annotations
 
-import zlib
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,18 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Words, _mix, buffer_of, slices, windows_hash
+from quire.llm.shared import Words, buffer_of, slices
 
-WINDOW, STRIDE = 48, 36
-HIDDEN, INPUTS, PROJECTED = 6, 4, 8
-SLOTS = 18
-GRAMS = (4, 5, 6, 7)
+WINDOW, STRIDE = 32, 16
+#: Bytes of a piece of a long word and those that two pieces share.
+PIECE, SHARED = 24, 8
+#: Sizes: states of each direction over bytes and over words, vectors of bytes and of words, the attention's projections.
+BYTE_STATE, WORD_STATE, BYTE_VECTOR, WORD_VECTOR, PROJECTED = 10, 6, 8, 6, 8
+#: A word has a vector of its own if so many training documents hold it; in training it is hidden at this rate.
+LEAST_DOCS, HIDE = 4, 0.7
 #: The bounded sample that the model is fitted on: so many documents of each label, in the order of a hash of doc_id,
 #: among those of at most TRAIN_BYTES bytes.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1000, 2500, 1 << 15
-STEPS, BATCH, RATE = 260, 64, 0.02
-#: Weight of the base rate in the log odds of a word or n-gram, in documents.
-SHRINK = 4.0
+#: Steps of training before the highest windows are first looked for, and after each time they are.
+STEPS, BATCH, RATE, AVERAGE = (160, 120, 120, 120), 64, 0.02, 0.02
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -38,8 +41,23 @@ _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 # Inputs
 
 
-def _letters(words: Words, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lower-cased letter bytes of the picked words, a start byte before each, and the number of the word of each byte."""
+def pieces_of(words: Words) -> Words:
+    """Words with long ones cut into overlapping pieces."""
+    size, step = words.ends - words.starts, PIECE - SHARED
+    count = 1 + np.maximum(0, -(-(size - PIECE) // step))
+    if not len(size) or count.max() == 1:
+        return words
+    out = copy.copy(words)
+    ends = np.cumsum(count)
+    owner = np.repeat(np.arange(len(size)), count)
+    out.starts = words.starts[owner] + (np.arange(len(owner)) - (ends - count)[owner]) * step
+    out.ends = np.minimum(out.starts + PIECE, words.ends[owner])
+    out.bounds = np.r_[0, ends][words.bounds]
+    return out
+
+
+def bytes_of(words: Words, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps x words: a start byte (1) and the lower-cased letter bytes of the picked words, 0 past the end; and their numbers."""
     size = words.ends[picked] - words.starts[picked]
     ends = np.cumsum(size)
     owner = np.repeat(np.arange(len(picked)), size)
@@ -50,58 +68,12 @@ def _letters(words: Words, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     latin = (raw >= 0x80) & (raw <= 0x9E) & (words.data[np.maximum(at - 1, 0)] == 0xC3)
     data = data + latin.astype(np.uint8) * np.uint8(32)
     keep = _LETTER[data]
-    owner, data = np.r_[np.arange(len(picked)), owner[keep]], np.r_[np.ones(len(picked), np.uint8), data[keep]]
-    order = np.argsort(owner, kind="stable")
-    return data[order], owner[order]
-
-
-_VALUE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-def slots_of(words: Words, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The slot of each picked word, and the slots of their character n-grams with the words' numbers (in order)."""
-    data, owner = _letters(words, picked)
-    value = _VALUE[data]
-    with np.errstate(over="ignore"):
-        place = np.arange(len(data)) - np.searchsorted(owner, owner)
-        whole = np.zeros(len(picked), np.uint64)
-        np.add.at(whole, owner, _mix(value + place.astype(np.uint64)))
-        word = _mix(whole) >> np.uint64(64 - SLOTS)
-    slots, owners = [], []
-    for k in GRAMS:
-        if len(data) < k:
-            continue
-        h = windows_hash(value, k) + np.uint64(k)
-        ok = owner[: len(h)] == owner[k - 1 :]
-        slots.append(_mix(h[ok]) >> np.uint64(64 - SLOTS)), owners.append(owner[: len(h)][ok])
-    slot, own = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (slots, owners))
-    order = np.argsort(own, kind="stable")
-    return word.astype(np.int64), slot[order].astype(np.int64), own[order]
-
-
-def features(tables: tuple[np.ndarray, np.ndarray], word: np.ndarray, gram: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """INPUTS numbers of each word."""
-    out = np.zeros((len(word), INPUTS), np.float32)
-    out[:, 0] = tables[0][word]
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-    if len(first):
-        odds, rows = tables[1][gram], owner[first]
-        out[rows, 1], out[rows, 3] = np.maximum.reduceat(odds, first), np.minimum.reduceat(odds, first)
-        out[rows, 2] = np.add.reduceat(odds, first) / np.diff(np.r_[first, len(odds)])
-    return out / 2
-
-
-def _tally(slot: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Toxic documents and documents that have each slot."""
-    pairs = np.unique(doc.astype(np.int64) << SLOTS | slot)
-    slot, doc = pairs & (1 << SLOTS) - 1, pairs >> SLOTS
-    return np.bincount(slot, label[doc], 1 << SLOTS), np.bincount(slot, minlength=1 << SLOTS)
-
-
-def _odds(hits: np.ndarray, seen: np.ndarray, base: float) -> np.ndarray:
-    """Shrunken log odds of each slot against the base rate."""
-    rate = (hits + SHRINK * base) / (seen + SHRINK)
-    return (np.log(rate / (1 - rate)) - np.log(base / (1 - base))).astype(np.float32)
+    owner, data = owner[keep], data[keep]
+    count = np.bincount(owner, minlength=len(picked))
+    out = np.zeros((1 + int(count.max(initial=0)), len(picked)), np.uint8)
+    out[0] = 1
+    out[1 + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count), owner] = data
+    return out, count + 1
 
 
 # The network
@@ -111,35 +83,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-@dataclass
-class Model:
-    """base: the score where there are no labels of both kinds; tables: log odds by word slot and by n-gram slot."""
-
-    base: float
-    tables: tuple[np.ndarray, np.ndarray] | None = None
-    net: dict[str, np.ndarray] | None = None
-
-    def gates(self, x: np.ndarray) -> np.ndarray:
-        """What each word adds to the gates of both directions (2 * 3 * HIDDEN numbers)."""
-        p = np.tanh(x @ self.net["W"] + self.net["b"])
-        return np.concatenate([p @ self.net["F.W"] + self.net["F.b"], p @ self.net["B.W"] + self.net["B.b"]], axis=1)
-
-    def windows(self, gates: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Logits of windows; at: the gates' row of each step (-1: none) of each window."""
-        return _forward(self.net, gates[at.T], at.T >= 0)[0]
-
-
 def _gru(net: dict[str, np.ndarray], name: str, gates: np.ndarray, live: np.ndarray, steps: range, keep: list | None) -> np.ndarray:
-    """States of one direction (steps x windows x HIDDEN). gates: steps x windows x 3 * HIDDEN."""
+    """States of one direction (steps x rows x size). gates: steps x rows x 3 * size."""
     u, c = net[f"{name}.U"], net[f"{name}.c"]
-    h = np.zeros((gates.shape[1], HIDDEN), np.float32)
-    out = np.empty((len(gates), gates.shape[1], HIDDEN), np.float32)
+    k = len(u)
+    h = np.zeros((gates.shape[1], k), gates.dtype)
+    out = np.empty((len(gates), gates.shape[1], k), gates.dtype)
     for t in steps:
         r = h @ u
-        zr = _sigmoid(gates[t, :, : 2 * HIDDEN] + r[:, : 2 * HIDDEN])
-        z, reset = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        inner = r[:, 2 * HIDDEN :] + c
-        n = np.tanh(gates[t, :, 2 * HIDDEN :] + reset * inner)
+        zr = _sigmoid(gates[t, :, : 2 * k] + r[:, : 2 * k])
+        z, reset = zr[:, :k], zr[:, k:]
+        inner = r[:, 2 * k :] + c
+        n = np.tanh(gates[t, :, 2 * k :] + reset * inner)
         new = n + z * (h - n)
         if keep is not None:
             keep.append((t, h, z, reset, inner, n))
@@ -148,25 +103,24 @@ def _gru(net: dict[str, np.ndarray], name: str, gates: np.ndarray, live: np.ndar
     return out
 
 
-def _forward(net: dict[str, np.ndarray], gates: np.ndarray, live: np.ndarray, tape: dict | None = None) -> tuple:
+def _layer(net: dict[str, np.ndarray], name: str, gates: np.ndarray, live: np.ndarray, tape: dict | None = None) -> np.ndarray:
+    """What a layer pools from each row's live steps (rows x 2 * size). gates: steps x rows x 6 * size, both directions'."""
     ahead, back = ([], []) if tape is not None else (None, None)
-    T = len(gates)
-    states = np.concatenate([_gru(net, "F", gates[:, :, : 3 * HIDDEN], live, range(T), ahead), _gru(net, "B", gates[:, :, 3 * HIDDEN :], live, range(T - 1, -1, -1), back)], axis=2)
-    u = np.tanh(states @ net["A"] + net["a"])
-    s = np.where(live, u @ net["v"], np.float32(-1e9))
+    T, half = len(gates), gates.shape[2] // 2
+    states = np.concatenate([_gru(net, f"{name}F", gates[:, :, :half], live, range(T), ahead), _gru(net, f"{name}B", gates[:, :, half:], live, range(T - 1, -1, -1), back)], axis=2)
+    u = np.tanh(states @ net[f"{name}A"] + net[f"{name}a"])
+    s = np.where(live, u @ net[f"{name}v"], -1e9)
     e = np.exp(s - s.max(axis=0)) * live
-    weight = e / np.maximum(e.sum(axis=0), 1e-9)
-    pooled = np.einsum("tb,tbh->bh", weight, states)
-    logit = pooled @ net["w"] + net["o"][0]
+    weight = (e / np.maximum(e.sum(axis=0), 1e-9)).astype(gates.dtype)
     if tape is not None:
-        tape |= {"F": ahead, "B": back, "states": states, "u": u, "weight": weight, "pooled": pooled}
-    return logit, tape
+        tape[name] = {"F": ahead, "B": back, "states": states, "u": u, "weight": weight, "live": live}
+    return np.einsum("tb,tbh->bh", weight, states)
 
 
 def _gru_back(net: dict, grad: dict, name: str, tape: list, live: np.ndarray, d_states: np.ndarray) -> np.ndarray:
     u = net[f"{name}.U"]
-    d_gates = np.zeros((*d_states.shape[:2], 3 * HIDDEN), np.float32)
-    dh = np.zeros(d_states.shape[1:], np.float32)
+    d_gates = np.zeros((*d_states.shape[:2], 3 * len(u)), d_states.dtype)
+    dh = np.zeros(d_states.shape[1:], d_states.dtype)
     for t, h, z, reset, inner, n in reversed(tape):
         dh = dh + d_states[t]
         on = live[t][:, None]
@@ -182,38 +136,104 @@ def _gru_back(net: dict, grad: dict, name: str, tape: list, live: np.ndarray, d_
     return d_gates
 
 
-def _gradient(net: dict[str, np.ndarray], x: np.ndarray, live: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradient of the mean cross entropy. x: steps x windows x INPUTS."""
-    grad = {k: np.zeros_like(v) for k, v in net.items()}
-    p = np.tanh(x @ net["W"] + net["b"])
-    gates = np.concatenate([p @ net["F.W"] + net["F.b"], p @ net["B.W"] + net["B.b"]], axis=2)
-    logit, tape = _forward(net, gates, live, {})
-    d = ((_sigmoid(logit) - y) / len(y)).astype(np.float32)
-    states, u, weight = tape["states"], tape["u"], tape["weight"]
-    grad["w"], grad["o"] = tape["pooled"].T @ d, np.array([d.sum()], np.float32)
-    d_pooled = d[:, None] * net["w"]
-    d_states = weight[:, :, None] * d_pooled
+def _layer_back(net: dict, grad: dict, name: str, tape: dict, d_pooled: np.ndarray) -> np.ndarray:
+    """The gradient of a layer's gates; adds those of its own values to grad."""
+    own = tape[name]
+    states, u, weight, live = own["states"], own["u"], own["weight"], own["live"]
     d_weight = np.einsum("tbh,bh->tb", states, d_pooled)
     d_s = weight * (d_weight - (weight * d_weight).sum(axis=0))
-    d_u = d_s[:, :, None] * net["v"] * (1 - u * u)
-    grad["v"] = np.einsum("tb,tbk->k", d_s, u)
-    grad["A"], grad["a"] = np.einsum("tbh,tbk->hk", states, d_u), d_u.sum(axis=(0, 1))
-    d_states = d_states + d_u @ net["A"].T
-    d_p = np.zeros_like(p)
-    for name, part in (("F", d_states[:, :, :HIDDEN]), ("B", d_states[:, :, HIDDEN:])):
-        d_gates = _gru_back(net, grad, name, tape[name], live, part)
-        grad[f"{name}.W"], grad[f"{name}.b"] = np.einsum("tbi,tbj->ij", p, d_gates), d_gates.sum(axis=(0, 1))
-        d_p += d_gates @ net[f"{name}.W"].T
-    d_p *= 1 - p * p
-    grad["W"], grad["b"] = np.einsum("tbi,tbj->ij", x, d_p), d_p.sum(axis=(0, 1))
-    return grad
-
-
-def _start(rng: np.random.Generator) -> dict[str, np.ndarray]:
-    shapes = {"W": (INPUTS, PROJECTED), "b": (PROJECTED,), "A": (2 * HIDDEN, PROJECTED), "a": (PROJECTED,), "v": (PROJECTED,), "w": (2 * HIDDEN,), "o": (1,)}
-    for name in "FB":
-        shapes |= {f"{name}.W": (PROJECTED, 3 * HIDDEN), f"{name}.b": (3 * HIDDEN,), f"{name}.U": (HIDDEN, 3 * HIDDEN), f"{name}.c": (HIDDEN,)}
-    return {k: (rng.normal(0, 0.5 / np.sqrt(s[0]) * 2, s) if len(s) > 1 or k in "vw" else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
+    d_u = d_s[:, :, None] * net[f"{name}v"] * (1 - u * u)
+    grad[f"{name}v"] += np.einsum("tb,tbk->k", d_s, u)
+    grad[f"{name}A"] += np.einsum("tbh,tbk->hk", states, d_u)
+    grad[f"{name}a"] += d_u.sum(axis=(0, 1))
+    d_states = weight[:, :, None] * d_pooled + d_u @ net[f"{name}A"].T
+    k = states.shape[2] // 2
+    return np.concatenate([_gru_back(net, grad, f"{name}{way}", own[way], live, part) for way, part in (("F", d_states[:, :, :k]), ("B", d_states[:, :, k:]))], axis=2)
+
+
+def _added(values: np.ndarray, at: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of values by row number."""
+    out = np.zeros((rows, values.shape[1]), values.dtype)
+    order = np.argsort(at, kind="stable")
+    some, first = np.unique(at[order], return_index=True)
+    if len(some):
+        out[some] = np.add.reduceat(values[order], first)
+    return out
+
+
+def word_vectors(net: dict[str, np.ndarray], chars: np.ndarray, ids: np.ndarray, tape: dict | None = None) -> np.ndarray:
+    """Inputs of the second layer of words: chars by bytes_of, ids of their vectors (0: unknown)."""
+    table = net["E"] @ net["cW"] + net["cb"]
+    return np.concatenate([_layer(net, "c", table[chars], chars > 0, tape), net["V"][ids]], axis=1)
+
+
+def word_gates(net: dict[str, np.ndarray], chars: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """What each word adds to the gates of both directions of the second layer."""
+    return word_vectors(net, chars, ids) @ net["wW"] + net["wb"]
+
+
+def window_logits(net: dict[str, np.ndarray], gates: np.ndarray, at: np.ndarray, tape: dict | None = None) -> np.ndarray:
+    """Logits of windows; at: the gates' row of each step (-1: none) of each window."""
+    pooled = _layer(net, "w", gates[at.T], at.T >= 0, tape)
+    if tape is not None:
+        tape["pooled"] = pooled
+    return pooled @ net["w"] + net["o"][0]
+
+
+def loss(net: dict[str, np.ndarray], chars: np.ndarray, ids: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross entropy of windows and its gradient."""
+    grad, tape = {k: np.zeros_like(v) for k, v in net.items()}, {}
+    x = word_vectors(net, chars, ids, tape)
+    logit = window_logits(net, x @ net["wW"] + net["wb"], at, tape)
+    d = ((_sigmoid(logit) - y) / len(y)).astype(x.dtype)
+    grad["w"], grad["o"] = tape["pooled"].T @ d, np.array([d.sum()], x.dtype)
+    d_gates = _layer_back(net, grad, "w", tape, d[:, None] * net["w"])
+    on = at.T >= 0
+    d_rows = _added(d_gates[on], at.T[on], len(x))
+    grad["wW"], grad["wb"] = x.T @ d_rows, d_rows.sum(axis=0)
+    dx = d_rows @ net["wW"].T
+    k = 2 * len(net["cF.U"])
+    grad["V"] = _added(dx[:, k:], ids, len(net["V"]))
+    d_chars = _layer_back(net, grad, "c", tape, dx[:, :k])
+    d_table = _added(d_chars.reshape(-1, d_chars.shape[2]), chars.ravel().astype(np.int64), 256)
+    grad["cW"], grad["cb"], grad["E"] = net["E"].T @ d_table, d_table.sum(axis=0), d_table @ net["cW"].T
+    return float(np.mean(np.logaddexp(0, logit) - y * logit)), grad
+
+
+def start(rng: np.random.Generator, vocabulary: int) -> dict[str, np.ndarray]:
+    """Values before training; vocabulary: words with a vector of their own."""
+    sizes = {"E": (256, BYTE_VECTOR), "V": (1 + vocabulary, WORD_VECTOR), "w": (2 * WORD_STATE,), "o": (1,)}
+    for name, k, inputs in (("c", BYTE_STATE, BYTE_VECTOR), ("w", WORD_STATE, 2 * BYTE_STATE + WORD_VECTOR)):
+        sizes |= {f"{name}W": (inputs, 6 * k), f"{name}b": (6 * k,), f"{name}A": (2 * k, PROJECTED), f"{name}a": (PROJECTED,), f"{name}v": (PROJECTED,)}
+        for way in "FB":
+            sizes |= {f"{name}{way}.U": (k, 3 * k), f"{name}{way}.c": (k,)}
+    scale = {"E": 0.5, "V": 0.1}
+    return {k: (rng.normal(0, scale.get(k, 1 / np.sqrt(s[0])), s) if len(s) > 1 or k in ("w", "cv", "wv") else np.zeros(s)).astype(np.float32) for k, s in sizes.items()}
+
+
+@dataclass
+class Model:
+    """base: the score where there are no labels of both kinds; vocabulary: sorted hashes of the words with a vector."""
+
+    base: float
+    net: dict[str, np.ndarray] | None = None
+    vocabulary: np.ndarray | None = None
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.vocabulary):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+
+    def gates(self, words: Words, picked: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Gates of the picked words, worked out in groups of like length."""
+        out = np.empty((len(picked), self.net["wW"].shape[1]), np.float32)
+        order = np.argsort(words.ends[picked] - words.starts[picked], kind="stable")
+        ids = self.ids(hashes)
+        for at in range(0, len(order), 8192):
+            some = order[at : at + 8192]
+            out[some] = word_gates(self.net, bytes_of(words, picked[some])[0], ids[some])
+        return out
 
 
 def windows_of(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,85 +247,63 @@ def windows_of(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
-    """The model of labelled texts. With labels of one kind only, every score is their share."""
+    """The model of labelled texts. With labels of one kind only, every score is their share.
+
+    A document's label is that of its highest window. At first windows are taken at random; then, from time to time, the
+    highest of each document is looked for, and clean documents go on giving random ones too.
+    """
     y = labels.astype(np.float32)
     if not len(y) or y.min() == y.max():
         return Model(float(y.mean()) if len(y) else 0.0)
-    column = pa.array(texts, pa.string())
-    words = Words(*buffer_of(column))
-    parts = slices(pa.RecordBatch.from_arrays([column], ["text"]))
-    hashes = np.concatenate([Words(*buffer_of(p.column(0))).hashes() for p in parts])
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    words = pieces_of(Words(*buffer_of(pa.array(texts, pa.string()))))
     doc = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-    half = np.array([zlib.crc32(t[:64].encode()) for t in texts]) % 2
-    counts = np.zeros((2, 2, 2, 1 << SLOTS))  # half, words or n-grams, toxic or all
-    for at in range(0, len(texts), 100):
-        for f in (0, 1):
-            rows = np.arange(words.bounds[at], words.bounds[min(at + 100, len(texts))])
-            rows = rows[half[doc[rows]] == f]
-            pair = np.unique(doc[rows].astype(np.int64) * len(first) + which[rows])
-            d, (own, k) = pair // len(first), np.unique(pair % len(first), return_inverse=True)
-            word, gram, owner = slots_of(words, first[own])
-            edge = np.searchsorted(owner, np.arange(len(own) + 1))
-            n = edge[k + 1] - edge[k]
-            ends = np.cumsum(n)
-            spread = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - edge[k], n)
-            counts[f, 0] += _tally(word[k], d, y)
-            counts[f, 1] += _tally(gram[spread], np.repeat(d, n), y)
-    base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-
-    def tables(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _odds(*c[0], base), _odds(*c[1], base)
-
-    odds = [tables(counts[1 - f]) for f in (0, 1)]
-    side, parts = half[doc], [[], []]
-    for at in range(0, len(first), 20_000):
-        slots = slots_of(words, first[at : at + 20_000])
-        for f in (0, 1):
-            parts[f].append(features(odds[f], *slots))
-    inputs = [np.concatenate(p) for p in parts]
-    x = np.where(side[:, None] == 0, inputs[0][which], inputs[1][which])
-    x = np.concatenate([x, np.zeros((1, INPUTS), np.float32)])  # row -1
-    at, of = windows_of(words.bounds)
-    edges = np.searchsorted(of, np.arange(len(texts) + 1))
+    hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    held = np.bincount(np.unique(doc.astype(np.int64) * len(first) + which) % len(first), minlength=len(first))
     rng = np.random.default_rng(seed)
-    net = _start(rng)
+    model = Model(float(y.mean()), start(rng, int((held >= LEAST_DOCS).sum())), hashes[held >= LEAST_DOCS])
+    net, ids = model.net, model.ids(hashes)
     net["o"][:] = -1
-    m, v = ({k: np.zeros_like(a) for k, a in net.items()} for _ in range(2))
-    hint = np.where(at >= 0, x[at, 1], -9).max(axis=1)
+    at, of = windows_of(words.bounds)
+    at = np.where(at >= 0, which[at], -1)
+    edges = np.searchsorted(of, np.arange(len(texts) + 1))
     usable = np.flatnonzero(np.diff(edges) > 0)
     groups = [usable[y[usable] == k] for k in (0, 1)]
-    for step in range(STEPS):
-        docs = np.concatenate([rng.choice(groups[1], min(len(groups[1]), BATCH // 3)), rng.choice(groups[0], min(len(groups[0]), BATCH - BATCH // 3))])
-        spans = [np.arange(edges[d], edges[d + 1]) for d in docs]
-        if step < STEPS // 4:
-            best = [s[hint[s].argmax()] for s in spans]
-        else:
-            model = Model(0.0, None, net)
-            rows = np.concatenate(spans)
-            logit = model.windows(model.gates(x), at[rows]) if len(x) < 1 << 16 else _logits(model, x, at[rows])
-            cut = np.cumsum([0, *map(len, spans)])
-            best = [s[logit[a:b].argmax()] for s, a, b in zip(spans, cut, cut[1:])]
-        g = _gradient(net, x[at[best].T], at[best].T >= 0, y[docs])
-        norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-        for k, a in g.items():
-            a = a / max(1.0, norm)
-            m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.999 * v[k] + 0.001 * a * a
-            net[k] = net[k] - (RATE * (1 - 0.9 * step / STEPS) * (m[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(v[k] / (1 - 0.999 ** (step + 1))) + 1e-8)).astype(np.float32)
-    return Model(float(y.mean()), tables(counts.sum(axis=0)), net)
-
-
-def _logits(model: Model, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logits of windows, the gates computed for the words that they hold."""
-    rows, back = np.unique(at, return_inverse=True)
-    return model.windows(model.gates(x[rows]), np.where(at < 0, -1, back.reshape(at.shape)))
+    m, v = ({k: np.zeros_like(a) for k, a in net.items()} for _ in range(2))
+    best, step, mean = None, 0, None
+    for steps in STEPS:
+        if step:
+            gates = model.gates(words, first, hashes)
+            logit = np.concatenate([window_logits(net, gates, at[a : a + 8192]) for a in range(0, len(at), 8192)])
+            best = np.full(len(texts), -1)
+            best[of[np.argsort(logit, kind="stable")]] = np.argsort(logit, kind="stable")
+        for _ in range(steps):
+            docs = np.concatenate([rng.choice(groups[1], BATCH // 3), rng.choice(groups[0], BATCH - BATCH // 3)])
+            some = rng.integers(edges[docs], edges[docs + 1])
+            if best is not None:
+                some = np.where((y[docs] == 1) | (rng.random(len(docs)) < 0.5), best[docs], some)
+            own, back = np.unique(at[some], return_inverse=True)
+            back = back.reshape(at[some].shape)
+            if own[0] < 0:
+                own, back = own[1:], back - 1
+            shown = np.where(rng.random(len(own)) < HIDE, 0, ids[own])
+            _, g = loss(net, bytes_of(words, first[own])[0], shown, back, y[docs])
+            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+            step += 1
+            for k, a in g.items():
+                a = a / max(1.0, norm)
+                m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.999 * v[k] + 0.001 * a * a
+                net[k] -= (RATE * (1 - 0.9 * step / sum(STEPS)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            if 2 * step > sum(STEPS):  # the mean of the later steps' values is steadier than the last ones
+                mean = {k: a.astype(np.float64) for k, a in net.items()} if mean is None else {k: mean[k] + AVERAGE * (a - mean[k]) for k, a in net.items()}
+    model.net = {k: a.astype(np.float32) for k, a in mean.items()}
+    return model
 
 
 # Scoring
 
 
 #: Distinct words that a worker holds at a time.
-HELD_WORDS = 400_000
+HELD_WORDS = 150_000
 
 
 class Seen:
@@ -330,30 +328,30 @@ class Seen:
 
 
 class Scorer:
-    """Scores slices of texts; the inputs of the words that a worker has met are kept."""
+    """Scores slices of texts; the gates of the words that a worker has met are kept."""
 
     def __init__(self, model: Model):
-        self.model, self.seen, self.rows = model, Seen(), np.zeros((0, INPUTS), np.float32)
+        self.model, self.seen, self.rows = model, Seen(), np.zeros((0, 6 * WORD_STATE), np.float32)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """The score of each text; a text without words has the model's score of a window of one empty word."""
+        """The score of each text; a text without words has that of a window of one word without letters."""
         model = self.model
         if model.net is None:
             return np.full(len(texts), model.base)
-        words = Words(*buffer_of(texts))
+        words = pieces_of(Words(*buffer_of(texts)))
         if len(self.seen) > HELD_WORDS:
             self.seen, self.rows = Seen(), self.rows[:0]
         keys, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
         rows, new = self.seen.rows_of(keys)
         if len(new):
-            self.rows = np.concatenate([self.rows, features(model.tables, *slots_of(words, first[new]))])
-        gates = model.gates(np.concatenate([self.rows[rows], np.zeros((1, INPUTS), np.float32)]))
+            self.rows = np.concatenate([self.rows, model.gates(words, first[new], keys[new])])
+        gates = self.rows[rows]
         at, doc = windows_of(words.bounds)
-        empty = float(model.windows(gates[-1:], np.zeros((1, 1), np.int64))[0])
+        empty = float(window_logits(model.net, word_gates(model.net, np.ones((1, 1), np.uint8), np.zeros(1, np.int64)), np.zeros((1, 1), np.int64))[0])
         best = np.full(len(texts), -np.inf)
         for a in range(0, len(at), 4096):
             part = at[a : a + 4096]
-            logit = model.windows(gates, np.where(part >= 0, which[part], -1))
+            logit = window_logits(model.net, gates, np.where(part >= 0, which[part], -1))
             np.maximum.at(best, doc[a : a + 4096], logit)
         return _sigmoid(np.where(np.isneginf(best), empty, best)).astype(np.float64)
 
@@ -380,7 +378,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score (0 to 1), one row per row.
 
-    Null and empty texts are scored as a window of one empty word. Labels of one kind only, or none, give their share
+    Null and empty texts are scored as a window of one word without letters. Labels of one kind only, or none, give their share
     as every score. Repeated rows get the same score. An empty table gives no rows. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
