@@ -3,7 +3,8 @@
 Every task packs the rows it reads as they come, without a shuffle. A level array counts the partly filled windows
 of each fill level; a document goes to the level that keeps the sum of the squared counts least (a new window is
 level 0). Stretches of a whole window are sequences of their own. What is partly filled at the end is closed by
-cutting the emptiest windows into the gaps of the fullest, and the last one is cut at powers of two.
+cutting the emptiest windows into the gaps of the fullest, and the last one is cut at powers of two. A task that holds
+too many open windows closes some in the same way before the end, without leaving any short.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from quire.llm.bpe import encode_bytes, encoder
 from quire.llm.shared import slices
 
 WINDOW = 4096
-#: Partly filled windows that a task holds; beyond this they are closed as at the end, so memory stays bounded.
+#: Partly filled windows that a task holds (of 16 KB at most each); beyond this, half are filled up from the emptiest and closed.
 OPEN = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -75,16 +76,23 @@ class Packer:
         self.count[level + size] += 1
         self.held += 1
         if self.held > self.most_open:
-            self.finish()
+            self.shrink(self.most_open // 2)
 
     def finish(self) -> None:
         """Close all open windows: gaps are filled from the emptiest windows; the last one is cut at powers of two."""
-        queue = [(level, w) for level in range(self.window - 1, 0, -1) for w in self.open[level]]
+        self.shrink(1)
+        for level, windows in enumerate(self.open):
+            for window in windows:
+                self._powers(level, window)
         self.count[:] = 0
         self.open = [[] for _ in range(self.window)]
         self.held = 0
+
+    def shrink(self, keep: int) -> None:
+        """Fill the fullest windows up from the emptiest and close them until at most `keep` are open."""
+        queue = [(level, w) for level in range(self.window - 1, 0, -1) for w in self.open[level]]
         first, last = 0, len(queue) - 1
-        while first < last:
+        while first < last and last - first >= keep:
             level, window = queue[first]
             gap = self.window - level
             while gap and first < last:
@@ -103,8 +111,13 @@ class Packer:
                 break
             self.close(window)
             first += 1
-        if first <= last and first < len(queue):
-            self._powers(*queue[first])
+        left = [x for x in queue[first : last + 1] if x[0]]
+        self.count[:] = 0
+        self.open = [[] for _ in range(self.window)]
+        for level, window in left:
+            self.open[level].append(window)
+            self.count[level] += 1
+        self.held = len(left)
 
     def _powers(self, size: int, pieces: list[Piece]) -> None:
         pieces = pieces[::-1]
@@ -123,12 +136,13 @@ class Packer:
             size -= want
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", most_open: int = OPEN) -> DataFrame:
     """One row per piece (columns PIECES): which ids of which document lie where in which sequence.
 
     path: vocabulary file. Null and empty texts are `end_id` alone; a null id is kept. Repeated rows are packed each on
     their own. A text longer than a window is cut. An empty table gives no rows. Sequence ids are unique, not dense:
-    the task's number above 40 bits. A task that is run again reads the same rows and gives the same pieces.
+    the task's number above 40 bits. most_open bounds a task's memory; it changes where pieces lie, not that sequences
+    are full: a task leaves at most one short sequence for each bit of `window`. Other columns are not read. A task that is run again reads the same rows and gives the same pieces.
     """
     tail = int(end_id).to_bytes(4, "little")
 
@@ -150,7 +164,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, id_c
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECES.split(", ")])
 
-        packer = Packer(emit, window)
+        packer = Packer(emit, window, most_open)
         for batch in batches:
             for part in slices(batch):
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode_bytes(enc, part.column(1))):

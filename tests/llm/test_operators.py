@@ -400,6 +400,25 @@ def test_fm_index_counts():
     assert dict(zip(found.tolist(), (high - low).tolist())) == {int(s): n for s, n in zip(starts, want) if n > 1}
 
 
+@pytest.mark.parametrize("most_open", [1, 3, 64, 2048])
+def test_packer_leaves_few_short_windows(most_open):
+    """Documents that never pair up: the bound on open windows must not leave short sequences behind."""
+    rng = random.Random(most_open)
+    out: dict[int, list] = {}
+    packer = packing.Packer(lambda k, pieces: out.setdefault(k, []).extend(pieces), 64, most_open)
+    texts = {k: np.arange(rng.choice([0, 1, 33, 40, 50, 63, 64, 65, 200]) if k < 500 else 33, dtype="<u4") + 1000 * k for k in range(900)}
+    for k, ids in texts.items():
+        packer.add(k, ids.tobytes())
+        assert packer.held <= most_open + 1 and packer.held == packer.count.sum() == sum(map(len, packer.open))
+    packer.finish()
+    sizes = [sum(len(p[2]) // 4 for p in pieces) for pieces in out.values()]
+    assert all(n == 64 or n & (n - 1) == 0 for n in sizes) and sum(n < 64 for n in sizes) <= 6
+    for k, ids in texts.items():
+        own = sorted((p[1], p[2]) for pieces in out.values() for p in pieces if p[0] == k)
+        assert b"".join(raw for _, raw in own) == ids.tobytes()
+        assert [s for s, _ in own] == np.cumsum([0, *(len(raw) // 4 for _, raw in own)])[:-1].tolist()
+
+
 def test_toxicity_learns(spark, empty):
     rng = random.Random(8)
     vocab = ["".join(rng.choice("abdeghilmno") for _ in range(rng.randint(2, 8))) for _ in range(300)]
@@ -428,24 +447,35 @@ def test_toxicity_learns(spark, empty):
 
 
 def test_toxicity_gradient():
+    """Of every part of the network, through both layers, against slopes; a window shorter than the others, an unknown word, a word without letters."""
     rng = np.random.default_rng(2)
-    net = {k: v.astype(np.float64) for k, v in toxicity._start(rng).items()}
-    x, live, y = rng.normal(size=(5, 3, toxicity.INPUTS)), np.ones((5, 3), bool), np.array([1.0, 0, 1])
-    live[3:, 1] = False
+    net = {k: v.astype(np.float64) for k, v in toxicity.start(rng, 3).items()}
+    chars = np.array([[1, 1, 1, 1], [97, 98, 0, 99], [98, 0, 0, 97]], np.uint8)
+    ids, at, y = np.array([2, 0, 0, 3]), np.array([[0, 1, 2, 3], [3, 0, -1, -1], [1, 1, 0, -1]]), np.array([1.0, 0, 1])
+    value, grad = toxicity.loss(net, chars, ids, at, y)
+    assert value > 0 and set(grad) == set(net)
+    for k, v in net.items():
+        for place in {tuple(rng.integers(0, n) for n in v.shape) for _ in range(6)} | {np.unravel_index(np.abs(grad[k]).argmax(), v.shape)}:
+            step = np.zeros_like(v)
+            step[place] = 1e-4
+            slope = (toxicity.loss(net | {k: v + step}, chars, ids, at, y)[0] - toxicity.loss(net | {k: v - step}, chars, ids, at, y)[0]) / 2e-4
+            assert abs(slope - grad[k][place]) < 1e-7 + 1e-4 * abs(slope), (k, place)
 
-    def loss(n):
-        p = np.tanh(x @ n["W"] + n["b"])
-        gates = np.concatenate([p @ n["F.W"] + n["F.b"], p @ n["B.W"] + n["B.b"]], axis=2)
-        z = toxicity._forward(n, gates, live)[0]
-        return float(np.mean(np.logaddexp(0, z) - y * z))
 
-    grad = toxicity._gradient(net, x, live, y)
-    for k, v in net.items():
-        at = tuple(0 for _ in v.shape)
-        step = np.zeros_like(v)
-        step[at] = 1e-2
-        slope = (loss(net | {k: v + step}) - loss(net | {k: v - step})) / 2e-2
-        assert abs(slope - grad[k][at]) < 2e-3 + 0.05 * abs(slope), k
+def test_toxicity_reads_all_of_long_words():
+    import pyarrow as pa
+
+    from quire.llm.shared import Words, buffer_of
+
+    texts = ["a " + "b" * 100 + " c", "", "x" * 24, "y" * 25, None]
+    words = toxicity.pieces_of(Words(*buffer_of(pa.array(texts, pa.string()))))
+    raw = words.data.tobytes()
+    got = [[raw[words.starts[k] : words.ends[k]] for k in range(a, b)] for a, b in zip(words.bounds[:-1], words.bounds[1:])]
+    assert got[0][0] == b"a" and got[0][-1] == b"c" and all(p == b"b" * len(p) and len(p) <= 24 for p in got[0][1:-1])
+    assert sum(map(len, got[0][1:-1])) - 8 * (len(got[0]) - 3) == 100
+    assert [len(g) for g in got[1:]] == [0, 1, 2, 0] and got[3] == [b"y" * 24, b"y" * 9]
+    chars, size = toxicity.bytes_of(words, np.arange(len(words.starts)))
+    assert chars[:, 0].tolist()[:3] == [1, 97, 0] and size[0] == 2 and (chars > 0).sum(axis=0).tolist() == size.tolist()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1></header>
