@@ -9,6 +9,7 @@ from quire.functions.text import half_up
 
 # Limits, media types, tools and error patterns of the data model.
 MAX_FILE_BYTES = 100 << 20
+OLD_MAX_BYTES = 20 << 20
 MAX_PAGES = 2000
 MAX_FILES = 20
 SOFT_TOTAL_BYTES = 100 << 20
@@ -23,6 +24,8 @@ TOOLS = [
     ("organize", 1, 1, ["application/pdf"]),
     ("unlock", 1, 1, ["application/pdf"]),
 ]
+NO_MEMORY, LOCKED = r"(?i)out of memory|allocation (size overflow|failed)", r"(?i)password|encrypted"
+NO_FILES, TOO_FEW, ONE_FILE, TOO_MANY = "No files chosen yet", "This tool needs at least %d files", "This tool takes a single file", "Takes at most %d files"
 BAD_PDF = r"(?i)pdf (header|document)|parse|xref|trailer|invalid object|unexpected (object|token)|corrupt|malformed|stream"
 
 
@@ -51,8 +54,8 @@ def classify_error(name: Column, message: Column) -> Column:
     like = lambda p: F.rlike(detail, F.lit(p))
     return (
         F.when(name == "AbortError", "E_CANCELLED")
-        .when(like(r"(?i)out of memory|allocation (size overflow|failed)"), "E_OUT_OF_MEMORY")
-        .when(like(r"(?i)password|encrypted"), "E_ENCRYPTED")
+        .when(like(NO_MEMORY), "E_OUT_OF_MEMORY")
+        .when(like(LOCKED), "E_ENCRYPTED")
         .when(like(BAD_PDF), "E_CORRUPT")
         .otherwise("E_INTERNAL")
     )
@@ -85,12 +88,29 @@ def carry(source: Column, keep: Column) -> Column:
     return F.when(keep, F.nullif(source, F.lit("")))
 
 
+APP = "quire"
+
+
+def described(info: Column, policy: str) -> Column:
+    """The description of an output from its source's: by the tool's policy all that is known, all but the date, or nothing.
+
+    info: struct(title, author, subject, keywords, creator, created). keep: split and organize; merge: no date; none; new:
+    pages that were no document before, so the program made them. The program is the producer always.
+    """
+    kept = {c: F.nullif(info[c], F.lit("")) for c in ("title", "author", "subject", "keywords", "creator")} if policy in ("keep", "merge") else {}
+    fields = {c: kept.get(c, F.lit(None).cast("string")) for c in ("title", "author", "subject", "keywords", "creator")}
+    if policy == "new":
+        fields["creator"] = F.lit(APP)
+    created = info["created"] if policy == "keep" else F.lit(None).cast("timestamp")
+    return F.struct(*(v.alias(k) for k, v in fields.items()), F.lit(APP).alias("producer"), created.alias("created"))
+
+
 def blocked(n_files: Column, least: Column, most: Column) -> Column:
     """Why a tool cannot run yet, or null."""
     return (
-        F.when(n_files == 0, "No files chosen yet")
-        .when(n_files < least, F.concat(F.lit("This tool needs at least "), least.cast("string"), F.lit(" files")))
-        .when(n_files > most, F.when(most == 1, "This tool takes a single file").otherwise(F.concat(F.lit("Takes at most "), most.cast("string"), F.lit(" files"))))
+        F.when(n_files == 0, NO_FILES)
+        .when(n_files < least, F.format_string(TOO_FEW, least))
+        .when(n_files > most, F.when(most == 1, ONE_FILE).otherwise(F.format_string(TOO_MANY, most)))
     )
 
 

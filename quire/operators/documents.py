@@ -191,3 +191,131 @@ def build_files(pages: DataFrame) -> DataFrame:
         return [{"file_id": row["file_id"], "content": text_pdf(lines, {"Title": f"File {row['file_id']}"})}]
 
     return _rows(files, step, "file_id long, content binary")
+
+
+EDITS = "page int, ordinal int, method string, moved int, scale double, note string"
+
+
+def edit_files(files: DataFrame, find: str, replace: str, overflow: str = "squeeze") -> DataFrame:
+    """files (file_id, content) -> (file_id, content, edits, error): every match of a text replaced where it is drawn.
+
+    edits: an array of EDITS, one for each match: native, erase or overlay, what moved, how far it was squeezed. A longer
+    text is squeezed into its room, or pushes what follows it on its line (overflow).
+    """
+
+    def step(row: dict) -> list[dict]:
+        from quire.pdf.edit import replace_text
+        from quire.pdf.objects import PdfError
+
+        try:
+            content, edits = replace_text(row["content"] or b"", find, replace, overflow)
+        except PdfError:
+            return [{"file_id": row["file_id"], "error": "E_CORRUPT"}]
+        return [{"file_id": row["file_id"], "content": content, "edits": edits, "error": None if edits else "E_TEXT_NOT_FOUND"}]
+
+    fields = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in EDITS.split(", "))
+    return _rows(files.select("file_id", "content"), step, f"file_id long, content binary, edits array<struct<{fields}>>, error string")
+
+
+IMAGES = "key long, width int, height int, bits int, filter string, colour string, components int, stored long, is_mask boolean, is_mask_target boolean, sample_tricks boolean"
+
+
+def _parsed(files: DataFrame, step: Callable, schema: str) -> DataFrame:
+    """Rows of each file that opens (with its file_id); files that do not open give none."""
+
+    def run(row: dict) -> list[dict]:
+        from quire.pdf.objects import Document, PdfError
+
+        try:
+            return [{"file_id": row["file_id"]} | r for r in step(Document.open(row["content"] or b""))]
+        except PdfError:
+            return []
+
+    return _rows(files.select("file_id", "content"), run, f"file_id long, {schema}")
+
+
+def image_objects(files: DataFrame) -> DataFrame:
+    """files (file_id, content) -> IMAGES of every image object."""
+
+    def step(doc) -> list[dict]:
+        from quire.pdf.images import objects
+
+        return objects(doc)
+
+    return _parsed(files, step, IMAGES)
+
+
+def image_placements(files: DataFrame) -> DataFrame:
+    """files (file_id, content) -> (file_id, key, page, ord, width_pt, height_pt): every drawing of an image, in forms too."""
+
+    def step(doc) -> list[dict]:
+        from quire.pdf.images import placements
+
+        return placements(doc)
+
+    return _parsed(files, step, "key long, page int, ord int, width_pt double, height_pt double")
+
+
+def compress_files(files: DataFrame, level: str = "recommended", strip: bool = True) -> DataFrame:
+    """files (file_id, content) -> (file_id, content, original, bytes, images, warning).
+
+    The images that the plan of the level takes are made smaller and deflated; one that would not shrink, or cannot be
+    read, stays. images: (key, reason; null: replaced, kept_bytes). strip: title, author and programs go. A file that
+    would not shrink stays as it was.
+    """
+    from quire.operators import images as I
+
+    one = F.struct("file_id", "key").alias("key")
+    found = image_objects(files).select(*(one if c == "key" else c for c in image_objects(files).columns))
+    drawn = image_placements(files).select(one, "ord", "width_pt", "height_pt")
+    plan = I.plan(found, I.largest_placement(drawn).select("key", "width_pt", "height_pt"), level)
+    item = F.struct(F.col("key.key").alias("key"), "stored", "target_width", "target_height", "reason")
+    plans = plan.groupBy("file_id").agg(F.sort_array(F.collect_list(item)).alias("plan"))
+
+    def step(row: dict) -> list[dict]:
+        from quire.pdf.images import recoded, without_description
+        from quire.pdf.objects import Document, PdfError, rewrite
+
+        content, images, changes = row["content"] or b"", [], {}
+        base = {"file_id": row["file_id"], "original": len(content)}
+        try:
+            doc = Document.open(content)
+            for x in row["plan"] or []:
+                reason, size = x["reason"], x["stored"]
+                if reason is None:
+                    new = recoded(doc, x["key"], x["target_width"], x["target_height"])
+                    reason = "unreadable" if new is None else "no-gain" if len(new.raw) >= I.WORTH * x["stored"] else None
+                    if reason is None:
+                        changes[x["key"]], size = new, len(new.raw)
+                images.append({"key": x["key"], "reason": reason, "kept_bytes": size})
+            out = rewrite(doc, changes | (without_description(doc) if strip else {}), drop=("Metadata",) if strip else ())
+        except PdfError:
+            return [base | {"content": content, "bytes": len(content), "images": []}]
+        out = content if len(out) >= len(content) else out
+        skipped = any(i["reason"] not in (None, *I.NOTABLE_NOT) for i in images)
+        warning = "W_ALREADY_OPTIMIZED" if out is content or (len(content) - len(out)) * 100 < len(content) else "W_IMAGES_SKIPPED" if skipped else None
+        return [base | {"content": out, "bytes": len(out), "images": images, "warning": warning}]
+
+    rows = files.select("file_id", "content").join(plans, "file_id", "left")
+    return _rows(rows, step, "file_id long, content binary, original long, bytes long, images array<struct<key: long, reason: string, kept_bytes: long>>, warning string")
+
+
+def images_to_pdf(pictures: DataFrame, size: str = "fit-image", margin_mm: float = 0.0) -> DataFrame:
+    """pictures (job_id, ord, content: PNG or JPEG) -> (job_id, content, error): a page for each picture, in order."""
+    jobs = pictures.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("files"))
+
+    def step(row: dict) -> list[dict]:
+        from quire.pdf.images import pictures_pdf
+        from quire.pdf.objects import PdfError
+
+        try:
+            return [{"job_id": row["job_id"], "content": pictures_pdf([f["content"] or b"" for f in row["files"]], size, margin_mm)}]
+        except PdfError:
+            return [{"job_id": row["job_id"], "error": "E_CORRUPT"}]
+
+    return _rows(jobs, step, "job_id long, content binary, error string")
+
+
+def loaded(measured: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """measure()'s rows with their order -> the files that are kept and the errors of the others, each in the order they came."""
+    return measured.where("error is null"), measured.where("error is not null")

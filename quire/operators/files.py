@@ -39,6 +39,30 @@ def open_gate(files: DataFrame, least: int, most_pages: int = fx.MAX_PAGES) -> D
     return rows.withColumn("error", F.when(F.col("sources") < least, "E_TOO_FEW_FILES").when(F.col("pages") > most_pages, "E_TOO_MANY_PAGES"))
 
 
+def skip_warning(gate: DataFrame) -> DataFrame:
+    """open_gate()'s rows with a warning where files without pages were left out of a job that runs."""
+    return gate.withColumn("warning", F.when(F.col("error").isNull() & (F.col("skipped") > 0), "W_FILE_SKIPPED"))
+
+
+def old_check(name: Column, mime: Column, size: Column) -> Column:
+    """Why the older and narrower check refuses a file, or null: no PDF by name or type, over 20 MB, empty."""
+    is_pdf = F.coalesce(mime == "application/pdf", F.lit(False)) | F.rlike(F.coalesce(name, F.lit("")), F.lit(r"(?i)\.pdf\z"))
+    return F.when(~is_pdf, "E_NOT_PDF").when(size > fx.OLD_MAX_BYTES, "E_TOO_LARGE").when(size == 0, "E_EMPTY_FILE")
+
+
+def latest(results: DataFrame, *keys: str) -> DataFrame:
+    """results (keys..., token, ...): of each key only the row of its highest token, which supersedes the others."""
+    names = [c for c in results.columns if c not in keys]
+    best = results.groupBy(*keys).agg(F.max_by(F.struct(*names), "token").alias("r"))
+    return best.select(*keys, "r.*")
+
+
+def with_defaults(defaults: Column, given: Column) -> Column:
+    """A map of options with the given ones (null: none) over the defaults."""
+    kept = F.map_filter(defaults, lambda k, _: ~F.map_contains_key(F.coalesce(given, F.create_map().cast("map<string,string>")), k))
+    return F.map_concat(kept, F.coalesce(given, F.create_map().cast("map<string,string>")))
+
+
 def text_layer(items: DataFrame, probe_pages: int = 3) -> DataFrame:
     """items (file_id, page, text) -> has_text: a run that is not blank on the first pages."""
     seen = (F.col("page") <= probe_pages) & (F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s", "") != "")
@@ -82,6 +106,17 @@ def raster_plan(pages: DataFrame, dpi: int, to: str, many: int = 60) -> DataFram
     return rows.withColumn("many", F.when(F.col("outputs") > many, "W_MANY_OUTPUTS")).withColumn("larger", F.lit("W_PNG_LARGER" if to == "png" else None))
 
 
+def heartbeats(spells: DataFrame, every_ms: int = 20_000) -> DataFrame:
+    """spells (tab, from_ms, to_ms) in which a tab is visible and online -> (tab, ms): a beat at once and at every interval after."""
+    beats = F.sequence(F.col("from_ms"), F.col("to_ms") - 1, F.lit(every_ms).cast("long"))
+    return spells.where("to_ms > from_ms").select("tab", F.explode(beats).alias("ms"))
+
+
+def shown_count(status: Column, online: Column) -> Column:
+    """What a client shows of an answer: nothing unless it is fine and counts someone."""
+    return F.when((status == 200) & (online > 0), online)
+
+
 def predicted_bytes(size: Column, pages: Column, taken: Column) -> Column:
     """Bytes that so many of a file's pages take, in proportion."""
     return F.when(pages == 0, 0).otherwise(half_up(size / pages * taken)).cast("long")

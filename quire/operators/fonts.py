@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import utf16_text
+from quire.pdf.names import ENCODINGS, GLYPHS
 
 
 def width_of(texts: DataFrame, glyphs: DataFrame) -> DataFrame:
@@ -127,14 +128,26 @@ def first_wins(codes: DataFrame) -> DataFrame:
     return codes.groupBy("font", "char").agg(F.min_by("code", "ord").alias("code"))
 
 
-# Names of common glyphs.
-GLYPHS = {"space": " ", "comma": ",", "period": ".", "hyphen": "-", "one": "1", "two": "2", "Euro": "€", "eacute": "é", "Adieresis": "Ä", "germandbls": "ß"}
+
+
+def base_encoding(name: Column, code: Column) -> Column:
+    """The character of a code in a base encoding; names that are not known read as WinAnsiEncoding."""
+    tables = {k: F.create_map(*(F.lit(x) for kv in v.items() for x in kv)) for k, v in ENCODINGS.items()}
+    out = F.try_element_at(tables["WinAnsiEncoding"], code)
+    for key in ("StandardEncoding", "MacRomanEncoding"):
+        out = F.when(name == key, F.try_element_at(tables[key], code)).otherwise(out)
+    return out
+
+
+def overflow_choice(grew: Column, pushing: Column, moved: Column, collides: Column) -> Column:
+    """What becomes of an edit that may not fit: keep, push, or squeeze (with a note where a push was wished but nothing could move)."""
+    return F.when(~grew, "keep").when(pushing & (moved > 0), "push").when(~collides, "keep").when(pushing, "squeeze-noted").otherwise("squeeze")
 
 
 def glyph_char(name: Column) -> Column:
     """The character of a glyph name: listed, one letter, uniXXXX or uXXXX to uXXXXXX; what follows a dot is ignored."""
     base = F.when(F.startswith(name, F.lit(".")), name).otherwise(F.substring_index(name, ".", 1))
     table = F.create_map(*(F.lit(x) for kv in GLYPHS.items() for x in kv))
-    four, long = F.regexp_extract(base, r"\Auni([0-9A-F]{4})\z", 1), F.regexp_extract(base, r"\Au([0-9A-F]{4,6})\z", 1)
+    four, long = F.regexp_extract(base, r"\Auni([0-9A-Fa-f]{4})(?:[0-9A-Fa-f]{4})*\z", 1), F.regexp_extract(base, r"\Au([0-9A-Fa-f]{4,6})\z", 1)
     utf32 = lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")
     return F.coalesce(F.try_element_at(table, base), F.when(F.length(base) == 1, base), F.when(four != "", utf32(four)), F.when(long != "", utf32(long)))

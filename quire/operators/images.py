@@ -57,6 +57,17 @@ def skip_histogram(outcomes: DataFrame) -> DataFrame:
     return rows.withColumn("notable", ~F.col("reason").isin(*NOTABLE_NOT))
 
 
+def skip_warning(histogram: DataFrame) -> DataFrame:
+    """(file_id, warning): files of which an image was left alone for a reason worth telling."""
+    return histogram.groupBy("file_id").agg(F.when(F.bool_or("notable"), F.lit("W_IMAGES_SKIPPED")).alias("warning"))
+
+
+def recode_totals(outcomes: DataFrame, pages: DataFrame) -> DataFrame:
+    """outcomes (file_id, reason, stored, kept_bytes) and pages (file_id, page_count) -> images recoded, bytes saved and pages done."""
+    rows = outcomes.groupBy("file_id").agg(F.count_if(F.col("reason").isNull()).alias("recoded"), F.sum(F.col("stored") - F.col("kept_bytes")).alias("saved"))
+    return pages.join(rows, "file_id", "left").select("file_id", F.coalesce("recoded", F.lit(0)).alias("recoded"), F.coalesce("saved", F.lit(0)).alias("saved"), F.col("page_count").alias("pages_done"))
+
+
 def file_outcome(files: DataFrame, never_grow: bool = True) -> DataFrame:
     """files (file_id, original, saved) -> the bytes handed back; a file that would not shrink stays as it was."""
     grew = F.lit(never_grow) & (F.col("saved") >= F.col("original"))

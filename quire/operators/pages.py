@@ -93,6 +93,23 @@ def rotate(pages: DataFrame, rotations: DataFrame) -> DataFrame:
     return pages.join(rotations, ["file_id", "page_index"], "left").withColumn("rotation", F.pmod(F.col("rotation") + extra, F.lit(360))).drop("quarter")
 
 
+def organize_status(jobs: DataFrame) -> DataFrame:
+    """jobs (file_id, page_count, kept, ordered: an order was given, turned: a page is turned) -> error and warnings.
+
+    kept: pages that are left. Bookmarks go if pages are missing or an order was given, even the old one.
+    """
+    error = F.when(F.col("kept") == 0, "E_NO_PAGES_SELECTED")
+    same = (F.col("kept") == F.col("page_count")) & ~F.col("ordered") & ~F.col("turned")
+    dropped = (F.col("kept") != F.col("page_count")) | F.col("ordered")
+    warnings = F.array(F.when(error.isNull() & same, "W_NOTHING_CHANGED"), F.when(error.isNull() & dropped, "W_BOOKMARKS_DROPPED"))
+    return jobs.select("file_id", error.alias("error"), F.array_join(warnings, ",").alias("warnings"))
+
+
+def turn_all(rotations: Column, quarter: Column) -> Column:
+    """A map of page to turn with the quarter added to each, from 0 to 359."""
+    return F.transform_values(rotations, lambda _, v: F.pmod(v + quarter, F.lit(360)))
+
+
 def selector(pages: DataFrame, selection: DataFrame, kind: str, first: int = 0, last: int = 0) -> DataFrame:
     """all, none, odd, even (of the page numbers from 1), invert, or range (from first to last, either way round)."""
     low, high = min(first, last), max(first, last)

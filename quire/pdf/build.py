@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 
 from quire.pdf import crypt
 from quire.pdf.objects import Name, Ref, Stream, Writer, text_string
@@ -72,3 +74,28 @@ def locked_pdf(pages: list[list[str]], info: dict[str, str], user: str, owner: s
     if v == 5:
         entry |= {"OE": lock.oe, "UE": lock.ue, "Perms": bytes(16)}
     return w.finish(root, ref, {"Encrypt": w.add(entry), "ID": [doc_id, doc_id]})
+
+
+def png(width: int, height: int, rgb: tuple[int, int, int]) -> bytes:
+    """A truecolour PNG of one colour."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = (b"\0" + bytes(rgb) * width) * height
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def image_pdf(kind: int, value: int, wide: float) -> bytes:
+    """A page with one raw image of one value: 0 RGB drawn twice, 1 gray inside a form, 2 too small, 3 with its samples turned round."""
+    w = Writer()
+    tree, font_free = w.add(None), {"Type": Name("XObject"), "Subtype": Name("Image"), "BitsPerComponent": 8}
+    width, height, n = [(220, 200, 3), (300, 250, 1), (100, 100, 1), (200, 200, 3)][kind]
+    info = font_free | {"Width": width, "Height": height, "ColorSpace": Name("DeviceRGB" if n == 3 else "DeviceGray")}
+    image = w.add(Stream(info | ({"Decode": [1, 0] * 3} if kind == 3 else {}), bytes([value]) * (width * height * n)))
+    drawn = {"Im": image}
+    body = {0: b"q %g 0 0 90 20 20 cm /Im Do Q q 10 0 0 10 0 0 cm /Im Do Q" % wide, 1: b"q 144 0 0 144 10 10 cm /Fm Do Q", 2: b"q 0 50 -50 0 80 0 cm /Im Do Q", 3: b"q 60 0 0 -60 0 90 cm /Im Do Q"}[kind]
+    if kind == 1:
+        form = {"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [0, 0, 1, 1], "Matrix": [0.5, 0, 0, 0.5, 0, 0], "Resources": {"XObject": {"Im": image}}}
+        drawn = {"Fm": w.add(Stream(form, b"/Im Do"))}
+    page = w.add({"Type": Name("Page"), "Parent": tree, "MediaBox": [0, 0, 400, 300], "Resources": {"XObject": drawn}, "Contents": w.add(Stream({}, body))})
+    w.objects[tree.num - 1] = {"Type": Name("Pages"), "Kids": [page], "Count": 1}
+    described = w.add({k: text_string(v) for k, v in (("Title", "picture"), ("Author", "someone"))})
+    return w.finish(w.add({"Type": Name("Catalog"), "Pages": tree}), described)

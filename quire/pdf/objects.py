@@ -423,7 +423,11 @@ class Document:
 
     def pages(self) -> list[dict]:
         """Page dictionaries in order, with what they inherit."""
-        out: list[dict] = []
+        return [page for _, page in self.page_refs()]
+
+    def page_refs(self) -> list[tuple[Ref | None, dict]]:
+        """Pages in order with what refers to them."""
+        out: list[tuple[Ref | None, dict]] = []
         seen: set[int] = set()
 
         def walk(node, given: dict) -> None:
@@ -437,7 +441,7 @@ class Document:
                 for kid in kids:
                     walk(kid, given)
             else:
-                out.append(given | d)
+                out.append((node if isinstance(node, Ref) else None, given | d))
 
         root = self.get(self.trailer.get("Root"))
         if isinstance(root, dict):
@@ -528,6 +532,46 @@ class Writer:
         return bytes(out + b"trailer\n" + serialise(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
+def rewrite(doc: Document, changes: dict[int, object], trailer: dict | None = None, drop: tuple[str, ...] = ()) -> bytes:
+    """The document's objects under their own numbers, some of them changed. trailer: entries over the old ones; drop: keys of the catalog to leave out.
+
+    A stream inside a changed object becomes an object of its own.
+    """
+    top = max([0, *doc.places, *changes])
+    objects: dict[int, object] = {}
+    for num in sorted({*doc.places, *changes}):
+        x = changes[num] if num in changes else doc.get(Ref(num))
+        info = x.info if isinstance(x, Stream) else {}
+        if x is not None and info.get("Type") not in ("XRef", "ObjStm"):
+            objects[num] = x
+
+    def lifted(x):
+        nonlocal top
+        if isinstance(x, dict):
+            return {k: lifted(v) for k, v in x.items()}
+        if isinstance(x, Stream):
+            top += 1
+            objects[top] = x
+            return Ref(top)
+        return x
+
+    for num in list(changes):
+        if isinstance(objects.get(num), dict):
+            objects[num] = lifted(objects[num])
+    root = doc.trailer.get("Root")
+    if drop and isinstance(root, Ref):
+        objects[root.num] = {k: v for k, v in objects[root.num].items() if k not in drop}
+    out, at = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), {}
+    for num, x in objects.items():
+        at[num] = len(out)
+        out += b"%d 0 obj\n" % num + serialise(x) + b"\nendobj\n"
+    start = len(out)
+    out += b"xref\n0 %d\n" % (top + 1)
+    out += b"".join(b"%010d 00000 n \n" % at[k] if k in at else b"0000000000 65535 f \n" for k in range(top + 1))
+    head = {"Size": top + 1, "Root": root} | {k: v for k, v in doc.trailer.items() if k in ("Info", "ID")} | (trailer or {})
+    return bytes(out + b"trailer\n" + serialise({k: v for k, v in head.items() if v is not None}) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
+
+
 def assemble(parts: list[tuple[Document, list[int], dict[int, int]]], info: dict[str, str] | None = None, outline: list[tuple[str, int]] | None = None) -> bytes:
     """A document of pages (document, page numbers from 0, quarter turns by page) in order, with a description and bookmarks."""
     w = Writer()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from quire.pdf.names import ENCODINGS, char_of
 from quire.pdf.objects import Document, Lexer, Name, Op, PdfError, Stream
 
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
@@ -61,18 +62,17 @@ def read_font(doc: Document, d: dict) -> Font:
                 widths |= dict.fromkeys(range(listed[at], listed[at + 1] + 1), float(listed[at + 2]))
                 at += 3
         return Font(True, chars, widths, float(doc.get(inner.get("DW")) or 1000))
-    base = {b: bytes([b]).decode("cp1252", "replace") for b in range(32, 256)}
     encoding = doc.get(d.get("Encoding"))
+    named = doc.get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else encoding
+    base = dict(ENCODINGS.get(str(named), ENCODINGS["WinAnsiEncoding"]))
     if isinstance(encoding, dict):
         code = 0
         for x in doc.get(encoding.get("Differences")) or []:
             if isinstance(x, int):
                 code = x
             elif isinstance(x, Name):
-                if len(x) == 1:
-                    base[code] = str(x)
-                elif m := re.match(r"uni([0-9A-F]{4})|u([0-9A-F]{4,6})", x):
-                    base[code] = chr(int(m[1] or m[2], 16))
+                if char := char_of(str(x)):
+                    base[code] = char
                 code += 1
     first = doc.get(d.get("FirstChar")) or 0
     widths = {first + k: float(doc.get(w)) for k, w in enumerate(doc.get(d.get("Widths")) or [])}

@@ -19,6 +19,11 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return D.build_files(c.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("page_index"), "text"))
 
 
+def _spread(files: DataFrame) -> DataFrame:
+    """Files that cost more to work on than to shuffle, over many tasks."""
+    return files.repartition(32, "file_id")
+
+
 def _page_texts(files: DataFrame) -> DataFrame:
     """(file_id, page, digest) of the text that is read back, line by line."""
     runs = D.read_runs(files).withColumn("line_no", F.col("item_index"))
@@ -87,7 +92,77 @@ def unlock_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return D._rows(opened, count, "file_id long, error string, warning string, pages long")
 
 
-QUERIES = {f.__name__: f for f in (pdf_roundtrip, pdf_measure, chain_split_merge, pdf_organize, zip_sink, unlock_roundtrip)}
+FIND, PUT = "the", "THE!!"
+
+
+def edit_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations with a text replaced by a longer one inside the documents, read back."""
+    return _page_texts(D.edit_files(_spread(_files(spark, sf)), FIND, PUT))
+
+
+def edit_report(spark: SparkSession, sf: str) -> DataFrame:
+    out = D.edit_files(_spread(_files(spark, sf)), FIND, PUT).select("file_id", "error", F.explode_outer("edits").alias("e"))
+    return out.groupBy("file_id", "error").agg(F.count("e.method").alias("hits"), F.count_if(F.col("e.method") == "native").alias("native"), F.count_distinct("e.page").alias("pages"))
+
+
+def _pictures(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as documents with one image each, in four ways."""
+
+    def step(row: dict) -> list[dict]:
+        from quire.pdf.build import image_pdf
+
+        k = row["s_suppkey"]
+        return [{"file_id": k, "content": image_pdf(k % 4, k % 200, 100.0 + k % 50)}]
+
+    return D._rows(M.read(spark, sf, "supplier").select("s_suppkey"), step, "file_id long, content binary")
+
+
+def image_placements(spark: SparkSession, sf: str) -> DataFrame:
+    return D.image_placements(_pictures(spark, sf)).select("file_id", "page", "ord", F.round("width_pt", 6).alias("width_pt"), F.round("height_pt", 6).alias("height_pt"))
+
+
+def image_objects(spark: SparkSession, sf: str) -> DataFrame:
+    return D.image_objects(_pictures(spark, sf)).drop("key")
+
+
+def compress_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The images after compression, read back from the documents, and what the description still says."""
+    out = D.compress_files(_pictures(spark, sf))
+
+    def step(row: dict) -> list[dict]:
+        from quire.pdf.images import objects, samples
+        from quire.pdf.objects import Document
+
+        doc = Document.open(row["content"])
+        image = objects(doc)[0]
+        pixels = samples(doc, image["key"])
+        return [{"file_id": row["file_id"], "reason": row["images"][0]["reason"], "width": image["width"], "height": image["height"], "filter": image["filter"], "least": int(pixels.min()), "most": int(pixels.max()), "described": len(doc.info())}]
+
+    return D._rows(out.select("file_id", "content", "images"), step, "file_id long, reason string, width int, height int, filter string, least int, most int, described int")
+
+
+def images_to_pdf(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as pictures, three to a document of a4 pages: their places and sizes."""
+
+    def step(row: dict) -> list[dict]:
+        from quire.pdf.build import png
+
+        k = row["s_suppkey"]
+        return [{"job_id": k // 3, "ord": k, "content": png(30 + k % 40, 20 + k % 30, (k % 256, 7, 9))}]
+
+    made = D.images_to_pdf(D._rows(M.read(spark, sf, "supplier").select("s_suppkey"), step, "job_id long, ord long, content binary"), "a4", 10.0)
+    drawn = D.image_placements(made.select(F.col("job_id").alias("file_id"), "content"))
+    found = D.image_objects(made.select(F.col("job_id").alias("file_id"), "content"))
+    return drawn.join(found, ["file_id", "key"]).select("file_id", "page", F.round("width_pt", 3).alias("width_pt"), F.round("height_pt", 3).alias("height_pt"), "width", "height", "colour")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (pdf_roundtrip, pdf_measure, chain_split_merge, pdf_organize, zip_sink, unlock_roundtrip, edit_roundtrip, edit_report, image_placements, image_objects, compress_roundtrip, images_to_pdf)
+}
+
+_IMAGES = """img as (select s_suppkey as k, s_suppkey % 4 as kind, list_extract([220, 300, 100, 200], (s_suppkey % 4 + 1)::int) as w, list_extract([200, 250, 100, 200], (s_suppkey % 4 + 1)::int) as h,
+    case s_suppkey % 4 when 0 then 100.0::double + s_suppkey % 50 when 1 then 72 when 2 then 50 else 60 end as wpt, case s_suppkey % 4 when 0 then 90.0::double when 1 then 72 when 2 then 50 else 60 end as hpt from supplier)"""
 
 ORACLE = {
     "pdf_roundtrip": f"select conv_id as file_id, (turn + 1)::int as page, md5({_LINES}) as digest from conversations where {_LINES} <> ''",
@@ -101,6 +176,22 @@ ORACLE = {
         with p as (select conv_id, text, row_number() over (partition by conv_id order by turn desc) as page from conversations) select conv_id as file_id, page::int as page, md5({_LINES}) as digest from p where {_LINES} <> ''""",
     "zip_sink": """
         select doc_id // 20 as job_id, (row_number() over (partition by doc_id // 20 order by doc_id) - 1)::int as ord, strlen(text) + 3 as bytes, md5('\\xEF\\xBB\\xBF'::blob || encode(text)) as digest from documents""",
+    "edit_roundtrip": f"select conv_id as file_id, (turn + 1)::int as page, md5(replace({_LINES}, '{FIND}', '{PUT}')) as digest from conversations where {_LINES} <> ''",
+    "edit_report": f"""
+        with p as (select conv_id, turn, (len(text) - len(replace(text, '{FIND}', ''))) // 3 as n from conversations)
+        select conv_id as file_id, case when sum(n) = 0 then 'E_TEXT_NOT_FOUND' end as error, sum(n)::bigint as hits, sum(n)::bigint as native, count(*) filter (n > 0) as pages from p group by 1""",
+    "image_placements": f"""
+        with {_IMAGES} select k as file_id, 1 as page, 0 as ord, wpt as width_pt, hpt as height_pt from img union all select k, 1, 1, 10, 10 from img where kind = 0""",
+    "image_objects": f"""
+        with {_IMAGES} select k as file_id, w as width, h as height, 8 as bits, '' as filter, case when kind in (0, 3) then 'rgb' else 'gray' end as colour, case when kind in (0, 3) then 3 else 1 end as components,
+            (w * h * case when kind in (0, 3) then 3 else 1 end)::bigint as stored, false as is_mask, false as is_mask_target, kind = 3 as sample_tricks from img""",
+    "compress_roundtrip": f"""
+        with {_IMAGES}, s as (select *, least(1.0::double, wpt / 72 * 150 / w, hpt / 72 * 150 / h) as scale, case kind when 2 then 'too-small' when 3 then 'sample-tricks' end as reason from img)
+        select k as file_id, reason, (case when reason is null then floor(w * scale + 0.5) else w end)::int as width, (case when reason is null then floor(h * scale + 0.5) else h end)::int as height,
+            case when reason is null then 'FlateDecode' else '' end as filter, (k % 200)::int as least, (k % 200)::int as most, 0 as described from s""",
+    "images_to_pdf": """
+        with p as (select s_suppkey as k, 30 + s_suppkey % 40 as w, 20 + s_suppkey % 30 as h from supplier), s as (select *, least((595.28::double - 2 * 10 * 72 / 25.4::double) / w, (841.89::double - 2 * 10 * 72 / 25.4::double) / h) as scale from p)
+        select k // 3 as file_id, row_number() over (partition by k // 3 order by k)::int as page, round(w * scale, 3) as width_pt, round(h * scale, 3) as height_pt, w::int as width, h::int as height, 'rgb' as colour from s""",
     "unlock_roundtrip": """
         select conv_id as file_id, case when conv_id % 5 = 0 then 'E_WRONG_PASSWORD' end as error, null::varchar as warning, case when conv_id % 5 <> 0 then count(*) filter (text <> '') end as pages from conversations group by 1""",
 }
