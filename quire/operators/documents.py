@@ -115,8 +115,12 @@ def organize_files(files: DataFrame, order: DataFrame) -> DataFrame:
     return _rows(files.select("file_id", "content").join(orders, "file_id"), step, "file_id long, content binary")
 
 
-def merge_files(files: DataFrame) -> DataFrame:
-    """files (job_id, ord, name, content) -> (job_id, content): all pages in order, a bookmark for each file."""
+def merge_files(files: DataFrame, page_size: str = "keep", packed: bool = False) -> DataFrame:
+    """files (job_id, ord, name, content) -> (job_id, content, warning): all pages in order, a bookmark for each file.
+
+    page_size: keep, first (that of the first page) or a4; pages are redrawn to it, which costs their links. packed: with
+    object streams.
+    """
     jobs = files.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "content"))).alias("files"))
 
     def step(row: dict) -> list[dict]:
@@ -130,9 +134,83 @@ def merge_files(files: DataFrame) -> DataFrame:
                 parts.append((doc, list(range(n)), {}))
                 marks.append((f["name"].rpartition(".")[0] or f["name"], at))
                 at += n
-        return [{"job_id": row["job_id"], "content": assemble(parts, None, marks)}]
+        size = (595.28, 841.89) if page_size == "a4" else parts[0][0].box(parts[0][0].pages()[0]) if page_size == "first" and parts else None
+        return [{"job_id": row["job_id"], "content": assemble(parts, None, marks, size, packed), "warning": "W_PAGE_SIZE_REDRAW" if size else None}]
 
-    return _rows(jobs, step, "job_id long, content binary")
+    return _rows(jobs, step, "job_id long, content binary, warning string")
+
+
+def save_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write each file (name, content) under its name into a folder that all executors share -> (name, path, bytes).
+
+    A file is written beside its place and moved when it is whole; names are made safe and must be unique.
+    """
+
+    def step(row: dict) -> list[dict]:
+        import re
+        import uuid
+
+        from pyarrow.fs import FileSystem, FileType
+
+        fs, root = FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace("file:/", "file:///", 1))
+        name = re.sub(r'[\\/:*?"<>|\x00-\x1f]', "-", row["name"] or "") or "file"
+        fs.create_dir(root, recursive=True)
+        draft, path, content = f"{root}/.{uuid.uuid4().hex}.tmp", f"{root}/{name}", row["content"] or b""
+        with fs.open_output_stream(draft, compression=None) as out:
+            out.write(content)
+        if fs.get_file_info(path).type == FileType.File:
+            fs.delete_file(path)
+        fs.move(draft, path)
+        return [{"name": name, "path": path, "bytes": len(content)}]
+
+    return _rows(files.select("name", "content"), step, "name string, path string, bytes long")
+
+
+FONTS = "page int, name string, subtype string, base_font string, embedded boolean, mapped int, wide boolean"
+
+
+def page_fonts(files: DataFrame) -> DataFrame:
+    """files (file_id, content) -> FONTS of every page's resources; those that cannot be read are left out."""
+
+    def step(doc) -> list[dict]:
+        from quire.pdf.text import read_font
+
+        out = []
+        for number, page in enumerate(doc.pages(), 1):
+            listed = doc.get((doc.get(page.get("Resources")) or {}).get("Font")) or {}
+            for name, ref in listed.items():
+                d = doc.get(ref)
+                if isinstance(d, dict) and d.get("Subtype") in ("Type0", "TrueType", "Type1", "MMType1"):
+                    inner = doc.get((doc.get(d.get("DescendantFonts")) or [{}])[0]) if d["Subtype"] == "Type0" else d
+                    shape = doc.get((inner or {}).get("FontDescriptor")) or {}
+                    font = read_font(doc, d)
+                    out.append({"page": number, "name": str(name), "subtype": str(d["Subtype"]), "base_font": str(d.get("BaseFont") or ""), "embedded": any(k in shape for k in ("FontFile", "FontFile2", "FontFile3")), "mapped": len(font.chars), "wide": font.wide})
+        return out
+
+    return _parsed(files, step, FONTS)
+
+
+MARKS = "page int, mark int, font string, code int, x double, y double, string_no int, slot int, placed_op string"
+
+
+def glyph_marks(files: DataFrame) -> DataFrame:
+    """files (file_id, content) -> MARKS: every code that a page paints, in painting order, with its string and what placed it."""
+
+    def step(doc) -> list[dict]:
+        from quire.pdf.edit import marks_of, pieces_of
+        from quire.pdf.objects import Stream
+        from quire.pdf.text import read_font
+
+        out = []
+        for number, page in enumerate(doc.pages(), 1):
+            contents = doc.get(page.get("Contents"))
+            data = b"\n".join(doc.decode(s) for p in (contents if isinstance(contents, list) else [contents]) if isinstance(s := doc.get(p), Stream))
+            listed = doc.get((doc.get(page.get("Resources")) or {}).get("Font")) or {}
+            fonts = {str(k): read_font(doc, doc.get(v) or {}) for k, v in listed.items()}
+            out += [{"page": number, "mark": k, "font": m.font, "code": m.code, "x": m.x, "y": m.y, "string_no": m.piece, "slot": m.slot, "placed_op": m.placed_op} for k, m in enumerate(marks_of(pieces_of(data), fonts))]
+        return out
+
+    return _parsed(files, step, MARKS)
 
 
 def zip_files(entries: DataFrame) -> DataFrame:

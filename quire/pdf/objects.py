@@ -521,6 +521,34 @@ class Writer:
             return Stream(self.copy(doc, {k: v for k, v in x.info.items() if k != "Length"}), x.raw)
         return x
 
+    def packed(self, root: Ref, info: Ref | None = None) -> bytes:
+        """The document with its plain objects in compressed object streams and its cross-references in a stream."""
+        out, at = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), {}
+        plain = [k for k, x in enumerate(self.objects, 1) if not isinstance(x, Stream)]
+        number = len(self.objects)
+
+        def write(num: int, stream: Stream) -> None:
+            at[num] = (1, len(out), 0)
+            out.extend(b"%d 0 obj\n" % num + serialise(stream) + b"\nendobj\n")
+
+        for k, x in enumerate(self.objects, 1):
+            if isinstance(x, Stream):
+                write(k, x)
+        for first in range(0, len(plain), 100):
+            group, number = plain[first : first + 100], number + 1
+            bodies = [serialise(self.objects[k - 1]) for k in group]
+            places = [sum(len(b) + 1 for b in bodies[:i]) for i in range(len(bodies))]
+            head = b" ".join(b"%d %d" % (k, p) for k, p in zip(group, places)) + b" "
+            write(number, Stream({"Type": Name("ObjStm"), "N": len(group), "First": len(head), "Filter": Name("FlateDecode")}, zlib.compress(head + b" ".join(bodies))))
+            at |= {k: (2, number, i) for i, k in enumerate(group)}
+        number += 1
+        start = len(out)
+        at[number] = (1, start, 0)
+        rows = b"".join(bytes([t]) + a.to_bytes(8, "big") + b.to_bytes(2, "big") for t, a, b in (at.get(k, (0, 0, 65535)) for k in range(number + 1)))
+        head = {"Type": Name("XRef"), "Size": number + 1, "W": [1, 8, 2], "Root": root, "Filter": Name("FlateDecode")} | ({"Info": info} if info else {})
+        out += b"%d 0 obj\n" % number + serialise(Stream(head, zlib.compress(rows))) + b"\nendobj\n"
+        return bytes(out + b"startxref\n%d\n%%%%EOF\n" % start)
+
     def finish(self, root: Ref, info: Ref | None = None, extra: dict | None = None) -> bytes:
         out, at = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), []
         for k, x in enumerate(self.objects, 1):
@@ -572,14 +600,37 @@ def rewrite(doc: Document, changes: dict[int, object], trailer: dict | None = No
     return bytes(out + b"trailer\n" + serialise({k: v for k, v in head.items() if v is not None}) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
-def assemble(parts: list[tuple[Document, list[int], dict[int, int]]], info: dict[str, str] | None = None, outline: list[tuple[str, int]] | None = None) -> bytes:
-    """A document of pages (document, page numbers from 0, quarter turns by page) in order, with a description and bookmarks."""
+def fitted(w: Writer, doc: Document, page: dict, size: tuple[float, float]) -> dict:
+    """The page drawn, as a form, as large as fits into a page of the given size, centred; turned pages are drawn upright."""
+    box = [float(doc.get(x) or 0) for x in doc.get(page.get("CropBox") or page.get("MediaBox")) or [0, 0, 612, 792]]
+    x0, y0, x1, y1 = min(box[0], box[2]), min(box[1], box[3]), max(box[0], box[2]), max(box[1], box[3])
+    turn = (doc.get(page.get("Rotate")) or 0) % 360
+    wide, high = (y1 - y0, x1 - x0) if turn % 180 else (x1 - x0, y1 - y0)
+    scale = min(size[0] / wide, size[1] / high)
+    upright = {0: (1, 0, 0, 1, -x0, -y0), 90: (0, -1, 1, 0, -y0, x1), 180: (-1, 0, 0, -1, x1, y1), 270: (0, 1, -1, 0, y1, -x0)}[turn]
+    contents = doc.get(page.get("Contents"))
+    data = b"\n".join(doc.decode(s) for p in (contents if isinstance(contents, list) else [contents]) if isinstance(s := doc.get(p), Stream))
+    form = {"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [x0, y0, x1, y1], "Matrix": list(upright), "Resources": w.copy(doc, page.get("Resources") or {})}
+    drawn = w.add(Stream(form, data))
+    x, y = (size[0] - wide * scale) / 2, (size[1] - high * scale) / 2
+    body = w.add(Stream({}, f"q {scale:.6f} 0 0 {scale:.6f} {x:.6f} {y:.6f} cm /Fm Do Q".encode()))
+    return {"MediaBox": [0, 0, float(size[0]), float(size[1])], "Resources": {"XObject": {"Fm": drawn}}, "Contents": body}
+
+
+def assemble(parts: list[tuple[Document, list[int], dict[int, int]]], info: dict[str, str] | None = None, outline: list[tuple[str, int]] | None = None, size: tuple[float, float] | None = None, packed: bool = False) -> bytes:
+    """A document of pages (document, page numbers from 0, quarter turns by page) in order, with a description and bookmarks.
+
+    size: every page is redrawn to it. packed: plain objects go into object streams.
+    """
     w = Writer()
     tree = w.add(None)
     kids = []
     for doc, numbers, turns in parts:
         pages = doc.pages()
         for n in numbers:
+            if size is not None:
+                kids.append(w.add(fitted(w, doc, pages[n] | {"Rotate": ((doc.get(pages[n].get("Rotate")) or 0) + turns.get(n, 0)) % 360}, size) | {"Type": Name("Page"), "Parent": tree}))
+                continue
             page = w.copy(doc, {k: v for k, v in pages[n].items() if k != "Parent"}) | {"Type": Name("Page"), "Parent": tree}
             if turns.get(n):
                 page["Rotate"] = ((doc.get(pages[n].get("Rotate")) or 0) + turns[n]) % 360
@@ -596,4 +647,4 @@ def assemble(parts: list[tuple[Document, list[int], dict[int, int]]], info: dict
         w.objects[top.num - 1] = {"Type": Name("Outlines"), "First": refs[0], "Last": refs[-1], "Count": len(refs)}
         root["Outlines"] = top
     described = {k: text_string(v) for k, v in (info or {}).items() if v}
-    return w.finish(w.add(root), w.add(described) if described else None)
+    return (w.packed if packed else w.finish)(w.add(root), w.add(described) if described else None)

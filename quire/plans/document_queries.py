@@ -95,6 +95,30 @@ def unlock_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 FIND, PUT = "the", "THE!!"
 
 
+def page_fonts(spark: SparkSession, sf: str) -> DataFrame:
+    return D.page_fonts(_files(spark, sf))
+
+
+def glyph_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each page the marks, the sum of their codes and how far the last string of the page goes."""
+    marks = D.glyph_marks(_files(spark, sf))
+    return marks.groupBy("file_id", "page").agg(F.count("*").alias("marks"), F.sum("code").cast("long").alias("codes"), F.count_distinct("string_no").alias("strings"), F.round(F.max("x"), 3).alias("farthest"))
+
+
+def merge_to_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations merged by fives and redrawn to a4, packed; read back by text."""
+    f = _files(spark, sf).select(F.expr("file_id div 5").alias("job_id"), F.col("file_id").alias("ord"), F.format_string("f-%d.pdf", "file_id").alias("name"), "content")
+    merged = D.merge_files(f, "a4", True).select(F.col("job_id").alias("file_id"), "content", "warning")
+    return _page_texts(merged).join(merged.select("file_id", "warning"), "file_id")
+
+
+def chain_measure(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of split files, measured like files that come in."""
+    pieces = D.split_files(_files(spark, sf), P.every_n(M.pages(spark, sf), 3))
+    named = pieces.select((F.col("file_id") * 1000 + F.col("group_no")).alias("file_id"), "content")
+    return D.measure(named).select("file_id", "page_count", "has_text", "error")
+
+
 def edit_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations with a text replaced by a longer one inside the documents, read back."""
     return _page_texts(D.edit_files(_spread(_files(spark, sf)), FIND, PUT))
@@ -158,7 +182,7 @@ def images_to_pdf(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (pdf_roundtrip, pdf_measure, chain_split_merge, pdf_organize, zip_sink, unlock_roundtrip, edit_roundtrip, edit_report, image_placements, image_objects, compress_roundtrip, images_to_pdf)
+    for f in (pdf_roundtrip, pdf_measure, chain_split_merge, pdf_organize, zip_sink, unlock_roundtrip, page_fonts, glyph_marks, merge_to_size, chain_measure, edit_roundtrip, edit_report, image_placements, image_objects, compress_roundtrip, images_to_pdf)
 }
 
 _IMAGES = """img as (select s_suppkey as k, s_suppkey % 4 as kind, list_extract([220, 300, 100, 200], (s_suppkey % 4 + 1)::int) as w, list_extract([200, 250, 100, 200], (s_suppkey % 4 + 1)::int) as h,
@@ -176,6 +200,16 @@ ORACLE = {
         with p as (select conv_id, text, row_number() over (partition by conv_id order by turn desc) as page from conversations) select conv_id as file_id, page::int as page, md5({_LINES}) as digest from p where {_LINES} <> ''""",
     "zip_sink": """
         select doc_id // 20 as job_id, (row_number() over (partition by doc_id // 20 order by doc_id) - 1)::int as ord, strlen(text) + 3 as bytes, md5('\\xEF\\xBB\\xBF'::blob || encode(text)) as digest from documents""",
+    "page_fonts": """select conv_id as file_id, (turn + 1)::int as page, 'F1' as name, 'Type1' as subtype, 'Helvetica' as base_font, false as embedded, 219 as mapped, false as wide from conversations""",
+    "glyph_marks": f"""
+        with l as (select conv_id, turn, unnest(list_filter(string_split(text, chr(10)), lambda x: x <> '')) as t from conversations),
+        c as (select conv_id, turn, list_transform(string_split(t, ''), lambda x: case when ord(x) < 256 then ord(x) when x = '€' then 128 else 63 end) as codes from l)
+        select conv_id as file_id, (turn + 1)::int as page, sum(len(codes))::bigint as marks, sum(list_sum(codes))::bigint as codes, count(*) as strings, round(max(40 + 6.0::double * (len(codes) - 1)), 3) as farthest from c group by all""",
+    "merge_to_size": f"""
+        with p as (select conv_id // 5 as file_id, text, row_number() over (partition by conv_id // 5 order by conv_id, turn) as page from conversations)
+        select file_id, page::int as page, md5({_LINES}) as digest, 'W_PAGE_SIZE_REDRAW' as warning from p where {_LINES} <> ''""",
+    "chain_measure": """
+        with g as (select conv_id, turn // 3 as g, count(*) as n, bool_or(regexp_matches(text, '[^\\s]')) as texts from conversations group by all) select conv_id * 1000 + g as file_id, n::int as page_count, texts as has_text, null::varchar as error from g""",
     "edit_roundtrip": f"select conv_id as file_id, (turn + 1)::int as page, md5(replace({_LINES}, '{FIND}', '{PUT}')) as digest from conversations where {_LINES} <> ''",
     "edit_report": f"""
         with p as (select conv_id, turn, (len(text) - len(replace(text, '{FIND}', ''))) // 3 as n from conversations)
