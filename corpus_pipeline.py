@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.folders import remove_folder
 from quire.llm import packing, quality, simhash, substring, toxicity
 from quire.llm.shared import documents, shared_folder, table
 
@@ -54,10 +55,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents; each but the last is written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    """The stages in order over documents; each but the last is written to the shared folder and read again, and removed once the next is there."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         path = shared_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if before:  # nothing reads it again
+            remove_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
