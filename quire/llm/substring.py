@@ -3,9 +3,13 @@
 A corpus-wide index would make every document visit every shard. Here the shards are chosen by content instead: the
 least hash among the short grams of a window is its anchor, so equal windows have equal anchors and meet in one shard.
 Anchors that occur once are dropped at once; the stretches of text around the others, each distinct one once,
-are indexed and streamed through the index of their shard. The index is a wavelet matrix over the Burrows-Wheeler
-transform of the shard's stretches; all windows of a shard go backwards together, and a window is abandoned when
-its interval holds nothing but itself. What is left after the whole window occurs elsewhere; the earliest place decides.
+are indexed and streamed through the index of their shard. An anchor with very many different stretches around it (a
+passage that many documents share) would fill its shard, so its stretches are first cut down to their windows that
+occur twice, by counts of window hashes, and so become few again.
+The index is compressed: a wavelet matrix over the Burrows-Wheeler transform of the shard's stretches and every
+SAMPLE-th place of its suffix array, no text. Backward search gives the matching statistics of the stretches, as far as
+WIDTH words: all ends of matches go backwards together, and one stops when its interval holds nothing but itself. The
+intervals of matches that reach WIDTH are reported and their places worked out; the earliest place decides.
 """
 
 from __future__ import annotations
@@ -18,13 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.folders import new_folder, remove_folder
-from quire.llm.shared import Words, _mix, buffer_of, powers, release, slices, windows_hash
+from quire.llm.shared import Words, _mix, buffer_of, cut, powers, release, slices, windows_hash
 
 WIDTH = 20
 #: Words of a gram; a window of WIDTH words has WIDTH - GRAM + 1 of them.
 GRAM = 6
 #: Stretches with words that one shard is dealt on average.
 STRETCHES_PER_SHARD = 60_000
+#: Distinct stretches around an anchor (as counted task by task) beyond which they are cut down before they are dealt.
+HOT = 2_000
+#: Every so many places of the suffix array are kept.
+SAMPLE = 8
+#: Hot anchors up to which they are broadcast.
+BROADCAST_ANCHORS = 1 << 16
 #: Stretches that a task remembers.
 GIVEN = 1_000_000
 _STEP = 0x5851F42D4C957F2D
@@ -104,45 +114,81 @@ class Wavelet:
         """How often each symbol occurs before each place."""
         return self._down(symbol, at) - self.starts[symbol]
 
-
-def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of the `depth` symbols (at least) that start there, ties by place."""
+    def read(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place and how often it occurs before."""
+        symbol = np.zeros(len(at), np.int64)
+        for k in range(self.levels):
+            word, bit = at >> 6, (at & 63).astype(np.uint64)
+            row = self.rows[k][word]
+            one = (row >> bit & np.uint64(1)).astype(np.int64)
+            ones = self.before[k][word] + np.bitwise_count(row & ((np.uint64(1) << bit) - np.uint64(1)))
+            at = np.where(one > 0, self.zeros[k] + ones, at - ones)
+            symbol = symbol << 1 | one
+        return symbol, at - self.starts[symbol]
+
+
+def suffixes(text: np.ndarray) -> np.ndarray:
+    """The suffix array by doubling: places in the order of the text from there on, going on at its beginning after its end."""
     rank, have = text.astype(np.int64), 1
     while True:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[: max(0, len(rank) - have)] = rank[have:] + 1
-        key = rank * (len(rank) + text.max(initial=0) + 2) + ahead
+        key = rank * (len(rank) + text.max(initial=0) + 2) + np.roll(rank, -have)
         order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
+        new = key[order]
+        new = np.cumsum(np.r_[0, new[1:] != new[:-1]]) if len(order) else new
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]]) if len(order) else 0
+        rank[order] = new
         have *= 2
-        if have >= depth:
+        if not len(new) or new[-1] == len(new) - 1 or have >= 2 * len(text):
             return order
 
 
 class Index:
-    """FM-index of stretches of symbols (1 and up), each followed by the separator 0."""
+    """Compressed FM-index of stretches of symbols (1 and up), each followed by the separator 0."""
 
-    def __init__(self, text: np.ndarray, size: int, depth: int):
-        self.places = suffixes(text, depth)
+    def __init__(self, text: np.ndarray, size: int):
+        order = suffixes(text)
         self.counts = np.r_[0, np.cumsum(np.bincount(text, minlength=size))]
-        self.wavelet = Wavelet(text[self.places - 1], size)
-
-    def search(self, text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which of the windows text[start : start + width] occur at two or more places, and their intervals of places."""
+        self.wavelet = Wavelet(text[order - 1], size)
+        kept = order % SAMPLE == 0
+        self.rows = np.flatnonzero(kept).astype(np.int32)
+        self.places = order[kept].astype(np.int32)
+
+    def statistics(self, text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of the ends start + width - 1, as far as `width`: how many symbols before each end occur at two or more
+        places of the index, and the interval of those that reach `width`."""
+        length = np.zeros(len(starts), np.int64)
         alive = np.arange(len(starts))
-        last = text[starts + width - 1]
-        low, high = self.counts[last], self.counts[last + 1]
-        for back in range(width - 2, -1, -1):
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.counts[-1])
+        for back in range(width - 1, -1, -1):
+            symbol = text[starts[alive] + back]
+            low, high = (self.counts[symbol] + self.wavelet.rank(symbol, x) for x in (low, high)) if back < width - 1 else (self.counts[symbol], self.counts[symbol + 1])
             keep = high - low > 1
             alive, low, high = alive[keep], low[keep], high[keep]
+            length[alive] += 1
             if not len(alive):
                 break
-            symbol = text[starts[alive] + back]
-            low, high = (self.counts[symbol] + self.wavelet.rank(symbol, x) for x in (low, high))
-        keep = high - low > 1
-        return alive[keep], low[keep], high[keep]
+        spans = np.zeros((2, len(starts)), np.int64)
+        spans[:, alive] = low, high
+        return length, spans[0], spans[1]
+
+    def search(self, text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the windows text[start : start + width] occur at two or more places, and their intervals."""
+        length, low, high = self.statistics(text, starts, width)
+        found = np.flatnonzero(length == width)
+        return found, low[found], high[found]
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Places of the text of rows of the index: back through the text to the next sampled place."""
+        out, todo, at, steps = np.zeros(len(rows), np.int64), np.arange(len(rows)), rows, 0
+        while len(todo):
+            near = np.minimum(np.searchsorted(self.rows, at), len(self.rows) - 1)
+            hit = self.rows[near] == at
+            out[todo[hit]] = self.places[near[hit]] + steps
+            todo, at, steps = todo[~hit], at[~hit], steps + 1
+            if len(todo):
+                symbol, before = self.wavelet.read(at)
+                at = self.counts[symbol] + before
+        return out
 
 
 def earlier(stretches: list[np.ndarray], windows: np.ndarray, ids: np.ndarray, ties: np.ndarray, places: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -159,7 +205,7 @@ def earlier(stretches: list[np.ndarray], windows: np.ndarray, ids: np.ndarray, t
     text[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = coded + 1
     owner = np.repeat(np.arange(len(windows)), windows)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    index = Index(text, len(names) + 1, width)
+    index = Index(text, len(names) + 1)
     found, low, high = index.search(text, begins[owner] + offset, width)
     masks = np.zeros(len(stretches), np.int64)
     if not len(found):
@@ -169,7 +215,7 @@ def earlier(stretches: list[np.ndarray], windows: np.ndarray, ids: np.ndarray, t
     which = which.reshape(-1)
     size = spans[:, 1] - spans[:, 0]
     first = np.cumsum(size) - size
-    at = index.places[np.arange(int(size.sum())) + np.repeat(spans[:, 0] - first, size)]
+    at = index.locate(np.arange(int(size.sum())) + np.repeat(spans[:, 0] - first, size))
     stretch = np.searchsorted(ends, at, "right")
     start = places[stretch] + at - begins[stretch]
     order = np.lexsort((start, ties[stretch], ids[stretch]))
@@ -191,7 +237,7 @@ def earlier(stretches: list[np.ndarray], windows: np.ndarray, ids: np.ndarray, t
 def _texts(docs: DataFrame, *more: str) -> DataFrame:
     """(id, tie, text): id orders nulls first; tie tells apart rows of one id with different texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("tie"), text.alias("text"), *more)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"), *more)
 
 
 def _anchors(texts: DataFrame, width: int) -> DataFrame:
@@ -206,7 +252,7 @@ def _anchors(texts: DataFrame, width: int) -> DataFrame:
                     ["id", "tie", "start", "n", "anchor"],
                 )
 
-    return texts.mapInArrow(run, "id long, tie int, start int, n short, anchor long")
+    return texts.mapInArrow(run, "id long, tie long, start int, n short, anchor long")
 
 
 def _stretches(texts: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
@@ -240,7 +286,7 @@ def _stretches(texts: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
                 columns = [pa.array(anchor), pa.array(stretch), part.column(0).take(take), part.column(1).take(take), pa.array(start), pa.array(n), pa.array(body, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "stretch", "id", "tie", "start", "n", "words"])
 
-    return joined.select("id", "tie", "text", "runs").mapInArrow(run, "anchor long, stretch long, id long, tie int, start int, n short, words binary")
+    return joined.select("id", "tie", "text", "runs").mapInArrow(run, "anchor long, stretch long, id long, tie long, start int, n short, words binary")
 
 
 def _search(copies: DataFrame, width: int) -> DataFrame:
@@ -279,6 +325,58 @@ def _search(copies: DataFrame, width: int) -> DataFrame:
     return copies.mapInArrow(run, "anchor long, stretch long, mask long")
 
 
+def _cut_down(found: DataFrame, hot: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of found around hot anchors as runs of windows that occur twice; and each distinct run with its words, once, at
+    the least place of a stretch that it is in.
+
+    A window that occurs once, in a stretch that occurs once, can be no copy. Runs of equal words become one stretch.
+    """
+    stretches = found.join(hot, "anchor", "left_semi").groupBy("anchor", "stretch")
+    stretches = stretches.agg(F.count("*").alias("copies"), F.max("words").alias("words"), F.min(F.struct("id", "tie", "start")).alias("place"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(w.as_buffer(), "<u4") for w in batch.column(2)]
+            hashes = [windows_hash(w.astype(np.uint64), width).view(np.int64) for w in words]
+            take = pa.array(np.repeat(np.arange(len(words)), [len(h) for h in hashes]))
+            k = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes]) if hashes else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(k), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], ["anchor", "stretch", "k", "window"])
+
+    each = stretches.select("anchor", "stretch", "words").mapInArrow(windows, "anchor long, stretch long, k int, window long")
+    twice = each.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window")
+    masks = each.join(twice, "window", "left_semi").groupBy("anchor", "stretch").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
+    kept = stretches.join(masks, ["anchor", "stretch"], "left").where("mask is not null or copies > 1")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, runs, own, body = [], [], [], []
+            for row, (copies, raw, mask) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 5)))):
+                words = np.frombuffer(raw, "<u4")
+                n = len(words) - width + 1
+                mask = (1 << n) - 1 if copies > 1 else mask
+                k = 0
+                while mask >> k:
+                    k += ((mask >> k) & -(mask >> k)).bit_length() - 1
+                    size = ((~(mask >> k)) & ((mask >> k) + 1)).bit_length() - 1
+                    part = words[k : k + size + width - 1]
+                    rows.append(row), runs.append((k, size)), body.append(part.tobytes())
+                    own.append(int(stretch_hashes(part.astype(np.uint64), np.zeros(1, np.int64), np.array([len(part)]))[0].view(np.int64)))
+                    k += size
+            take = pa.array(rows, pa.int64())
+            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array([k for k, _ in runs], pa.int32()), pa.array([n for _, n in runs], pa.int16()), pa.array(own, pa.int64()), pa.array(body, pa.binary()), batch.column(5).take(take)]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "stretch", "k", "n", "own", "words", "place"])
+
+    schema = "anchor long, stretch long, k int, n short, own long, words binary, place struct<id: long, tie: long, start: int>"
+    cuts = cut(kept.select("anchor", "stretch", "copies", "words", "mask", "place").mapInArrow(runs, schema))
+    start = lambda base: (base + F.col("k")).alias("start")
+    rows = found.select("anchor", "stretch", "id", "tie", "start").join(cuts.drop("words", "place"), ["anchor", "stretch"])
+    rows = rows.select("anchor", F.col("own").alias("stretch"), "id", "tie", start(F.col("start")), "n")
+    first = cuts.select("anchor", F.col("own").alias("stretch"), "place.id", "place.tie", start(F.col("place.start")), "n", "words")
+    least = F.min_by(F.struct("n", "words"), F.struct("id", "tie", "start"))
+    first = first.groupBy("anchor", "stretch").agg(F.min(F.struct("id", "tie", "start")).alias("p"), least.alias("w"))
+    return rows, first.select("anchor", "stretch", "p.id", "p.tie", "p.start", "w.n", "w.words")
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     """df through a table in the shared folder; what made it can go."""
     df.write.option("compression", "zstd").parquet(path)
@@ -299,6 +397,14 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     often = anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     found = _written(_stretches(texts, anchors.join(often, "anchor", "left_semi"), width), folder)
     copies = found.where("words is not null")
+    hot = cut(copies.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("anchor"))
+    many = hot.count()
+    if many:
+        hot = F.broadcast(hot) if many <= BROADCAST_ANCHORS else hot
+        rows, first = _cut_down(found, hot, width)
+        cold = found.join(hot, "anchor", "left_anti")
+        copies = cold.where("words is not null").unionByName(first)
+        found = cold.drop("words").unionByName(rows)
     shards = max(1, -(-copies.count() // STRETCHES_PER_SHARD))
     copies = copies.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "*")
     masks = _search(copies.repartition("shard").sortWithinPartitions("shard"), width)
