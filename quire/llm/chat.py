@@ -85,7 +85,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> FORMATTED, one row per conversation; mask: byte spans of the assistants' texts.
 
     Turns go by turn, then role, then text, nulls first. Null roles and texts are empty. Rows with a null conv_id are
-    one conversation. Repeated rows are repeated turns. An empty table gives no rows. Other columns are not read.
+    one conversation. Repeated rows are repeated turns. An empty table gives no rows. Other columns are not read. A
+    conversation of over 2 GiB, which no row can hold, is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +98,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()
             if not rows:
                 return
+            if len(rows) > 1:  # strings past 2 GiB do not combine
+                raise OverflowError("a conversation of over 2 GiB fits no row")
             rows = rows[0]
             key = rows.column(0).fill_null(0).to_numpy()
             null = rows.column(0).is_null().to_numpy(zero_copy_only=False)

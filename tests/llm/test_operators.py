@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -393,11 +394,44 @@ def test_substring(docs, texts, empty, per_shard, monkeypatch):
 def test_fm_index_counts():
     rng = np.random.default_rng(1)
     text = np.r_[rng.integers(1, 4, 400), 0]
-    index = substring.Index(text, 4, 8)
+    index = substring.Index(text, 4)
     starts = np.arange(0, 390)
     found, low, high = index.search(text, starts, 6)
     want = [sum((text[s : s + 6] == text[o : o + 6]).all() for o in range(len(text) - 5)) for s in starts]
     assert dict(zip(found.tolist(), (high - low).tolist())) == {int(s): n for s, n in zip(starts, want) if n > 1}
+    for k, a, b in zip(found.tolist(), low.tolist(), high.tolist()):
+        assert sorted(index.locate(np.arange(a, b)).tolist()) == [o for o in range(len(text) - 5) if (text[k : k + 6] == text[o : o + 6]).all()]
+
+
+def test_matching_statistics():
+    """How far back from each end the words occur twice, against brute force; stretches are apart."""
+    rng = np.random.default_rng(4)
+    text = np.concatenate([np.r_[rng.integers(1, 5, rng.integers(1, 30)), 0] for _ in range(25)])
+    index = substring.Index(text, 5)
+    assert sorted(index.locate(np.arange(len(text))).tolist()) == list(range(len(text)))
+    starts = np.array([s for s in range(len(text) - 7) if (text[s : s + 7] > 0).all()])
+    length, low, high = index.statistics(text, starts, 7)
+    for s, n, a, b in zip(starts.tolist(), length.tolist(), low.tolist(), high.tolist()):
+        times = [sum((text[o : o + k] == text[s + 7 - k : s + 7]).all() for o in range(len(text) - k + 1)) for k in range(1, 8)]
+        assert n == sum(t > 1 for t in times)
+        assert (b - a == times[6]) if n == 7 else (a == b == 0)
+
+
+@pytest.mark.parametrize("hot", [0, 1, 5])
+def test_substring_of_hot_anchors(spark, monkeypatch, hot):
+    """A passage in very many surroundings, copies of it, periodic text; cut down before they are dealt."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    rng = random.Random(hot)
+    vocab = [f"w{k}" for k in range(150)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    passage = prose(26)
+    texts = [f"{prose(rng.randint(0, 30))} {passage} {prose(rng.randint(0, 30))}" for _ in range(60)]
+    texts += [texts[3]] * 3 + [passage, " ".join(["a b c"] * 30), " ".join(["a b c"] * 20), prose(19), "", None, passage[:60] + " " + passage]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for k, n, gone, kept in _kept(sorted(rows)):
+        assert (got[k]._n_words, got[k]._n_removed, got[k].text) == (n, gone, kept), k
 
 
 @pytest.mark.parametrize("most_open", [1, 3, 64, 2048])
@@ -582,24 +616,102 @@ def test_warc(spark, tmp_path):
     assert warc.archive(frame.limit(0), f"file://{tmp_path}/three").count() == 0
 
 
-def test_pipeline(spark, tmp_path, docs):
+def test_pipeline(spark, tmp_path, docs, texts):
+    """Every stage against brute force on the rows that it got; null and repeated ids, an empty table."""
     import corpus_pipeline
 
+    extra = spark.createDataFrame([(None, texts[20][1], "en", "s", 9), (None, texts[20][1], "en", "s", 9), (20, texts[22][1], "de", "s", 7), (12, texts[12][1], None, "s", 3)], SCHEMA)
+    docs = docs.unionByName(extra)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(12, 0, 1), (13, 1, 0)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    columns = docs.columns
-    frame = docs
+    marks = spark.createDataFrame([(12, 0, 1), (13, 1, 0)], "doc_id long, toxic int, quality int")
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    columns, frame, got = docs.columns, docs, [sorted(map(tuple, docs.collect()), key=str)]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         frame = stage(spark, frame, str(tmp_path))
         assert frame.columns == columns, name
+        got.append(sorted(map(tuple, frame.collect()), key=str))
+    start, good, clean, single, cut = got
+    # quality: the verdict of each text in its language
+    said = {(r.doc_id, r.lang, r.n_words, r.log_ppl): r.kept for r in quality.quality(docs).collect()}
+    assert len(good) == sum(said[k] for k in [(r.doc_id, r.lang, r.n_words, r.log_ppl) for r in quality.quality(docs).collect()])
+    kept = {(r[1], r[2]) for r in good}
+    assert [r for r in start if (r[1], r[2]) in kept] == good and all(len(WORDS.findall(r[1])) >= 20 for r in good)
+    # toxicity: a score for each text
+    model = toxicity.train(spark.createDataFrame(good, SCHEMA), marks)
+    score = dict(zip([r[1] for r in good], toxicity.Scorer(model).scores(pa.array([r[1] for r in good], pa.string()))))
+    assert [r for r in good if score[r[1]] < 0.5] == clean
+    # near duplicates: one row of each group, of the smallest id
+    prints = np.array([_print(r[1]) for r in clean], np.uint64)
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    label = np.arange(len(prints))
+    while not np.array_equal(label, new := np.array([label[row].min() for row in near])):
+        label = new
+    firsts = [min((r for r, g in zip(clean, label) if g == k), key=lambda r: (r[0] is None, r[0] or 0, r[1])) for k in set(label.tolist())]
+    assert sorted(firsts, key=str) == single
+    # repeated windows: ids in order, nulls first
+    order = sorted(single, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = {(r[0], r[2]): (t if gone else r[1]) for r, (_, _, gone, t) in zip(order, _kept([(r[0], r[1]) for r in order]))}
+    assert {(r[0], r[2]): r[1] for r in cut} == want and all(r[4] == len(r[1]) for r in cut)
+    # packing: every token of every document once
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in rows} == {r.doc_id for r in frame.collect()}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    sizes = {r[0]: len(x) + 1 for r, x in zip(cut, _ids(path, [(r[0], r[1]) for r in cut])[0])}
+    packed: dict = {}
+    for r in rows:
+        packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
+    assert packed == sizes
+    assert not list(tmp_path.glob("pipeline-*"))
+    (tmp_path / "none").mkdir()
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    marks.limit(0).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+CLASHES = ["_n_words", "x0", "row", "spans", "log_ppl", "score", "fp", "component_id", "key", "id", "tie", "own", "place", "at", "value", "copy", "mask", "start", "shard", "payload", "digest", "host", "paths", "block", "pos", "tongue", "n", "_rank", "ids", "decoded"]
 
 
 def test_clashing_columns(spark, docs):
-    names = ["_n_words", "x0", "row", "spans", "log_ppl", "score", "fp", "component_id", "key", "id", "tie"]
-    wide = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
-    for step in (quality.keep_good, simhash.keep_first, substring.remove_repeats):
+    wide = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(CLASHES)))
+    for step in (quality.keep_good, simhash.keep_first, substring.remove_repeats, lambda d: toxicity.keep_clean(d, d.select("doc_id", F.lit(0).alias("toxic")).limit(0))):
         out = step(wide)
         assert out.columns[: len(wide.columns)] == wide.columns
         assert out.count() > 0
+    byte, word = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    for step in (fingerprint.fingerprints, simhash.near_duplicates, lambda d: bpe.round_trip(d, byte), lambda d: packing.pack(d.coalesce(1).sortWithinPartitions("doc_id"), word)):
+        assert same(step(wide), step(docs))
+
+
+def test_clashing_columns_of_pages_and_turns(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", f"<article><p>text {k % 3} " + "long " * 40 + "</p></article>") for k in range(9)], "page_id long, url string, html string")
+    turns = spark.createDataFrame([(k // 3, k % 3, "user" if k % 3 == 0 else "assistant", f"t{k}") for k in range(9)], "conv_id long, turn long, role string, text string")
+    widen = lambda d: d.select("*", *(F.lit(k).alias(n) for k, n in enumerate(CLASHES)))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(html.main_text(widen(pages)), html.main_text(pages))
+    assert same(warc.archive(widen(pages), f"file://{tmp_path}/a"), warc.archive(pages, f"file://{tmp_path}/b"))
+    assert same(chat.read_back(chat.format_chats(widen(turns))), chat.read_back(chat.format_chats(turns)))
+
+
+def test_very_long_texts(spark, tmp_path):
+    long = "word <p> [INST] " * 200_000
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    (r,) = chat.read_back(chat.format_chats(turns)).collect()
+    assert (r.loss_chars, r.loss_sha256) == (len(long), hashlib.sha256(long.encode()).hexdigest())
+    pages = spark.createDataFrame([(1, "u", long), (2, "v", long)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.archive(pages, f"file://{tmp_path}/w").collect()}
+    assert got[1].payload_digest == hashlib.sha256(long.encode()).hexdigest() and (got[2].record_type, got[2].refers_to) == ("revisit", 1)
+    docs = spark.createDataFrame([(1, long, "en"), (2, "x" * 3_000_000, "en"), (3, "short text", "en")], "doc_id long, text string, lang string")
+    assert [r.n_words for r in quality.quality(docs).orderBy("doc_id").collect()] == [600_000, 1, 2]
+    assert toxicity.scores(docs, docs.select("doc_id", F.lit(0).alias("toxic"))).count() == 3
+
+
+def test_languages_of_few_texts(spark):
+    """One language, languages of one text, none at all: the middle is their own, the spread leans on all."""
+    rng = random.Random(1)
+    words = [f"w{rng.randint(0, 40)}" for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(40)), f"l{k}" if k > 30 else "en") for k in range(34)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert all(got[k].kept and abs((got[k].lower + got[k].upper) / 2 - got[k].log_ppl) < 1e-6 for k in (31, 32, 33))
+    assert len({round(got[k].upper - got[k].lower, 9) for k in (31, 32, 33)}) == 1
+    assert quality.quality(docs.where("doc_id < 5").withColumn("lang", F.lit(None).cast("string"))).count() == 5
