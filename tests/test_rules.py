@@ -128,3 +128,22 @@ def test_online_counts_equal_brute_force(spark):
     want = {k: None if ms is None else len({i for q, i, m, _ in rows if q == room and i is not None and m is not None and ms - 45_000 < m <= ms}) for room, _, ms, k in rows}
     assert got == want
     assert {r.row_id for r in presence.online(table).collect()} == set(want)
+
+
+def test_presence_stream_keeps_and_drops_rooms(spark, tmp_path):
+    """Batch by batch as all at once; the state of a room that nobody enters any more goes."""
+    from quire.streaming import presence as S
+
+    t = 1_700_000_000_000
+    rows = [("a", "x", 0, 1), ("a", "y", 44_999, 2), ("b", "x", 10, 3), ("a", "x", 60_000, 4), ("a", "x", 4_000_000, 5), ("a", "z", 4_000_010, 6), ("b", "q", 4_000_020, 7), ("a", "z", 9_000_000, 8)]
+    schema = "room string, id string, ms long, row_id long"
+    table = spark.createDataFrame([(q, i, t + m, k) for q, i, m, k in rows], schema)
+    source = tmp_path / "in"
+    for k, part in enumerate((table.where("row_id <= 3"), table.where("row_id in (4)"), table.where("row_id in (5, 6, 7)"), table.where("row_id = 8"))):
+        part.coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        out = S.run_to_table(S.online_stream(stream), str(tmp_path / "out"), str(tmp_path / "check"))
+    want = {k: len({i for q, i, m, _ in rows if q == room and ms - S.WINDOW_MS < m <= ms}) for room, _, ms, k in rows}
+    assert {r.row_id: r.online for r in out.collect()} == want
+    state = spark.read.format("statestore").load(str(tmp_path / "check"))
+    assert {r.key.room for r in state.collect()} == {"a"}
