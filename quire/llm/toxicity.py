@@ -32,6 +32,8 @@ LEAST_DOCS, HIDE = 4, 0.7
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1000, 2500, 1 << 15
 #: Steps of training before the highest windows are first looked for, and after each time they are.
 STEPS, BATCH, RATE, AVERAGE = (160, 120, 120, 120), 64, 0.02, 0.02
+#: Words or windows that the network works on at a time.
+GROUP = 2048
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -230,8 +232,8 @@ class Model:
         out = np.empty((len(picked), self.net["wW"].shape[1]), np.float32)
         order = np.argsort(words.ends[picked] - words.starts[picked], kind="stable")
         ids = self.ids(hashes)
-        for at in range(0, len(order), 8192):
-            some = order[at : at + 8192]
+        for at in range(0, len(order), GROUP):
+            some = order[at : at + GROUP]
             out[some] = word_gates(self.net, bytes_of(words, picked[some])[0], ids[some])
         return out
 
@@ -255,9 +257,11 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     y = labels.astype(np.float32)
     if not len(y) or y.min() == y.max():
         return Model(float(y.mean()) if len(y) else 0.0)
-    words = pieces_of(Words(*buffer_of(pa.array(texts, pa.string()))))
+    column = pa.array(texts, pa.string())
+    words = pieces_of(Words(*buffer_of(column)))
     doc = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-    hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    parts = slices(pa.RecordBatch.from_arrays([column], ["text"]))
+    hashes, first, which = np.unique(np.concatenate([pieces_of(Words(*buffer_of(p.column(0)))).hashes() for p in parts]), return_index=True, return_inverse=True)
     held = np.bincount(np.unique(doc.astype(np.int64) * len(first) + which) % len(first), minlength=len(first))
     rng = np.random.default_rng(seed)
     model = Model(float(y.mean()), start(rng, int((held >= LEAST_DOCS).sum())), hashes[held >= LEAST_DOCS])
@@ -273,7 +277,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     for steps in STEPS:
         if step:
             gates = model.gates(words, first, hashes)
-            logit = np.concatenate([window_logits(net, gates, at[a : a + 8192]) for a in range(0, len(at), 8192)])
+            logit = np.concatenate([window_logits(net, gates, at[a : a + GROUP]) for a in range(0, len(at), GROUP)])
             best = np.full(len(texts), -1)
             best[of[np.argsort(logit, kind="stable")]] = np.argsort(logit, kind="stable")
         for _ in range(steps):
@@ -349,10 +353,10 @@ class Scorer:
         at, doc = windows_of(words.bounds)
         empty = float(window_logits(model.net, word_gates(model.net, np.ones((1, 1), np.uint8), np.zeros(1, np.int64)), np.zeros((1, 1), np.int64))[0])
         best = np.full(len(texts), -np.inf)
-        for a in range(0, len(at), 4096):
-            part = at[a : a + 4096]
+        for a in range(0, len(at), GROUP):
+            part = at[a : a + GROUP]
             logit = window_logits(model.net, gates, np.where(part >= 0, which[part], -1))
-            np.maximum.at(best, doc[a : a + 4096], logit)
+            np.maximum.at(best, doc[a : a + GROUP], logit)
         return _sigmoid(np.where(np.isneginf(best), empty, best)).astype(np.float64)
 
 
