@@ -106,10 +106,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     mixed = cut(mixed_keys(docs, rows))
     release(docs.sparkSession)
-    # buckets of one text need no mark, so only marked ones are joined
-    marked = resolve(rows.select(F.explode(F.array("a", "b")).alias("x")).select("x.*").join(mixed, "key", "left_semi")).where("fingerprint <> key")
+    like = lambda x, y: (F.col(x) == F.col(y)).cast("double")
+    marked = None if mixed.isEmpty() else resolve(rows.select(F.explode(F.array("a", "b")).alias("x")).select("x.*").join(mixed, "key", "left_semi")).where("fingerprint <> key")
     for c in "abc":
+        if marked is None:  # every key stands for one text, so it is the fingerprint
+            rows = rows.withColumn(f"f{c}", F.col(c)["key"])
+            continue
+        # buckets of one text need no mark, so only marked ones are joined
         found = marked.select(F.struct("key", "size", "proof").alias(f"k{c}"), F.col("fingerprint").alias(f"f{c}"))
         rows = rows.join(found, F.col(c) == F.col(f"k{c}"), "left").withColumn(f"f{c}", F.coalesce(f"f{c}", F.col(c)["key"]))
-    like = lambda x, y: (F.col(x) == F.col(y)).cast("double")
     return rows.select("doc_id", "n_chars", "edited_sha256", F.col("fa").alias("fingerprint"), F.col("fb").alias("edited_fingerprint"), like("fa", "fb").alias("near_edited"), like("fa", "fc").alias("near_next"), F.col("fc").alias("next_fingerprint"))
