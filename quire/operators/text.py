@@ -137,10 +137,18 @@ def text_status(files: DataFrame) -> DataFrame:
 
 
 def undo_history(history: DataFrame) -> DataFrame:
-    """history (session_id, seq, op, edit_id) -> the edits in force: an undo takes back the last apply that stands."""
-    log = history.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "edit_id"))).alias("log"))
-    step = lambda acc, e: F.when(e["op"] == "undo", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, e["edit_id"]))
-    return log.select("session_id", F.aggregate("log", F.array().cast("array<bigint>"), step).alias("edits"))
+    """history (session_id, seq, op, edit_id) -> the edits in force: an undo takes back the last apply that stands.
+
+    The number of edits in force is a walk up and down that never goes below 0; an apply stands if the walk never
+    falls below it again. So two sorts of a session's log do, and nothing is folded.
+    """
+    order = Window.partitionBy("session_id").orderBy("seq")
+    so_far, later = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("session_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = history.withColumn("_sum", F.sum(F.when(F.col("op") == "undo", -1).otherwise(1)).over(so_far))
+    rows = rows.withColumn("_depth", F.col("_sum") - F.least(F.min("_sum").over(so_far), F.lit(0)))
+    stands = (F.col("op") != "undo") & F.coalesce(F.min("_depth").over(later) >= F.col("_depth"), F.lit(True))
+    rows = rows.select("session_id", F.when(stands, F.struct("seq", F.col("edit_id").cast("bigint").alias("edit_id"))).alias("_e"))
+    return rows.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list("_e")), lambda e: e["edit_id"]).alias("edits"))
 
 
 def apply_edits(text: Column, edits: Column) -> Column:

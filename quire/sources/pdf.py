@@ -1,4 +1,7 @@
-"""A Spark data source for folders of documents: `spark.read.format("quire_pdf").option("view", ...).load(folder)`."""
+"""A Spark data source for folders of documents: `spark.read.format("quire_pdf").option("view", ...).load(folder)`.
+
+Files that cannot be read give no rows in the views of pages, runs and images; the view `errors` names them and says why.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 VIEWS = {
     "pages": "path string, page int, width double, height double",
     "runs": "path string, page int, item_index int, text string, x double, y double, width double, font_size double, font string",
+    "errors": "path string, error string, detail string",
     "images": "path string, page int, name string, width int, height int, bits int, filter string, space string, stored long, is_mask boolean",
 }
 
@@ -46,7 +50,14 @@ class PdfReader(DataSourceReader):
                 data = stream.read()
             try:
                 doc = Document.open(data)
-            except PdfError:
+                failed = "" if doc.pages() else "no pages"
+            except PdfError as error:
+                failed = str(error) or "unreadable"
+            if self.view == "errors":
+                if failed:
+                    yield path, "E_EMPTY_FILE" if not data else "E_CORRUPT" if b"%PDF" in data[:1028] else "E_NOT_PDF", failed
+                continue
+            if failed:
                 continue
             for n, page in enumerate(doc.pages(), 1):
                 if self.view == "pages":

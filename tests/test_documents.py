@@ -146,6 +146,10 @@ def test_data_source(spark, tmp_path):
     assert load("pages").count() == 6
     assert sorted(r.text for r in load("runs").collect()) == sorted(["PAGE 1", "one"] * 3 + ["PAGE 2"] * 2)
     assert load("images").count() == 0
+    (tmp_path / "empty.pdf").write_bytes(b"")
+    (tmp_path / "cut.pdf").write_bytes(b"%PDF-1.7 and nothing")
+    assert {r.path.rpartition("/")[2]: r.error for r in load("errors").collect()} == {"bad.pdf": "E_NOT_PDF", "empty.pdf": "E_EMPTY_FILE", "cut.pdf": "E_CORRUPT"}
+    assert load("pages").count() == 6
 
 
 def test_presence_stream_goes_on_after_a_restart(spark, tmp_path):

@@ -147,3 +147,21 @@ def test_presence_stream_keeps_and_drops_rooms(spark, tmp_path):
     assert {r.row_id: r.online for r in out.collect()} == want
     state = spark.read.format("statestore").load(str(tmp_path / "check"))
     assert {r.key.room for r in state.collect()} == {"a"}
+
+
+def test_undo_equals_a_stack(spark):
+    import random
+
+    rng = random.Random(3)
+    log = [(s, k, rng.choice(["apply", "apply", "undo"]) if s else "undo", 100 * s + k) for s in range(6) for k in range(rng.randint(1, 60))]
+    rows = log[:]
+    rng.shuffle(rows)
+    got = {r.session_id: r.edits for r in text.undo_history(spark.createDataFrame(rows, "session_id int, seq int, op string, edit_id long")).collect()}
+    want: dict[int, list[int]] = {}
+    for s, _, op, e in log:
+        stack = want.setdefault(s, [])
+        if op == "apply":
+            stack.append(e)
+        elif stack:
+            stack.pop()
+    assert got == want
