@@ -31,8 +31,8 @@ from quire.llm.shared import Words, _mix, _SPACE, buffer_of, cut, shared_folder,
 ORDER = 5
 START, SPACE = 1, 32
 #: A language's band: its median cost of a word and so many robust deviations (for the text's length) each way. Chosen
-#: from the documents of either label that it keeps and rejects on sf0.1 (README).
-WIDTH = 3.0
+#: from the documents of either label that it keeps and rejects on sf0.1 and check_s (README).
+WIDTH = 4.0
 #: A language's spread is its own, weighted by its texts, and that of all languages with this weight.
 SHARED_TEXTS = 50
 #: Distinct n-grams (of 12 bytes each in the arrays) up to which the model is broadcast.
