@@ -30,7 +30,7 @@ GRAM = 6
 #: Stretches with words that one shard is dealt on average.
 STRETCHES_PER_SHARD = 60_000
 #: Distinct stretches around an anchor (as counted task by task) beyond which they are cut down before they are dealt.
-HOT = 2_000
+HOT = 20_000
 #: Every so many places of the suffix array are kept.
 SAMPLE = 8
 #: Hot anchors up to which they are broadcast.
