@@ -241,17 +241,21 @@ def _grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group: that of the smallest doc_id, all columns as they were.
 
-    A null doc_id counts as the greatest. Of rows of one doc_id in one group, the row whose text sorts first stays; rows
-    of one doc_id with far texts are in groups of their own. The groups are joined to the rows by doc_id and text hash.
+    A null doc_id counts as the greatest. Of rows of one doc_id in one group, the text with the least XXH64 stays, once; rows
+    of one doc_id with far texts are in groups of their own. The chosen keys (doc_id and text hash) meet the rows in
+    one shuffle, in which repeated rows are cut to one as well.
     """
     names = docs.columns
     flat = docs.toDF(*(f"x{k}" for k in range(len(names))))
-    key, text = F.col(f"x{names.index('doc_id')}"), F.col(f"x{names.index('text')}")
+    key, text = F.col(f"x{names.index('doc_id')}").cast("long"), F.col(f"x{names.index('text')}")
     prints = cut(fingerprints(docs.select("doc_id", "text"), tagged=True))
-    first = _grouped(prints).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("root").alias("_root")).distinct()
-    rank = F.row_number().over(Window.partitionBy("_root").orderBy(text))
-    rows = flat.join(first, key.cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_tag")))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_id", "_tag", "_root", "_rank").toDF(*names)
+    known = lambda c: [F.coalesce(c, F.lit(0)).alias("_id"), c.isNull().alias("_none")]
+    chosen = _grouped(prints).where("doc_id <=> component_id").groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("tag").alias("_tag"))
+    chosen = chosen.select(*known(F.col("doc_id")), "_tag")
+    keys = ["_id", "_none", "_tag"]
+    rows = flat.select("*", *known(key), F.xxhash64(text).alias("_tag")).join(chosen, keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(text))
+    return rows.withColumn("_rank", rank).where("_rank = 1").drop(*keys, "_rank").toDF(*names)
 
 
 def fingerprint_hex(column: str = "fp") -> F.Column:
