@@ -39,7 +39,7 @@ SHARED_TEXTS = 50
 MOST_BROADCAST = 1 << 22
 #: Bytes of text in a block, n-gram positions worked on at a time, distinct n-grams that a task counts before it writes
 #: them, and n-grams asked of a shard.
-BLOCK_BYTES, STEP, HELD_GRAMS, SHARD_ROWS = 8 << 20, 1 << 20, 1 << 20, 1 << 19
+BLOCK_BYTES, STEP, HELD_GRAMS, SHARD_ROWS = 8 << 20, 1 << 19, 1 << 20, 1 << 19
 BLOCKS_A_TASK = 8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True

@@ -34,6 +34,8 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1000, 2500, 1 << 15
 STEPS, BATCH, RATE, AVERAGE = (160, 120, 120, 120), 64, 0.02, 0.02
 #: Words or windows that the network works on at a time.
 GROUP = 2048
+#: Bytes of text that a worker scores at a time.
+PART_BYTES = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -307,7 +309,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 
 
 #: Distinct words that a worker holds at a time.
-HELD_WORDS = 150_000
+HELD_WORDS = 100_000
 
 
 class Seen:
@@ -390,7 +392,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=PART_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.scores(part.column(1)))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
@@ -405,7 +407,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for part in slices(batch, f"x{at}"):
+            for part in slices(batch, f"x{at}", PART_BYTES):
                 yield part.filter(pa.array(scorer.scores(part.column(at)) < limit))
 
     flat = docs.toDF(*(f"x{k}" for k in range(len(names))))
