@@ -13,6 +13,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import buffer_of, slices
 
-NONE = np.int64(1 << 40)
+NONE = np.int32((1 << 31) - 1)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Words of more parts than this go through the heap.
 WIDE = 64
 #: Distinct chunks that a worker keeps; beyond this it starts afresh.
@@ -51,7 +53,8 @@ class Merges:
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b[prefix:]] for a, b in pairs], np.int64)
         keys, first = np.unique(keys, return_index=True)
-        self.keys, self.ranks, self.made = keys, first.astype(np.int64), made[first]
+        self.bits = np.uint64(max(8, int(4 * len(keys)).bit_length()))
+        self._table(keys, first.astype(np.int32), made[first].astype(np.int32))
         chars = byte_chars()
         self.inner = np.array([vocab[c] for c in chars], np.int64)
         self.final = np.array([vocab[c + suffix] for c in chars], np.int64)
@@ -60,12 +63,44 @@ class Merges:
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         self.bytes = [b"".join(bytes([back[c]]) if c in back else c.encode() for c in names.get(i, "")) for i in range(max(names) + 1)]
 
-    def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and result of each pair; NONE where it never merges."""
-        key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.ranks[at], NONE), self.made[at]
+    def _table(self, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray) -> None:
+        """An open-addressed table of the pairs, at most a quarter full; -1: free."""
+        self.keys = np.full((1 << int(self.bits)) + len(keys), -1, np.int64)
+        self.ranks, self.made = np.full(len(self.keys), NONE, np.int32), np.zeros(len(self.keys), np.int32)
+        at, todo = self._spot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] < 0]
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[at[put]], self.ranks[at[put]], self.made[at[put]] = keys[put], ranks[put], made[put]
+            todo = np.setdiff1d(todo, put)
+            at[todo] += 1
+
+    def _spot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key.astype(np.uint64) * _GOLD >> (np.uint64(64) - self.bits)).astype(np.int64)
+
+    def _at(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where each pair is in the table, or a free place."""
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.size + right, -1)
+        at = self._spot(key)
+        todo = np.flatnonzero((found := self.keys[at]) != key)
+        todo = todo[found[todo] >= 0]
+        while len(todo):
+            at[todo] += 1
+            found = self.keys[at[todo]]
+            todo = todo[(found != key[todo]) & (found >= 0)]
+        return at
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; NONE where it never merges."""
+        at = self._at(left.ravel(), right.ravel())
+        key = left.ravel().astype(np.int64) * self.size + right.ravel()
+        return np.where(self.keys[at] == key, self.ranks[at], NONE).reshape(left.shape)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What pairs that merge become."""
+        return self.made[self._at(left, right)]
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
@@ -87,12 +122,12 @@ class Merges:
         flat = np.frombuffer(b"".join(words[k] for k in which.tolist()), np.uint8)
         lane = np.arange(width)
         filled = lane < n[:, None]
-        parts = np.full((len(which), width), -1, np.int64)
+        parts = np.full((len(which), width), -1, np.int32)
         parts[filled] = self.inner[flat]
         ends = np.flatnonzero(n > 0)
         parts[ends, n[ends] - 1] = self.final[flat[np.cumsum(n)[ends] - 1]]
-        ranks, made = np.full(parts.shape, NONE), np.zeros(parts.shape, np.int64)
-        ranks[:, :-1], made[:, :-1] = self.look(parts[:, :-1], parts[:, 1:])
+        ranks = np.full(parts.shape, NONE, np.int32)
+        ranks[:, :-1] = self.look(parts[:, :-1], parts[:, 1:])
         while len(which):
             best = ranks.argmin(axis=1)
             row = np.arange(len(which))
@@ -101,24 +136,24 @@ class Merges:
                 raw = parts[~going].astype("<u4").tobytes()
                 for k, at, size in zip(which[~going].tolist(), range(0, len(raw), 4 * width), n[~going].tolist()):
                     out[k] = raw[at : at + 4 * size]
-                which, parts, ranks, made, n, best = (x[going] for x in (which, parts, ranks, made, n, best))
+                which, parts, ranks, n, best = (x[going] for x in (which, parts, ranks, n, best))
                 row = np.arange(len(which))
                 if not len(which):
                     return
-            parts[row, best] = made[row, best]
+            parts[row, best] = self.merged(parts[row, best], parts[row, best + 1])
             shift = np.minimum(lane + (lane > best[:, None]), width - 1)
-            parts, ranks, made = (np.take_along_axis(x, shift, axis=1) for x in (parts, ranks, made))
+            parts, ranks = np.take_along_axis(parts, shift, axis=1), np.take_along_axis(ranks, shift, axis=1)
             parts[:, -1], ranks[:, -1], n = -1, NONE, n - 1
             for left in (best - 1, best):
                 ok = (left >= 0) & (left < width - 1)
                 r, at = row[ok], left[ok]
-                ranks[r, at], made[r, at] = self.look(parts[r, at], parts[r, at + 1])
+                ranks[r, at] = self.look(parts[r, at], parts[r, at + 1])
 
     def _heap(self, word: bytes) -> bytes:
         flat = np.frombuffer(word, np.uint8)
         ids = self.inner[flat]
         ids[-1] = self.final[flat[-1]]
-        ranks, made = (x.tolist() for x in self.look(ids[:-1], ids[1:]))
+        ranks, made = self.look(ids[:-1], ids[1:]).tolist(), self.merged(ids[:-1], ids[1:]).tolist()
         part, n = ids.tolist(), len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(r, k, part[k], part[k + 1], m) for k, (r, m) in enumerate(zip(ranks, made)) if r < NONE]
@@ -134,9 +169,9 @@ class Merges:
             for left in (before[k], k):
                 if left >= 0 and after[left] < n:
                     x, y = part[left], part[after[left]]
-                    rank, to = self.look(np.array([x]), np.array([y]))
+                    rank = self.look(np.array([x]), np.array([y]))
                     if rank[0] < NONE:
-                        heapq.heappush(queue, (int(rank[0]), left, x, y, int(to[0])))
+                        heapq.heappush(queue, (int(rank[0]), left, x, y, int(self.merged(np.array([x]), np.array([y]))[0])))
         return np.array([x for x in part if x >= 0], "<u4").tobytes()
 
 
@@ -198,48 +233,49 @@ class Encoder:
         back = self._BACK
         return [bytes(back[c] for c in piece) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk) if piece]
 
-    def _split(self, keys: list) -> list[list]:
-        """The pieces of each chunk."""
+    def _split(self, keys: list) -> tuple[list[bytes], list[bytes], dict[int, list]]:
+        """Two words for each chunk (empty: none), and by number the pieces of the chunks that are not of one or two words."""
         if self.lead:
             chunks = [k if k[:1] == "\n" else " " + k for k in keys]
-            lines = [k if "\n" not in k else "" for k in keys]
-            found, space = self._LEAD.findall("\n".join(lines)), " "
+            found, space = self._LEAD.findall("\n".join([k if "\n" not in k else "" for k in keys])), " "
         else:
             joined = b"\n".join(keys).decode()
             chunks, space = joined.split("\n"), ""
             # only characters whose lower case is one character of Latin-1 match
-            low = joined.lower() if "İ" not in joined else joined
-            found = self._SUFFIX.findall(low)
-        out = []
-        for chunk, (word, tail) in zip(chunks, found):
-            if word:
-                out.append([(space + word).encode(), tail.encode()] if tail else [(space + word).encode()])
-            else:
-                out.append(self._pieces(chunk.removeprefix(self.EDGE)))
-        return out
-
-    def learn(self, keys: set) -> None:
-        """Encode the chunks that are not known yet: kept[key] is the ids as little-endian unsigned 32-bit integers."""
-        if len(self.kept) > KEEP:
-            self.kept = {}
-        new = list(keys - self.kept.keys())
-        if not new:
-            return
-        pieces = self._split(new)
-        words = list({p for ps in pieces for p in ps if type(p) is bytes})
+            found = self._SUFFIX.findall(joined.lower() if "İ" not in joined else joined)
+        words, tails = zip(*found)
+        odd = {k: self._pieces(chunks[k].removeprefix(self.EDGE)) for k, word in enumerate(words) if not word}
+        heads = (space + f"\n{space}".join(words)).encode().split(b"\n")
+        for k in odd:
+            heads[k] = b""
+        return heads, "\n".join(tails).encode().split(b"\n"), odd
+
+    def learn(self, new: list) -> None:
+        """Encode chunks that are not known yet: kept[key] is the ids as little-endian unsigned 32-bit integers."""
+        heads, tails, odd = self._split(new)
+        wanted = set(heads).union(tails, (p for ps in odd.values() for p in ps if type(p) is bytes)) - {b""}
+        words = list(wanted)
         ids = dict(zip(words, self.merges.words(words)))
-        for key, ps in zip(new, pieces):
-            if len(ps) == 1 and type(ps[0]) is bytes:
-                self.kept[key] = ids[ps[0]]
-            else:
-                self.kept[key] = b"".join([ids[p] if type(p) is bytes else p.to_bytes(4, "little") for p in ps])
+        ids[b""] = b""
+        get = ids.__getitem__
+        self.kept.update(zip(new, map(add, map(get, heads), map(get, tails))))
+        for k, ps in odd.items():
+            self.kept[new[k]] = b"".join([ids[p] if type(p) is bytes else p.to_bytes(4, "little") for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.kept) > KEEP:
+            self.kept = {}
         keys = [self._keys(t) for t in texts]
-        self.learn(set().union(*keys))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, k)) for k in keys]
+        known = [list(map(self.kept.get, k)) for k in keys]
+        gaps = [[i for i, ids in enumerate(x) if ids is None] for x in known]
+        new = list({k[i] for k, g in zip(keys, gaps) for i in g})
+        if new:
+            self.learn(new)
+            for k, x, g in zip(keys, known, gaps):
+                for i in g:
+                    x[i] = self.kept[k[i]]
+        return [b"".join(x) for x in known]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, one after the other."""
