@@ -152,6 +152,14 @@ def undo_history(history: DataFrame) -> DataFrame:
 
 
 def apply_edits(text: Column, edits: Column) -> Column:
-    """text with edits (array of struct(start, stop, put), not overlapping) applied from the last to the first."""
-    step = lambda acc, e: F.concat(F.left(acc, e["start"]), e["put"], F.substr(acc, e["stop"] + 1))
-    return F.aggregate(F.sort_array(edits, False), text, step)
+    """text with edits (array of struct(start, stop, put), not overlapping) applied; null if the text or something of an edit is null.
+
+    Every place counts in the text as it came, so a place past its end is its end, and no edit takes what another put.
+    """
+    ordered = F.sort_array(edits)
+    stops = F.concat(F.array(F.lit(0)), F.transform(ordered, lambda e: e["stop"]))
+    # what stands before an edit, and what it puts; past the last edit the rest of the text
+    before = lambda e, at: F.substr(text, at + 1, F.coalesce(e["start"], F.length(text)) - at)
+    pieces = F.zip_with(ordered, stops, lambda e, at: F.concat(before(e, at), F.when(e.isNull(), "").otherwise(e["put"])))
+    unknown = F.exists(edits, lambda e: e["start"].isNull() | e["stop"].isNull() | e["put"].isNull())
+    return F.when(text.isNotNull() & ~unknown, F.array_join(pieces, ""))

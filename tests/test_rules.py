@@ -165,3 +165,15 @@ def test_undo_equals_a_stack(spark):
         elif stack:
             stack.pop()
     assert got == want
+
+
+def test_edits_past_the_end_keep_what_others_put(spark):
+    edit = lambda a, b, p: F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(p).alias("put"))
+    edits = F.array(edit(9, 11, ""), edit(0, 3, "<A>"), edit(5, 5, "+"))
+    rows = ["", "ab", "abcd", "abcdefg", "abcdefghij", "abcdefghijkl", "a😀cdéfghijk\u0301l", None]
+    got = spark.createDataFrame([(x,) for x in rows], "t string").select(text.apply_edits(F.col("t"), edits).alias("v")).collect()
+    assert [r.v for r in got] == [None if t is None else "<A>" + t[3:5] + "+" + t[5:9] + t[11:] for t in rows]
+    # two edits at one place, none at all, a null put
+    assert value(spark, text.apply_edits(F.lit("abc"), F.array(edit(1, 1, "2"), edit(1, 1, "1"), edit(1, 2, "B")))) == "a12Bc"
+    assert value(spark, text.apply_edits(F.lit("abc"), F.filter(edits, lambda e: e["start"] < 0))) == "abc"
+    assert value(spark, text.apply_edits(F.lit("abc"), F.array(edit(1, 2, None), edit(0, 1, "x")))) is None
