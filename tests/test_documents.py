@@ -130,6 +130,30 @@ def test_unlock(v, r, size, method):
     assert crypt.unlock_document(data, "wrong")[1] == "E_WRONG_PASSWORD"
 
 
+def test_ciphers_of_the_library_and_of_the_tables_agree(monkeypatch):
+    data = bytes(k * k % 251 for k in range(5000))
+    sizes = [(n, m) for n in (10, 16, 24, 32) for m in (0, 15, 16, 17, 4999)]
+    work = lambda: [(crypt.cbc_encrypt(data[:n], data[7:23], data[:m]), crypt.cbc_decrypt(data[:n], data[7:23], bytearray(data[:m])), crypt.rc4(data[:n], data[:m])) for n, m in sizes] + [crypt.hardened(b"owner7", b"saltsalt", data[:48]), locked_pdf(PAGES, {"Title": "geheim"}, "user", "owner", 5, 6, 32, "aes")]
+    fast = work()
+    monkeypatch.setattr(crypt, "library", lambda: None)
+    assert work() == fast
+
+
+def test_the_hash_of_revision_6_leaves_blocks_to_the_library(monkeypatch):
+    blocks, cipher = [0], crypt._cipher
+
+    def counted(*a):
+        blocks[0] += 1
+        return cipher(*a)
+
+    if crypt.library() is None:
+        pytest.skip("no OpenSSL beside hashlib")
+    monkeypatch.setattr(crypt, "_cipher", counted)
+    data = locked_pdf(PAGES, {"Title": "geheim"}, "user", "owner", 5, 6, 32, "aes")
+    assert texts(crypt.unlock_document(data, "owner")[0]) == PAGES
+    assert blocks == [0]
+
+
 def test_unlock_plain():
     data = text_pdf(PAGES)
     assert crypt.unlock_document(data, "") == (data, None, "W_NOTHING_CHANGED")
