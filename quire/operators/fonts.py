@@ -48,16 +48,33 @@ def room(width: Column, gap: Column, font_size: Column, text_size: Column) -> Co
 
 
 def locate(wanted: DataFrame, found: DataFrame) -> DataFrame:
-    """wanted (id, page, x, y, font_size, ordinal), found (page, ord, fx, fy) -> (id, ord): the nearest run within the tolerance, else the ordinal-th."""
-    pairs = wanted.join(found, "page")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("ord")) - 1
-    far = F.sqrt(F.pow(F.col("fx") - F.col("x"), 2) + F.pow(F.col("fy") - F.col("y"), 2))
-    pairs = pairs.select("id", "ord", "font_size", "ordinal", place.alias("place"), far.alias("far"))
-    rows = pairs.groupBy("id").agg(
-        F.min(F.struct("far", "ord")).alias("near"), F.first("font_size").alias("fs"),
-        F.max_by("ord", F.when(F.col("place") <= F.col("ordinal"), F.col("place")).otherwise(-1)).alias("nth"), F.count("*").alias("candidates"),
-    )
-    return rows.select("id", F.when(F.col("near.far") <= F.greatest(F.lit(2.0), F.col("fs") * 0.6), F.col("near.ord")).otherwise(F.col("nth")).alias("ord"), "candidates")
+    """wanted (id, page, x, y, font_size, ordinal), found (page, ord, fx, fy) -> (id, ord, candidates): the nearest run within the tolerance, else the ordinal-th (or last) of the page.
+
+    A run within the tolerance lies in a square that is at least as wide as that, or in one beside it. So each wanted run
+    meets one list: the places in the nine squares around it, of several runs at one place the first.
+    """
+    tolerance = F.greatest(F.lit(2.0), F.col("font_size") * 0.6)
+    # squares of 2^level; the sum rounds up what is a power of two but for the logarithm's error
+    level = F.when(F.isnan(tolerance), 1024).otherwise(F.least(F.ceil(F.log2(tolerance) + 1e-9), F.lit(1024))).cast("int")
+    square = lambda v: F.floor(F.least(F.greatest(F.col(v) / F.pow(F.lit(2.0), F.col("level")), F.lit(-(2.0**52))), F.lit(2.0**52)))
+    beside = F.array(*map(F.lit, (-1, 0, 1)))
+    levels = wanted.agg(F.sort_array(F.collect_set(level))).scalar()
+    places = found.where("fx is not null and fy is not null").groupBy("page", "fx", "fy").agg(F.min("ord").alias("ord"))
+    around = places.select("page", F.struct("fx", "fy", "ord").alias("run"), "fx", "fy", F.explode(levels).alias("level"))
+    around = around.select("page", "run", "level", square("fx").alias("cx"), square("fy").alias("cy"), F.explode(beside).alias("dx"))
+    around = around.select("page", "run", "level", (F.col("cx") + F.col("dx")).alias("cx"), "cy", F.explode(beside).alias("dy"))
+    # no broadcast: the planner does not see how much the squares add
+    lists = around.groupBy("page", "level", "cx", (F.col("cy") + F.col("dy")).alias("cy")).agg(F.collect_list("run").alias("runs")).hint("merge")
+
+    ranked = found.select("page", F.col("ord").alias("nth"), (F.row_number().over(Window.partitionBy("page").orderBy("ord")) - 1).cast("long").alias("place"))
+    rows = wanted.select("id", "page", "x", "y", "ordinal", tolerance.alias("tolerance"), level.alias("level"))
+    rows = rows.join(found.groupBy("page").agg(F.count("*").alias("candidates")), "page")
+    rows = rows.withColumn("cx", square("x")).withColumn("cy", square("y")).join(lists, ["page", "level", "cx", "cy"], "left")
+    far = lambda r: F.sqrt(F.pow(r["fx"] - F.col("x"), 2) + F.pow(r["fy"] - F.col("y"), 2))
+    near = F.array_min(F.transform("runs", lambda r: F.struct(far(r).alias("far"), r["ord"].alias("ord"))))
+    place = F.least(F.col("ordinal"), F.col("candidates") - 1).cast("long")
+    rows = rows.select("id", "page", "tolerance", "candidates", near.alias("near"), place.alias("place")).join(ranked, ["page", "place"], "left")
+    return rows.select("id", F.when(F.col("near.far") <= F.col("tolerance"), F.col("near.ord")).otherwise(F.col("nth")).alias("ord"), "candidates")
 
 
 def push_shift(runs: DataFrame, glyphs: DataFrame) -> DataFrame:

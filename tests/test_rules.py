@@ -177,3 +177,26 @@ def test_edits_past_the_end_keep_what_others_put(spark):
     assert value(spark, text.apply_edits(F.lit("abc"), F.array(edit(1, 1, "2"), edit(1, 1, "1"), edit(1, 2, "B")))) == "a12Bc"
     assert value(spark, text.apply_edits(F.lit("abc"), F.filter(edits, lambda e: e["start"] < 0))) == "abc"
     assert value(spark, text.apply_edits(F.lit("abc"), F.array(edit(1, 2, None), edit(0, 1, "x")))) is None
+
+
+def test_locate_equals_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    # a grid of halves has many ties; distances of exactly a tolerance, runs at one place, missing and far places
+    spot = lambda: rng.choice([rng.randrange(-40, 40) / 2, rng.uniform(-300, 300), 1e30, -64.0, 0.0, -0.0])
+    found = [(page, k * 7 % 101 + 101 * page, None if k % 17 == 3 else spot(), None if k % 19 == 4 else spot()) for page in range(3) for k in range(90)] + [(7, 1, None, None)]
+    sizes = [None, -1.0, 3.0, 10.0, 64 / 0.6, 66.0, 126.0, 1e308]
+    wanted = [(k, k % 4 if k % 50 else 7, None if k % 23 == 5 else spot(), spot(), sizes[k % 8], [None, -1, 0, 3, 89, 500][k % 6]) for k in range(600)]
+    out = fonts.locate(spark.createDataFrame(wanted, "id long, page int, x double, y double, font_size double, ordinal int"), spark.createDataFrame(found, "page int, ord int, fx double, fy double"))
+
+    def want(k, page, x, y, size, ordinal):
+        ords = sorted(o for p, o, *_ in found if p == page)
+        place = len(ords) - 1 if ordinal is None else min(ordinal, len(ords) - 1)
+        near = min(((math.sqrt((fx - x) ** 2 + (fy - y) ** 2), o) for p, o, fx, fy in found if p == page and None not in (fx, fy, x, y)), default=(math.inf, None))
+        return k, near[1] if near[0] <= max(2.0, (size or 0) * 0.6) else ords[place] if place >= 0 else None, len(ords)
+
+    assert sorted(tuple(r) for r in out.collect()) == [want(*w) for w in wanted if w[1] != 3]
+    # no row for each pair of a wanted and a found run
+    assert "windowspecdefinition(id" not in out._jdf.queryExecution().optimizedPlan().toString()
