@@ -14,6 +14,8 @@ from quire.functions import files as fx
 from quire.ship import ship
 
 FACTS = "page_count int, is_encrypted boolean, has_text boolean, page_sizes array<struct<w: double, h: double>>, error string"
+#: Rows go back together until their values have so many bytes.
+BATCH_BYTES = 1 << 18
 RUNS = "page int, item_index int, text string, x double, y double, width double, font_size double, font string"
 
 
@@ -23,12 +25,18 @@ def _rows(frame: DataFrame, step: Callable[[dict], list[dict]], schema: str) ->
     names = [f.name for f in frame.sparkSession.createDataFrame([], schema).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
+            columns = list(zip(batch.schema.names, batch.columns))
             for k in range(batch.num_rows):
-                row = {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
-                out = step(row)
-                if out:
-                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in out], schema=target)
+                for r in step({n: c[k].as_py() for n, c in columns}):
+                    held.append({n: r.get(n) for n in names})
+                    size += 64 + sum(len(v) for v in r.values() if isinstance(v, (bytes, str)))
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema=target)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -67,8 +67,9 @@ def unlock_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     from quire.ship import ship
 
     ship(spark)
-    c = M.read(spark, sf, "conversations")
-    pages = c.groupBy(F.col("conv_id").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("pages"))
+    # reading pages costs more than a shuffle of the files; the one shuffle also serves the grouping
+    c = M.read(spark, sf, "conversations").withColumnRenamed("conv_id", "file_id").repartition(32, "file_id")
+    pages = c.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("pages"))
 
     def lock(row: dict) -> list[dict]:
         from quire.pdf.build import locked_pdf
@@ -79,8 +80,7 @@ def unlock_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         content = locked_pdf(lines, {"Title": "geheim"}, f"user{k}", f"owner{k}", v, r, size, method)
         return [{"file_id": k, "content": content, "password": "wrong" if k % 5 == 0 else f"owner{k}" if k % 3 == 0 else f"user{k}"}]
 
-    # reading pages costs more than a shuffle of the files
-    opened = D.unlock_files(D._rows(pages.repartition(32, "file_id"), lock, "file_id long, content binary, password string"))
+    opened = D.unlock_files(D._rows(pages, lock, "file_id long, content binary, password string"))
 
     def count(row: dict) -> list[dict]:
         from quire.pdf.objects import Document

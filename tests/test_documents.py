@@ -8,7 +8,7 @@ import pytest
 
 from quire.pdf import crypt
 from quire.pdf.build import locked_pdf, text_pdf
-from quire.pdf.objects import Document, Name, PdfError, Stream, Writer, assemble, predict
+from quire.pdf.objects import Document, Lexer, Name, PdfError, Ref, Stream, Writer, assemble, predict
 from quire.pdf.text import page_runs, to_unicode
 
 
@@ -92,6 +92,17 @@ def test_predictors():
         predict(b"\x09" + bytes(12), 15, 4, 3)
 
 
+@pytest.mark.parametrize(
+    ("data", "want"),
+    [
+        (b"[1 2 3]x", [[1, 2, 3], "x"]), (b"[ +1\n-2\t30 ]", [[1, -2, 30]]), (b"[]", [[]]), (b"[1 0 R 2 0 R]", [[Ref(1), Ref(2)]]), (b"[1 %c\n2]", [[1, 2]]), (b"[1\x002]", [[1, 2]]), (b"[5-3 1]", [["5-3", 1]]),
+        (b"[1 [2 3] 4.5]", [[1, [2, 3], 4.5]]), (b"<41 4 2 43>", [b"ABC"]), (b"<4x1>", [b"A"]), (b"<414>", [b"A@"]), (b"/A#42 /C", ["AB", "C"]), (b"% c\n 007 ", [7]), (b" ", []),
+    ],
+)
+def test_tokens(data, want):
+    assert list(iter(Lexer(data).next, None)) == want
+
+
 def test_filters():
     doc = Document(b"")
     stream = lambda name, raw: Stream({"Filter": Name(name)}, raw)
