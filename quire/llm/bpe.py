@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import buffer_of, slices
+from quire.llm.shared import buffer_of, keeps, slices, steady
 
 NONE = np.int32((1 << 31) - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Words of more parts than this go through the heap.
 WIDE = 64
 #: Distinct chunks that a worker keeps; beyond this it starts afresh.
-KEEP = 800_000
+KEEP = 400_000
+#: Bytes of text that are encoded at a time; fewer leave the matrices of new words short.
+ENCODED_BYTES = 2 << 20
 
 
 def byte_chars() -> list[str]:
@@ -290,7 +292,8 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file; loaded once."""
+    """The worker's encoder for a file; loaded once, and again after tasks of other operators."""
+    keeps("bpe", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -305,8 +308,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            for part in slices(batch):
+        for batch in steady(batches, "bpe"):
+            for part in slices(batch, limit=ENCODED_BYTES):
                 ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
                 texts = [enc.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import encode_bytes, encoder
-from quire.llm.shared import slices
+from quire.llm.bpe import ENCODED_BYTES, encode_bytes, encoder
+from quire.llm.shared import slices, steady
 
 WINDOW = 4096
 #: Partly filled windows that a task holds (of 16 KB at most each); beyond this, half are filled up from the emptiest and closed.
@@ -165,8 +165,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, id_c
             return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECES.split(", ")])
 
         packer = Packer(emit, window, most_open)
-        for batch in batches:
-            for part in slices(batch):
+        for batch in steady(batches, "bpe"):
+            for part in slices(batch, limit=ENCODED_BYTES):
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode_bytes(enc, part.column(1))):
                     packer.add(doc_id, ids + tail)
                 if len(rows) > 10_000:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Words, _mix, _SPACE, buffer_of, cut, shared_folder, slices, windows_hash
+from quire.llm.shared import Words, _mix, _SPACE, buffer_of, cut, shared_folder, slices, steady, windows_hash
 
 ORDER = 5
 START, SPACE = 1, 32
@@ -39,7 +39,7 @@ SHARED_TEXTS = 50
 MOST_BROADCAST = 1 << 22
 #: Bytes of text in a block, n-gram positions worked on at a time, distinct n-grams that a task counts before it writes
 #: them, and n-grams asked of a shard.
-BLOCK_BYTES, STEP, HELD_GRAMS, SHARD_ROWS = 8 << 20, 1 << 19, 1 << 20, 1 << 19
+BLOCK_BYTES, STEP, HELD_GRAMS, SHARD_ROWS = 8 << 20, 1 << 18, 1 << 20, 1 << 19
 BLOCKS_A_TASK = 8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -145,7 +145,7 @@ def ngram_counts(rows: DataFrame, text: int, lang: int) -> DataFrame:
                 langs = tongues.hashes[(some >> np.uint64(8 * ORDER)).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (langs, some & _LOW, n[at : at + (1 << 16)])], ["lang", "gram", "n"])
 
-        for batch in batches:
+        for batch in steady(batches):
             for part in slices(batch, batch.schema.names[text]):
                 words = Words(*buffer_of(part.column(text)))
                 numbers = tongues.numbers(part.column(lang).cast(pa.string()))
@@ -195,7 +195,7 @@ def write_blocks(rows: DataFrame, text: int, lang: int) -> DataFrame:
             values = [[base + number], [_pack(parts)], [keys.tobytes()], [len(keys)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], _BLOCK_NAMES)
 
-        for batch in batches:
+        for batch in steady(batches):
             for part in slices(batch, batch.schema.names[text]):
                 words = Words(*buffer_of(part.column(text)))
                 numbers = tongues.numbers(part.column(lang).cast(pa.string()))
@@ -254,7 +254,7 @@ def hashed(model: DataFrame, bits: int = 0) -> DataFrame:
     shift = np.uint64(64 - max(1, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             lang, gram, p = (c.to_numpy() for c in batch.columns)
             key = _key(gram.view(np.uint64), lang.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array((key >> shift).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(np.log(p).astype(np.float32))], ["shard", "key", "log"])
@@ -279,7 +279,7 @@ def block_logs(blocks: DataFrame, model: DataFrame) -> DataFrame:
     shift = np.uint64(64 - bits)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             for k in range(batch.num_rows):
                 keys = np.frombuffer(batch.column(1)[k].as_buffer(), np.uint64)
                 shard = (keys >> shift).astype(np.int64)
@@ -375,7 +375,7 @@ def score(rows: DataFrame, keys: np.ndarray, logs: np.ndarray, text: int, lang:
     shared = rows.sparkSession.sparkContext.broadcast((keys, logs))  # at most MOST_BROADCAST n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             for part in slices(batch, batch.schema.names[text]):
                 names, none = part.column(lang).cast(pa.string()), pa.nulls(part.num_rows, pa.int64())
                 ids = part.column(doc_id) if doc_id is not None else none
@@ -389,7 +389,7 @@ def score_blocks(blocks: DataFrame, model: DataFrame, text: int, lang: int, doc_
     full = _dealt(blocks.select("block", "packed", "keys"), block_logs(blocks, model), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             for k in range(batch.num_rows):
                 block, packed, keys, logs = (batch.column(c)[k] for c in range(4))
                 keys = np.frombuffer(keys.as_buffer(), np.uint64)
@@ -501,7 +501,7 @@ def _kept_again(flat: DataFrame, keys: np.ndarray, logs: np.ndarray, text: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs, limits = shared.value
-        for batch in batches:
+        for batch in steady(batches):
             for part in slices(batch, batch.schema.names[text]):
                 names = part.column(lang).cast(pa.string())
                 n, _, _, _, repeats, cost = (c.to_numpy(zero_copy_only=False) for c in columns(part.column(text), names, keys, logs))
@@ -520,7 +520,7 @@ def _kept_blocks(flat: DataFrame, model: DataFrame, text: int, lang: int) -> Dat
     kept = judge(scored, bands(scored)).where("kept").groupBy("block").agg(F.collect_list("pos").alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             for k in range(batch.num_rows):
                 places, at = np.sort(np.array(batch.column(1)[k].as_py(), np.int64)), 0
                 for part in pa.ipc.open_stream(batch.column(0)[k].as_buffer()):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from quire.ship import ship
 
 #: Bytes of text that one vectorised step handles; bounds the memory of a Python worker.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of batches after which a Python worker returns its freed memory.
+GIVE_BACK_BYTES = 8 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,7 +39,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** (0 .. n - 1) modulo 2 ** 64, kept between calls."""
+    """base ** (0 .. n - 1) modulo 2 ** 64, kept between calls unless a text is very long."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         size = 1 << max(16, (n - 1).bit_length())
@@ -44,7 +47,8 @@ def powers(base: int, n: int) -> np.ndarray:
         have[0] = 1
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(have)
-        _POWERS[base] = have
+        if size <= 2 * SLICE_BYTES:
+            _POWERS[base] = have
     return have[:n]
 
 
@@ -72,6 +76,47 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = end
 
 
+#: By operator: forgets what its tasks keep in a worker for the tasks that follow.
+_FORGET: dict[str, Callable[[], None]] = {}
+_LIBC: list[ctypes.CDLL | None] = []
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Tasks of `owner` keep something in this worker; tasks of other operators call forget()."""
+    _FORGET[owner] = forget
+
+
+def give_back() -> None:
+    """Return freed memory to the system. numpy's and Arrow's allocators would hold it for as long as the worker lives."""
+    if not _LIBC:
+        try:
+            _LIBC.append(ctypes.CDLL(None))
+        except OSError:
+            _LIBC.append(None)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC[0], "malloc_trim", None)  # only in glibc
+    if trim:
+        trim(0)
+
+
+def steady(batches: Iterator[pa.RecordBatch], owner: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches of a task. What other operators left in this worker goes first, and after every GIVE_BACK_BYTES what they took.
+
+    Spark uses a worker again and again, also while it is idle beside an executor whose heap grows.
+    """
+    for name in [x for x in _FORGET if x != owner]:
+        _FORGET.pop(name)()
+    give_back()
+    read = 0
+    for batch in batches:
+        read += batch.nbytes
+        yield batch
+        del batch
+        if read >= GIVE_BACK_BYTES:
+            give_back()
+            read = 0
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a buffer of texts: starts, ends (byte positions) and bounds (first word of each text)."""
 

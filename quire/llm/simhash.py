@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import buffer_of, cut, slices
+from quire.llm.shared import buffer_of, cut, slices, steady
 
 RADIUS = 4
 #: Least and most blocks; a fingerprint has so many tables as there are choices of BLOCKS - RADIUS of them (15 to 70).
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp long): the signed form of each text's fingerprint. Null and wordless texts have 0. tagged: and tag, the text's XXH64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             for part in slices(batch):
                 data, offsets = buffer_of(part.column(1))
                 raw = data.tobytes()
@@ -173,7 +173,7 @@ def _linker(radius: int, columns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         rows = 0
-        for batch in batches:
+        for batch in steady(batches):
             held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(columns + 1)]))
             rows += batch.num_rows
             if rows < 1 << 17:

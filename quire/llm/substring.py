@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.folders import new_folder, remove_folder
-from quire.llm.shared import Words, _mix, buffer_of, cut, powers, release, slices, windows_hash
+from quire.llm.shared import Words, _mix, buffer_of, cut, powers, release, slices, steady, windows_hash
 
 WIDTH = 20
 #: Words of a gram; a window of WIDTH words has WIDTH - GRAM + 1 of them.
@@ -242,7 +242,7 @@ def _texts(docs: DataFrame, *more: str) -> DataFrame:
 
 def _anchors(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             for part in slices(batch):
                 words = Words(*buffer_of(part.column(2)))
                 doc, start, n, anchor = anchors_of(words.hashes(), words.bounds, width)
@@ -266,7 +266,7 @@ def _stretches(texts: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
-        for batch in batches:
+        for batch in steady(batches):
             for part in slices(batch):
                 words = Words(*buffer_of(part.column(2)))
                 hashes = words.hashes()
@@ -308,7 +308,7 @@ def _search(copies: DataFrame, width: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(anchor[first]), pa.array(stretch[first]), pa.array(masks)], ["anchor", "stretch", "mask"])
 
         shard = None
-        for batch in batches:
+        for batch in steady(batches):
             of = batch.column(0).to_numpy()
             edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
             for a, b in zip(edges, edges[1:]):
@@ -335,7 +335,7 @@ def _cut_down(found: DataFrame, hot: DataFrame, width: int) -> tuple[DataFrame,
     stretches = stretches.agg(F.count("*").alias("copies"), F.max("words").alias("words"), F.min(F.struct("id", "tie", "start")).alias("place"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             words = [np.frombuffer(w.as_buffer(), "<u4") for w in batch.column(2)]
             hashes = [windows_hash(w.astype(np.uint64), width).view(np.int64) for w in words]
             take = pa.array(np.repeat(np.arange(len(words)), [len(h) for h in hashes]))
@@ -348,7 +348,7 @@ def _cut_down(found: DataFrame, hot: DataFrame, width: int) -> tuple[DataFrame,
     kept = stretches.join(masks, ["anchor", "stretch"], "left").where("mask is not null or copies > 1")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             rows, runs, own, body = [], [], [], []
             for row, (copies, raw, mask) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 5)))):
                 words = np.frombuffer(raw, "<u4")
@@ -455,7 +455,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, untouched: bool = False)
     rows = keyed.select(*(F.col("row")[c].alias(c) for c in plain), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             for part in slices(batch, f"x{at}"):
                 data, offsets = buffer_of(part.column(at))
                 raw, cuts = data.tobytes(), offsets.tolist()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Words, buffer_of, slices
+from quire.llm.shared import Words, buffer_of, slices, steady
 
 WINDOW, STRIDE = 32, 16
 #: Bytes of a piece of a long word and those that two pieces share.
@@ -391,7 +391,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in steady(batches):
             for part in slices(batch, limit=PART_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.scores(part.column(1)))], ["doc_id", "score"])
 
@@ -406,7 +406,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in steady(batches):
             for part in slices(batch, f"x{at}", PART_BYTES):
                 yield part.filter(pa.array(scorer.scores(part.column(at)) < limit))
 
